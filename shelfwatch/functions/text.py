@@ -7,7 +7,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,20 +107,31 @@ def category_from_url(url: Column) -> Column:
     return title_from_handle(blank_to_null(F.regexp_extract(url, r"/collections/([^/?#]+)", 1)))
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once, for expressions that need it several times."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def english_text(value: Column) -> Column:
     """Of a title like `<local> - <English>`, the last part with a Latin letter."""
-    text = strip(unescape(F.coalesce(value, F.lit(""))))
-    latin = F.filter(F.transform(F.split(text, " - "), strip), lambda p: p.rlike("[A-Za-z]"))
-    return F.when(F.contains(text, F.lit(" - ")) & (F.size(latin) > 0), F.element_at(latin, -1)).otherwise(text)
+
+    def pick(text):
+        latin = F.filter(F.transform(F.split(text, " - "), strip), lambda p: p.rlike("[A-Za-z]"))
+        return F.when(text.contains(" - "), F.coalesce(F.get(F.reverse(latin), F.lit(0)), text)).otherwise(text)
+
+    return let(strip(unescape(F.coalesce(value, F.lit("")))), pick)
 
 
 def english_category(value: Column, names: dict[str, str]) -> Column:
-    text = english_text(value)
-    pairs = [F.lit(x) for pair in names.items() for x in pair]
-    return F.coalesce(F.element_at(F.create_map(*pairs), text), blank_to_null(text))
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return let(english_text(value), lambda text: F.coalesce(known[text], blank_to_null(text)))
+
 
+def first_matches(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+    """`df` without `text`, with the first group of each pattern's first match, unescaped; null when absent or empty.
 
-def first_match(text: Column, pattern: str) -> Column:
-    """First group of the first match, unescaped; null when absent. Ignores case, dot matches newlines."""
-    found = F.when(text.rlike("(?is)" + pattern), F.regexp_extract(text, "(?is)" + pattern, 1))
-    return unescape(found)
+    Case is ignored and the dot matches newlines. The text is dropped before entities are resolved, so it is never
+    buffered for the Python stage.
+    """
+    found = {n: blank_to_null(F.regexp_extract(text, "(?is)" + p, 1)) for n, p in patterns.items()}
+    return df.withColumns(found).drop(text).withColumns({n: unescape(F.col(n)) for n in patterns})

@@ -108,8 +108,11 @@ TABLES = (
 )
 
 
-def _tables_in(sql: str) -> list[str]:
-    return [t for t in TABLES if "{" + t + "}" in sql]
+def _fill(sql: str, name_of) -> str:
+    """Replace the `{table}` placeholders; other braces belong to JSON texts."""
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", name_of(t))
+    return sql
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,7 +123,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in _tables_in(sql)})
+    return spark.sql(_fill(sql, lambda t: f"parquet.`{sf_dir}/{t}.parquet`"))
 
 
 def oracle(body: str, *names: str, **extra: str) -> str:
@@ -128,7 +131,7 @@ def oracle(body: str, *names: str, **extra: str) -> str:
     parts = {n: VIEWS[n] for n in names} | extra
     if not parts:
         return body
-    ctes = ",\n".join(f"{n} AS ({sql.format(**{t: t for t in TABLES})})" for n, sql in parts.items())
+    ctes = ",\n".join(f"{n} AS ({_fill(sql, str)})" for n, sql in parts.items())
     return f"WITH {ctes}\n{body}"
 
 
