@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfwatch.functions.binding import let
+
 NOT_ASCII = r"[^\x00-\x7F]"
 # Any ampersand that is not one of the plain entities below.
 OTHER_ENTITY = r"&(?!(?:amp|lt|gt|quot|apos|#39);)"
@@ -107,11 +109,6 @@ def category_from_url(url: Column) -> Column:
     return title_from_handle(blank_to_null(F.regexp_extract(url, r"/collections/([^/?#]+)", 1)))
 
 
-def let(value: Column, use) -> Column:
-    """`use(value)` with the value computed once, for expressions that need it several times."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def english_text(value: Column) -> Column:
     """Of a title like `<local> - <English>`, the last part with a Latin letter."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfwatch.functions.binding import let
+
 # The generic-syntax expression of RFC 3986, appendix B.
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?"
 
@@ -36,41 +38,53 @@ def without_slash(url: Column) -> Column:
 
 def _fold_dots(raw: Column) -> Column:
     """Remove `.` and `..` segments and empty inner segments."""
-    parts = F.split(raw, "/")
-    last = F.size(parts) - 1
-    inner = F.filter(parts, lambda s, i: (i == 0) | (i == last) | (s != ""))
-    walked = F.aggregate(
-        inner,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    joined = F.array_join(closed, "/")
-    return F.when(F.startswith(joined, F.lit("/")), joined).otherwise(F.concat(F.lit("/"), joined))
+
+    def fold(parts):
+        last = F.size(parts) - 1
+        inner = F.filter(parts, lambda s, i: (i == 0) | (i == last) | (s != ""))
+        walked = F.aggregate(
+            inner,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.array_append(acc, s)),
+        )
+        tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.regexp_replace(F.array_join(F.concat(walked, tail), "/"), "^(?!/)", "/")
+
+    return F.when(raw.rlike(r"/\.|//"), let(F.split(raw, "/"), fold)).otherwise(raw)
 
 
 def resolve_url(url: Column, base: Column) -> Column:
-    """An absolute url stays as it is; anything else is resolved against `base`."""
-    own_scheme, base_scheme = scheme(url), scheme(base)
-    tail = F.concat(
-        F.when(query(url) != "", F.concat(F.lit("?"), query(url))).otherwise(F.lit("")),
-        F.when(F.contains(url, F.lit("#")), F.concat(F.lit("#"), F.regexp_extract(url, _PARTS, 5))).otherwise(F.lit("")),
-    )
-    root = F.concat(base_scheme, F.lit("://"), netloc(base))
-    own_path = path(url)
-    folder = F.regexp_replace(path(base), "[^/]*$", "")
-    merged = F.when(F.startswith(own_path, F.lit("/")), own_path).otherwise(F.concat(folder, own_path))
-    same_page = F.concat(
-        root, path(base),
-        F.when((query(url) == "") & (query(base) != ""), F.concat(F.lit("?"), query(base))).otherwise(F.lit("")), tail,
-    )
-    return (
-        F.when(url.isNull() | (url == ""), url)
-        .when((own_scheme != "") & ((netloc(url) != "") | (own_scheme != base_scheme)), url)
-        .when(netloc(url) != "", F.concat(base_scheme, F.lit(":"), url))
-        .when(own_path == "", same_page)
-        .otherwise(F.concat(root, _fold_dots(F.when(F.startswith(merged, F.lit("/")), merged)
-                                             .otherwise(F.concat(F.lit("/"), merged))), tail))
+    """An absolute url stays as it is; anything else is resolved against `base`.
+
+    The parts of both urls are taken once and named, because the rules below use each of them several times.
+    """
+
+    def parts(u):
+        names = ("scheme", "host", "path", "query", "fragment")
+        fields = [F.regexp_extract(u, _PARTS, i + 1).alias(n) for i, n in enumerate(names)]
+        return F.struct(u.alias("whole"), *fields)
+
+    def resolve(pair):
+        own, ctx = pair["own"], pair["ctx"]
+        own_scheme, ctx_scheme = F.lower(own["scheme"]), F.lower(ctx["scheme"])
+        root = F.concat(ctx_scheme, F.lit("://"), ctx["host"])
+        tail = F.concat(
+            F.when(own["query"] != "", F.concat(F.lit("?"), own["query"])).otherwise(F.lit("")),
+            F.when(own["fragment"] != "", F.concat(F.lit("#"), own["fragment"])).otherwise(F.lit("")),
+        )
+        inherited = F.when((own["query"] == "") & (ctx["query"] != ""), F.concat(F.lit("?"), ctx["query"])).otherwise(F.lit(""))
+        folder = F.regexp_replace(ctx["path"], "[^/]*$", "")
+        merged = F.when(own["path"].startswith("/"), own["path"]).otherwise(F.concat(folder, own["path"]))
+        return (
+            F.when((own_scheme != "") & ((own["host"] != "") | (own_scheme != ctx_scheme)), own["whole"])
+            .when(own["host"] != "", F.concat(ctx_scheme, F.lit(":"), own["whole"]))
+            .when(own["path"] == "", F.concat(root, ctx["path"], inherited, tail))
+            .otherwise(F.concat(root, _fold_dots(F.regexp_replace(merged, "^(?!/)", "/")), tail))
+        )
+
+    absolute = url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]")
+    return F.when(url.isNull() | (url == "") | absolute, url).otherwise(
+        let(F.struct(parts(url).alias("own"), parts(base).alias("ctx")), resolve)
     )

@@ -178,8 +178,9 @@ def extract_html_products(s):
 @job("jsonld_products", """
     SELECT p_partkey AS page_id, concat(p_name, ' & co') AS name_text FROM part WHERE p_size % 5 <> 4""")
 def jsonld_products(s):
-    found = s.sql(PRODUCT_PAGES).select("page_id", product_html.jsonld_product(F.col("html")).alias("p")).where("p is not null")
-    return found.select("page_id", F.replace(F.try_variant_get("p", "$.name", "string"), F.lit("&amp;"), F.lit("&")).alias("name_text"))
+    found = product_html.with_jsonld_product(s.sql(PRODUCT_PAGES).select("page_id", "html")).where("product is not null")
+    name = F.try_variant_get("product", "$.name", "string")
+    return found.select("page_id", F.replace(name, F.lit("&amp;"), F.lit("&")).alias("name_text"))
 
 
 LISTING_PAGES = """

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import constants as k
+from shelfwatch.functions.binding import let
 from shelfwatch.functions.prices import with_price
 from shelfwatch.functions.text import blank_to_null, first_filled, first_matches, strip, unescape, unescape_all
 from shelfwatch.functions.urls import resolve_url
@@ -25,17 +26,22 @@ def _is_product(item: Column) -> Column:
     return F.coalesce(F.array_contains(kinds, "Product"), _text(item, '$["@type"]') == "Product", F.lit(False))
 
 
-def jsonld_product(html: Column) -> Column:
-    """First JSON-LD object of the page whose type is or contains Product, as a variant; null when there is none.
+def with_jsonld_product(pages: DataFrame, html: str = "html", name: str = "product") -> DataFrame:
+    """`pages` with the first JSON-LD object whose type is or contains Product, as a variant; null when there is none.
 
     Blocks are read in page order; a block may be an object, a list of objects or a `@graph`.
     """
-    blocks = unescape_all(F.transform(F.regexp_extract_all(html, F.lit("(?is)" + k.JSONLD_BLOCK), F.lit(1)), strip))
-    parsed = F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
-    items = F.flatten(F.transform(
-        parsed, lambda v: F.coalesce(_list(v, '$["@graph"]'), _list(v, "$"), F.array(v))
-    ))
-    return F.get(F.filter(items, _is_product), F.lit(0))
+    blocks = F.transform(F.regexp_extract_all(html, F.lit("(?is)" + k.JSONLD_BLOCK), F.lit(1)), lambda b: strip(b))
+    rows = pages.withColumn("_blocks", blocks)
+    rows = rows.withColumn("_texts", unescape_all(F.col("_blocks"))).drop("_blocks")
+
+    def members(v):
+        return F.coalesce(_list(v, '$["@graph"]'), _list(v, "$"), F.array(v))
+
+    items = F.flatten(F.transform("_texts", lambda text: let(
+        F.try_parse_json(text), lambda v: F.coalesce(members(v), F.array().cast("array<variant>"))
+    )))
+    return rows.withColumn(name, F.get(F.filter(items, _is_product), F.lit(0))).drop("_texts")
 
 
 STATE = {
@@ -48,7 +54,7 @@ STATE = {
 def extract_html_products(pages: DataFrame) -> DataFrame:
     """One record per page (competitor_id, item_ix, base_url, url, html) that names a product."""
     p, offer, c = F.col("product"), F.col("offer"), F.col
-    rows = pages.select("competitor_id", "item_ix", "base_url", "url", "html", jsonld_product(c("html")).alias("product"))
+    rows = with_jsonld_product(pages.select("competitor_id", "item_ix", "base_url", "url", "html"))
     rows = first_matches(rows, "html", STATE).withColumn(
         "offer", F.coalesce(F.get(_list(p, "$.offers"), F.lit(0)), F.try_variant_get(p, "$.offers", "variant"))
     )
@@ -71,12 +77,17 @@ def extract_html_products(pages: DataFrame) -> DataFrame:
         .when(c("availability").contains("instock") | flag.isin("!0", "true"), "in_stock")
         .otherwise("unknown")
     )
-    priced = with_price(rows.where("raw_title <> ''"), c("raw_price"), c("raw_currency"))
-    return priced.select(
+    record = F.struct(
         "competitor_id", "item_ix", resolve_url(c("url"), c("base_url")).alias("url"),
         _joined_ids(c("state_product"), first_filled(c("state_variant"), numeric_tail(c("sku")))).alias("external_id"),
-        unescape(c("raw_title")).alias("title"), "price", "currency", stock.alias("stock_status"), "sku", "image_url",
-        unescape(c("raw_category")).alias("category"),
+        c("raw_title").alias("title"), "raw_price", "raw_currency", stock.alias("stock_status"), "sku", "image_url",
+        c("raw_category").alias("category"),
+    )
+    # Exploding nothing drops a page without title. A filter would be pushed down and parse every page a second time.
+    named = rows.select(F.explode(F.when(c("raw_title") != "", F.array(record))).alias("r")).select("r.*")
+    return with_price(named, c("raw_price"), c("raw_currency")).select(
+        "competitor_id", "item_ix", "url", "external_id", unescape(c("title")).alias("title"), "price", "currency",
+        "stock_status", "sku", "image_url", unescape(c("category")).alias("category"),
     )
 
 
