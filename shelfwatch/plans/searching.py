@@ -1 +1,149 @@
-"""Jobs over the test tables."""
+"""Search and comparison jobs over the test tables."""
+
+from pyspark.sql import functions as F
+
+from shelfwatch.functions.constants import DESCRIPTOR_TOKENS, MUTATION_PHRASES, STAT_TOKENS
+from shelfwatch.operators import compare, identity, search
+from shelfwatch.plans.fixtures import oracle
+from shelfwatch.plans.registry import job
+
+QUERY = "Divine  Blue-Bolt"
+NORM = "divine blue bolt"
+PLAIN = "blue bolt"
+
+
+def titles(s):
+    return s.market_titles.withColumn("active", F.lit(True)).withColumn("title", F.col("normalized_title"))
+
+
+def _in(tokens):
+    return "(" + ", ".join(f"'{t}'" for t in tokens) + ")"
+
+
+@job("query_tokens", """
+    SELECT DISTINCT id, variant FROM (
+      SELECT id, unnest([t, CASE WHEN len(t) > 4 THEN t[:4] END, CASE WHEN len(t) > 6 THEN t[:6] END]) AS variant
+      FROM (SELECT p_partkey AS id, unnest(string_split(concat(p_name, ' ', lower(p_type)), ' ')) AS t FROM part) x) y
+    WHERE variant IS NOT NULL""")
+def query_tokens(s):
+    text = F.concat("p_name", F.lit(" "), F.lower("p_type"))
+    return s.table("part").select(F.col("p_partkey").alias("id"), F.explode(search.token_variants(text)).alias("variant"))
+
+
+CANDIDATE = " OR ".join(f"contains(normalized_title, '{v}')" for v in ("divine", "divi", "blue", "bolt"))
+
+
+@job("search_candidates", oracle(f"SELECT id, normalized_title FROM market_titles WHERE {CANDIDATE}", "market_titles"))
+def search_candidates(s):
+    return search.search_candidates(titles(s), QUERY).select("id", "normalized_title")
+
+
+@job("match_scores_exact", oracle(f"""
+    SELECT id, CAST(CASE WHEN contains(normalized_title, '{NORM}') THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM market_titles
+    WHERE contains(normalized_title, '{NORM}')
+       OR len(list_filter(['divine', 'blue', 'bolt'], lambda x: NOT list_contains(string_split(normalized_title, ' '), x))) = 0""", "market_titles"))
+def match_scores_exact(s):
+    return search.exact_match_scores(titles(s), F.lit(NORM), F.col("normalized_title")).select("id", "score")
+
+
+@job("match_scores")
+def match_scores(s):
+    return search.with_match_score(titles(s), F.lit(NORM), F.col("normalized_title")).select("id", "normalized_title", F.round("score", 9).alias("score"))
+
+
+@job("search_products")
+def search_products(s):
+    return search.search_products(titles(s), s.competitors, QUERY)
+
+
+@job("search_suggestions")
+def search_suggestions(s):
+    return search.search_suggestions(titles(s), s.competitors, QUERY).withColumn("variants", F.array_join("variants", "|"))
+
+
+@job("suggestion_competitors")
+def suggestion_competitors(s):
+    return search.group_competitors(search.suggestion_rows(titles(s), s.competitors, QUERY))
+
+
+# --- identity ----------------------------------------------------------------------------------------------
+
+def _gap(text):
+    for phrase in MUTATION_PHRASES:
+        text = f"regexp_replace({text}, ' {phrase} ', ' # ')"
+    return text
+
+
+_PHRASES = "[" + ", ".join(f"'{p}'" for p in MUTATION_PHRASES) + "]"
+IDENTITY = f"""
+    SELECT *, concat(base, '::', mutation) AS identity_key,
+           array_to_string(list_transform(string_split(mutation, ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') AS label,
+           array_to_string(list_transform(string_split(base, ' '), lambda w: concat(upper(w[1]), w[2:])), ' ') AS shown
+    FROM (
+      SELECT *, coalesce(CASE WHEN split THEN nullif(base_part, '') END, nullif(cleaned, ''), normalized_title) AS base,
+             CASE WHEN split AND len(found) > 0 THEN array_to_string(found, ' ') ELSE 'normal' END AS mutation
+      FROM (
+        SELECT *, list_filter({_PHRASES}, lambda p: contains(concat(' ', cleaned, ' '), concat(' ', p, ' '))) AS found,
+               trim(regexp_replace(replace({_gap("concat(' ', cleaned, ' ')")}, '#', ' '), ' +', ' ', 'g')) AS base_part,
+               contains(lower(category), 'brainrot') OR contains(lower(category), 'escape tsunami') OR contains(normalized_title, 'brainrot')
+                 OR len(list_filter(string_split(normalized_title, ' '), lambda t: regexp_matches(t, '[0-9]') AND regexp_matches(t, 'm|b|qn'))) > 0 AS split
+        FROM (
+          SELECT *, array_to_string(list_filter(string_split(normalized_title, ' '),
+                    lambda t: NOT regexp_matches(t, '[0-9]') AND t NOT IN {_in(STAT_TOKENS)}), ' ') AS cleaned FROM market_titles) a) b) c"""
+
+
+@job("market_identity", oracle("""
+    SELECT id, identity_key, base, mutation, label AS mutation_label,
+           CASE WHEN mutation = 'normal' THEN shown ELSE concat(label, ' ', shown) END AS display_title FROM named""",
+    "market_titles", named=IDENTITY))
+def market_identity(s):
+    return identity.with_identity(titles(s)).select("id", "identity_key", "base", "mutation", "mutation_label", "display_title")
+
+
+@job("identity_groups", oracle("""
+    SELECT identity_key, count(*) AS n_products, count(DISTINCT c.name) AS competitors_count, min(current_price) AS best_price,
+           arg_min(n.category, ROW(-epoch_us(last_checked_at), n.id)) AS category
+    FROM named n JOIN competitors c ON n.competitor_id = c.id GROUP BY identity_key""", "market_titles", "competitors", named=IDENTITY))
+def identity_groups(s):
+    from shelfwatch.sources.tables import with_competitor
+
+    rows = with_competitor(identity.with_identity(titles(s)), s.competitors).withColumn("match_score", F.lit(1.0))
+    return search.identity_groups(rows).select("identity_key", "n_products", "competitors_count", "best_price", "category")
+
+
+@job("group_variants", oracle("""
+    SELECT identity_key, normalized_title, CAST(row_number() OVER (PARTITION BY identity_key ORDER BY normalized_title) AS INT) AS pos
+    FROM (SELECT DISTINCT identity_key, normalized_title FROM named) d QUALIFY pos <= 5""", "market_titles", named=IDENTITY))
+def group_variants(s):
+    return search.group_variants(identity.with_identity(titles(s)), title="normalized_title")
+
+
+@job("comparison_aliases", oracle(f"""
+    SELECT DISTINCT id, unnest([normalized_title, nullif(array_to_string(list_filter(string_split(normalized_title, ' '),
+           lambda t: t NOT IN {_in(DESCRIPTOR_TOKENS)}), ' '), '')]) AS alias FROM market_titles""", "market_titles"))
+def comparison_aliases(s):
+    return s.market_titles.select("id", F.explode(identity.comparison_aliases(F.col("normalized_title"))).alias("alias"))
+
+
+@job("comparison_scores")
+def comparison_scores(s):
+    rows = compare.with_comparison_score(titles(s), [(F.lit(PLAIN), F.col("normalized_title"))])
+    return rows.select("id", "normalized_title", F.round("score", 9).alias("score"))
+
+
+@job("compare_product")
+def compare_product(s):
+    rows = titles(s)
+    return compare.compare_product(rows, s.competitors, compare.compare_target(rows, q=PLAIN))
+
+
+@job("market_comparison", oracle("""
+    SELECT o.*, m.n_competitors, m.low, m.high, m.cheapest_competitor_id, m.high - m.low AS spread
+    FROM (SELECT base, mutation, competitor_id, min(current_price) AS price, arg_min(id, ROW(current_price, id)) AS product_id, count(*) AS n_offers
+          FROM named GROUP BY ALL) o
+    JOIN (SELECT base, mutation, count(DISTINCT competitor_id) AS n_competitors, min(best) AS low, max(best) AS high,
+                 arg_min(competitor_id, ROW(best, competitor_id)) AS cheapest_competitor_id
+          FROM (SELECT base, mutation, competitor_id, min(current_price) AS best FROM named GROUP BY ALL) x GROUP BY ALL) m
+      ON o.base = m.base AND o.mutation = m.mutation""", "market_titles", named=IDENTITY))
+def market_comparison(s):
+    return compare.market_comparison(titles(s))
