@@ -1 +1,189 @@
-"""Jobs over the test tables."""
+"""Due-set, notification and export jobs over the test tables."""
+
+from pyspark.sql import functions as F
+
+from shelfwatch.operators import notify
+from shelfwatch.operators.dashboard import daily_summary
+from shelfwatch.plans.fixtures import NOW, oracle
+from shelfwatch.plans.landing import CATALOG_PAGES, _CATALOG_EXTRA, _CATALOG_MAIN
+from shelfwatch.plans.registry import job
+from shelfwatch.plans.reporting import DAILY, TODAY
+from shelfwatch.sinks import export
+from shelfwatch.sources import catalogs
+
+DEFAULT_HOOK = "https://hooks.example.com/default"
+
+# --- due set -----------------------------------------------------------------------------------------------
+
+SCANNED = """
+    SELECT c.*, CASE WHEN c.id % 11 = 0 THEN 0 WHEN c.id % 11 = 1 THEN NULL WHEN c.id % 11 = 2 THEN 100000 ELSE 60 END AS minutes, r.last_scan_at
+    FROM {competitors} c LEFT JOIN (SELECT competitor_id, max(started_at) AS last_scan_at FROM {runs} WHERE status <> 'running'
+                                    GROUP BY competitor_id) r ON c.id = r.competitor_id"""
+
+
+@job("due_competitors", oracle(f"""
+    SELECT id, name FROM scanned s
+    WHERE active AND (last_scan_at IS NULL OR last_scan_at < TIMESTAMP '{NOW}' - to_minutes(CAST(coalesce(nullif(minutes, 0), 60) AS INT)))
+      AND NOT EXISTS (SELECT 1 FROM market_runs r WHERE r.competitor_id = s.id AND r.status = 'running'
+                      AND r.started_at > TIMESTAMP '{NOW}' - INTERVAL 30 MINUTE)""",
+    "competitors", "market_runs", scanned=SCANNED.replace("{competitors}", "competitors").replace("{runs}", "market_runs")))
+def due_competitors(s):
+    rows = s.spark.sql(SCANNED, competitors=s.competitors, runs=s.market_runs).drop("scan_frequency_minutes")
+    rows = rows.withColumnRenamed("minutes", "scan_frequency_minutes")
+    return notify.due_competitors(rows, s.market_runs, NOW).select("id", "name")
+
+
+# --- notifications -----------------------------------------------------------------------------------------
+
+def payload_events(s):
+    """market_events with payloads as change detection writes them."""
+    c = F.col
+    item = c("product_id").cast("string")
+    price = c("value").cast("decimal(12,2)")
+    priced = c("event_type").isin("price_increase", "price_decrease", "new_product")
+    stocked = c("event_type") == "stock_out"
+    removed = c("event_type") == "product_removed"
+    none = F.lit(None).cast("string")
+    old = F.struct(
+        F.when(removed, F.concat(F.lit("Gone "), item)).alias("title"), F.when(removed, F.concat(F.lit("https://gone.example.com/"), item)).alias("url"),
+        F.when(c("event_type") != "new_product", F.lit(20).cast("decimal(12,2)")).alias("price"),
+        F.when(stocked, "in_stock").alias("stock_status"), F.when(c("id") % 5 == 0, "old group").alias("category"),
+    )
+    new = F.struct(
+        none.alias("title"), none.alias("url"), F.when(priced, price).alias("price"), F.when(stocked, "out_of_stock").alias("stock_status"),
+        F.when(c("id") % 2 == 0, "new group").alias("category"),
+    )
+    return s.market_events.withColumns({"old_value": old, "new_value": new})
+
+
+def initial(s):
+    """Competitors on their first scan."""
+    return s.competitors.where("category in ('INDIA', 'KENYA')").select(F.col("id").alias("competitor_id"))
+
+
+_VIEWS = ("competitors", "market_events", "market_products")
+SETS = {
+    "pending": "SELECT * FROM market_events WHERE NOT notification_sent",
+    "first_scans": "SELECT id AS competitor_id FROM competitors WHERE category IN ('INDIA', 'KENYA')",
+    "quiet": """SELECT competitor_id FROM pending WHERE event_type = 'new_product' GROUP BY 1 HAVING count(*) > 25
+                UNION SELECT competitor_id FROM first_scans""",
+    "deliverable": "SELECT * FROM pending WHERE event_type <> 'new_product' OR competitor_id NOT IN (SELECT competitor_id FROM quiet)",
+    "routed": f"""
+        SELECT e.*, c.name AS shop, coalesce(c.webhook_url, '{DEFAULT_HOOK}') AS target, p.title, p.url, p.category, p.stock_status
+        FROM deliverable e JOIN competitors c ON e.competitor_id = c.id LEFT JOIN market_products p ON e.product_id = p.id
+        WHERE e.event_type = 'product_removed' OR p.id IS NOT NULL""",
+    "priced": """
+        SELECT *, CAST(value AS DECIMAL(12,2)) AS new_price, CAST(20 AS DECIMAL(12,2)) AS old_price,
+               CASE WHEN event_type = 'product_removed' THEN coalesce(CASE WHEN id % 5 = 0 THEN 'old group' END, 'Uncategorized')
+                    WHEN event_type = 'new_product' THEN coalesce(nullif(category, ''), CASE WHEN id % 2 = 0 THEN 'new group' END, 'Uncategorized')
+                    ELSE coalesce(nullif(category, ''), CASE WHEN id % 2 = 0 THEN 'new group' END, CASE WHEN id % 5 = 0 THEN 'old group' END, 'Uncategorized')
+               END AS cat FROM routed""",
+}
+
+
+@job("suppressed_events", oracle("""
+    SELECT id, competitor_id FROM pending WHERE event_type = 'new_product' AND competitor_id IN (SELECT competitor_id FROM quiet)""", *_VIEWS, **SETS))
+def suppressed_events(s):
+    return notify.suppressed_events(notify.pending_events(s.market_events), initial(s)).select("id", "competitor_id")
+
+
+@job("notification_outbox", oracle(f"""
+    SELECT id AS event_id, competitor_id, event_type, target AS webhook_url,
+           row_number() OVER (PARTITION BY target ORDER BY id % {notify.PACING_BUCKETS}, id) - 1 AS send_after FROM routed""", *_VIEWS, **SETS))
+def notification_outbox(s):
+    pending = notify.pending_events(payload_events(s))
+    out = notify.notification_outbox(pending, initial(s), s.competitors, s.market_products, NOW, DEFAULT_HOOK)
+    return out.select("event_id", "competitor_id", "event_type", "webhook_url", "send_after")
+
+
+MONEY = "concat('$', format('{{:,.2f}}', CAST({} AS DOUBLE)))"
+
+
+@job("render_messages", oracle(f"""
+    SELECT id AS event_id, event_type, concat('**', shop, '**', chr(10), '**Category:** ', cat, chr(10), '**Change:** ', CASE event_type
+             WHEN 'new_product' THEN 'New product' WHEN 'price_increase' THEN 'Price increased' WHEN 'price_decrease' THEN 'Price decreased'
+             WHEN 'stock_out' THEN 'Stock changed' ELSE 'Product removed' END) AS content,
+           concat('Competitor=', shop, '|Category=', cat, '|', CASE event_type
+             WHEN 'new_product' THEN concat('Product=', title, '|Price=', {MONEY.format('new_price')}, '|Stock=', stock_status, '|URL=', url,
+                                            '|Detected=2024-01-31 00:00 UTC')
+             WHEN 'stock_out' THEN concat('Product=', title, '|Old Stock=in_stock|New Stock=out_of_stock|URL=', url)
+             WHEN 'product_removed' THEN concat('Product=', coalesce('Gone ' || product_id, 'N/A'), '|URL=', coalesce('https://gone.example.com/' || product_id, 'N/A'),
+                                                '|Detected=2024-01-31 00:00 UTC')
+             ELSE concat('Product=', title, '|Old Price=$20.00|New Price=', {MONEY.format('new_price')}, '|Difference=', {MONEY.format('new_price - old_price')},
+                         '|URL=', url, '|Detected=2024-01-31 00:00 UTC') END) AS fields,
+           CASE event_type WHEN 'new_product' THEN 43520 WHEN 'price_increase' THEN 16729156 WHEN 'price_decrease' THEN 52292 WHEN 'stock_out' THEN 16755200
+                ELSE 6710886 END AS color
+    FROM priced""", *_VIEWS, **SETS))
+def render_messages(s):
+    pending = notify.pending_events(payload_events(s))
+    routed = notify.routed_events(notify.deliverable_events(pending, initial(s)), s.competitors, s.market_products, DEFAULT_HOOK)
+    rendered = notify.render_messages(routed, NOW)
+    # The percentage is a rounded binary fraction and is tested on its own.
+    text = F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), F.regexp_replace(f["value"], r" \([+-][0-9.]+%\)$", "")))
+    return rendered.select("event_id", "event_type", "content", F.array_join(text, "|").alias("fields"), "color")
+
+
+@job("summary_fanout", oracle(f"""
+    SELECT h.webhook_url, d.*, 'None' AS biggest_drops
+    FROM (SELECT webhook_url FROM competitors WHERE active AND webhook_url IS NOT NULL UNION SELECT '{DEFAULT_HOOK}') h, ({DAILY}) d""",
+    "competitors", "market_events", "market_runs"))
+def summary_fanout(s):
+    return notify.summary_fanout(daily_summary(s.market_events, s.market_runs, TODAY), s.competitors, DEFAULT_HOOK)
+
+
+@job("failure_messages", oracle("""
+    SELECT id AS competitor_id, webhook_url, concat('Competitor=', name, '|Error=', substring(repeat('boom ', 150), 1, 500), '|Time=2024-01-31 00:00 UTC') AS fields
+    FROM competitors WHERE last_scan_status = 'failed' AND webhook_url IS NOT NULL""", "competitors"))
+def failure_messages(s):
+    failed = s.competitors.where("last_scan_status = 'failed'").select(F.col("id").alias("competitor_id"), F.repeat(F.lit("boom "), 150).alias("error"))
+    out = notify.failure_messages(failed, s.competitors, NOW)
+    text = F.array_join(F.transform("fields", lambda f: F.concat(f["name"], F.lit("="), f["value"])), "|")
+    return out.select("competitor_id", "webhook_url", text.alias("fields"))
+
+
+# --- exports -----------------------------------------------------------------------------------------------
+
+STAMP = "2024-01-31T00:00:00+00:00"
+
+
+def exported(s):
+    items = catalogs.dedupe_catalog(catalogs.extract_catalog_json(s.sql(CATALOG_PAGES)))
+    asked = items.withColumn("collection_url", F.concat(F.lit("https://s"), F.col("competitor_id").cast("string"), F.lit(".example.com/collections/all")))
+    return export.export_rows(asked, s.competitors, STAMP)
+
+
+EXPORTED = {
+    "items": f"{_CATALOG_MAIN} UNION ALL {_CATALOG_EXTRA}",
+    "exported": f"""
+        SELECT c.name AS competitor_name, c.base_url AS competitor_base_url,
+               concat('https://s', CAST(i.competitor_id AS VARCHAR), '.example.com/collections/all') AS collection_url, i.category, i.title, i.price,
+               i.currency, i.stock_status, i.sku, i.external_id, i.url AS product_url, i.image_url, '{STAMP}' AS scraped_at
+        FROM items i JOIN competitors c ON i.competitor_id = c.id""",
+}
+
+
+@job("export_rows", oracle("SELECT * FROM exported", "competitors", **EXPORTED))
+def export_rows(s):
+    return exported(s)
+
+
+def _json(column):
+    return f"coalesce(to_json({column})::VARCHAR, 'null')"
+
+
+_ITEM_JSON = "concat('{', " + ", ',', ".join(
+    f"'\"{f}\":', " + ("coalesce(CAST(price AS VARCHAR), 'null')" if f == "price" else _json(f)) for f in export.EXPORT_FIELDS
+) + ", '}')"
+
+
+@job("export_document", oracle(f"""
+    SELECT competitor_name, collection_url, 1 AS part,
+           concat(CASE WHEN row_number() OVER (PARTITION BY competitor_name, collection_url
+                       ORDER BY lower(coalesce(title, '')), price IS NULL, price, product_url, coalesce(external_id, '')) = 1 THEN '' ELSE ',' END,
+                  {_ITEM_JSON}) AS line FROM exported
+    UNION ALL
+    SELECT competitor_name, collection_url, 0, concat('{{"competitor":', to_json(competitor_name)::VARCHAR, ',"collection_url":', to_json(collection_url)::VARCHAR,
+           ',"products_count":', CAST(count(*) AS VARCHAR), ',"items":[') FROM exported GROUP BY 1, 2
+    UNION ALL SELECT DISTINCT competitor_name, collection_url, 2, ']}}' FROM exported""", "competitors", **EXPORTED))
+def export_document(s):
+    return export.export_document(exported(s)).drop("sort_key")
