@@ -34,15 +34,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
+def fold_title(title: str | None) -> str | None:
+    """The title rule for a single value, such as a search text."""
+    if title is None:
+        return None
+    return " ".join(re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKD", title).lower()).split())
+
+
 @F.pandas_udf(T.StringType())
 def _fold(titles: pd.Series) -> pd.Series:
-    def one(title):
-        if title is None:
-            return None
-        folded = unicodedata.normalize("NFKD", title).lower()
-        return " ".join(re.sub(r"[^\w\s]", " ", folded).split())
-
-    return titles.map(one)
+    return titles.map(fold_title)
 
 
 def normalize_title(title: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.constants import COMPARE_THRESHOLD
 from shelfwatch.functions.similarity import sequence_ratio
-from shelfwatch.functions.text import words
+from shelfwatch.functions.text import fold_title, words
 from shelfwatch.operators.identity import comparison_aliases, splits_by_itself, with_extraction, with_identity
-from shelfwatch.operators.search import normalized_query, search_candidates
+from shelfwatch.operators.search import search_candidates
 
 
 def exact_comparison(query: Column, candidate: Column) -> Column:
@@ -45,8 +45,7 @@ def compare_target(products: DataFrame, product_id=None, q: str | None = None, c
     """The product to compare: by id, else the best match of the query among active products. At most one row."""
     if product_id is not None:
         return products.where(F.col("id") == product_id).limit(1)
-    norm = normalized_query(products, q)
-    rows = with_comparison_score(search_candidates(products, q, candidate_limit), [(F.lit(norm), F.col("normalized_title"))])
+    rows = with_comparison_score(search_candidates(products, q, candidate_limit), [(F.lit(fold_title(q)), F.col("normalized_title"))])
     order = [F.desc("score"), F.col("last_checked_at").desc_nulls_first(), F.asc("id")]
     return rows.orderBy(*order).limit(1).drop("score")
 

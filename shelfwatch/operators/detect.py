@@ -26,14 +26,17 @@ def match_catalog(items: DataFrame, state: DataFrame) -> DataFrame:
     Two equi-joins, not one join with OR. Items already matched by url, or without external id, get a join key that
     exists nowhere, so they spread over all partitions and do not pile up under null.
     """
-    named = items.where("length(url) > 0")
+    return _matched(items.where("length(url) > 0"), state)
+
+
+def _matched(items: DataFrame, state: DataFrame) -> DataFrame:
     by_url = state.groupBy("competitor_id", "url").agg(F.max("product_id").alias("by_url"))
     by_external = (
         state.where("external_id <> ''")
         .groupBy("competitor_id", F.concat(F.lit("="), "external_id").alias("match_key"))
         .agg(F.max("product_id").alias("by_external"))
     )
-    keyed = named.join(by_url, ["competitor_id", "url"], "left").withColumn(
+    keyed = items.join(by_url, ["competitor_id", "url"], "left").withColumn(
         "match_key", _match_key(F.col("by_url").isNull(), F.col("external_id"), F.col("url"))
     )
     return keyed.join(by_external, ["competitor_id", "match_key"], "left").drop("match_key")
@@ -79,12 +82,11 @@ def first_of_each_product(loose: DataFrame) -> DataFrame:
             return openers
 
 
-def assign_products(items: DataFrame, state: DataFrame, now) -> DataFrame:
-    """Items with `product_id`: a stored product, or one opened by an earlier (or this) item of the batch.
+def assign_products(matched: DataFrame, now) -> DataFrame:
+    """Matched items with `product_id`: a stored product, or one opened by an earlier (or this) item of the batch.
 
     The stored indexes are those of the start of the scan; a product opened in the batch is found at once.
     """
-    matched = match_catalog(items, state)
     loose = matched.where("by_url is null and by_external is null")
     stamp = F.lit(str(now))
     opened = first_of_each_product(loose).withColumn(
@@ -136,8 +138,8 @@ def rejected_scans(scans: DataFrame, items: DataFrame) -> DataFrame:
 
 # --- change sequence ---------------------------------------------------------------------------------------
 
-def change_sequence(state: DataFrame, items: DataFrame, scanned: DataFrame, now) -> DataFrame:
-    """Stored rows and items of every product in order, each with its predecessor's values.
+def change_sequence(state: DataFrame, matched: DataFrame, scanned: DataFrame, now) -> DataFrame:
+    """Stored rows and matched items of every product in order, each with its predecessor's values.
 
     `scanned` (competitor_id) names the accepted scans; other competitors keep their rows and count no miss.
     """
@@ -146,7 +148,7 @@ def change_sequence(state: DataFrame, items: DataFrame, scanned: DataFrame, now)
     )
     kinds = {f.name: f.dataType for f in state.schema.fields}
     clock = F.lit(str(now))
-    seen = assign_products(items, state, now).select(
+    seen = assign_products(matched, now).select(
         "competitor_id", "product_id", "url", "external_id", "title", normalize_title(F.col("title")).alias("normalized_title"),
         "category", "image_url", F.col("price").cast("decimal(12,2)").alias("price"),
         F.coalesce("currency", F.lit("USD")).alias("currency"),
@@ -309,11 +311,16 @@ class ScanResult:
 
 
 def apply_scan(state: DataFrame, items: DataFrame, scans: DataFrame, now, keep_sequence: bool = False) -> ScanResult:
-    """Apply one batch. With `keep_sequence` the shared sequence is checkpointed once for all outputs."""
-    judged = split_scans(scans, items)
+    """Apply one batch. With `keep_sequence` the shared sequence is checkpointed once for all outputs.
+
+    The matched items are checkpointed: the guard, the search for new products and the sequence all start from them, so
+    the two joins of matching run once, and a lost executor does not bring them back.
+    """
+    matched = cut_lineage(_matched(items.withColumn("url", F.coalesce("url", F.lit(""))), state))
+    judged = split_scans(scans, matched)
     accepted = judged.where("accepted").select("competitor_id")
-    # Items of a competitor without a scan record do not belong to the batch.
-    batch = items.join(accepted, "competitor_id", "left_semi")
+    # Items without url, or of a competitor without a scan record, do not belong to the batch.
+    batch = matched.where("url <> ''").join(accepted, "competitor_id", "left_semi")
     sequence = change_sequence(state, batch, accepted, now)
     if keep_sequence:
         sequence = cut_lineage(sequence)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from shelfwatch.functions.constants import DESCRIPTOR_TOKENS, MUTATION_MARKERS, MUTATION_PHRASES, STAT_TOKENS
 from shelfwatch.functions.text import blank_to_null, words
 
-GAP = "\x01"
-ANY_PHRASE_WORD = " (?:" + "|".join(sorted({p.split()[0] for p in MUTATION_PHRASES})) + ") "
+SINGLE_WORDS = [p for p in MUTATION_PHRASES if " " not in p]
+WORD_PAIRS = [p for p in MUTATION_PHRASES if " " in p]
 # A word with a digit and one of the quantity units.
 QUANTITY_WORD = r"(?:^| )(?=[^ ]*\p{Nd})(?=[^ ]*(?:m|b|qn))"
 
@@ -26,21 +26,32 @@ def clean_tokens(title: Column) -> Column:
 def with_extraction(df: DataFrame, title: Column) -> DataFrame:
     """`df` with `cleaned`, `variant_part` and `base_part`: variant phrases and the remaining words of a title.
 
-    Phrases are looked up in table order in the whole title, so that is also their order in the result. Each phrase is
-    taken out once; a gap stays in its place so that its neighbours do not form a new phrase.
+    Phrases are looked up in table order, so that is also their order in the result. Only the first occurrence of each
+    is taken out; no word belongs to two phrases.
     """
     df = df.withColumn("cleaned", clean_tokens(title))
     df = df.withColumn("_padded", F.concat(F.lit(" "), "cleaned", F.lit(" ")))
     padded = F.col("_padded")
-    named = [F.when(padded.contains(f" {p} "), F.lit(p)) for p in MUTATION_PHRASES]
-    marked = padded
-    for phrase in MUTATION_PHRASES:
-        marked = F.regexp_replace(marked, f"^(.*?) {phrase} ", f"$1 {GAP} ")
-    hit = padded.rlike(ANY_PHRASE_WORD)
+    phrases = F.array(*[F.lit(p) for p in MUTATION_PHRASES])
+    df = df.withColumn("_found", F.filter(phrases, lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" ")))))
+
+    def pair_start(pair):
+        """Index of the first word of the pair's first occurrence: the number of blanks before it."""
+        before = F.substring_index(padded, f" {pair} ", 1)
+        return F.when(padded.contains(f" {pair} "), F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))))
+
+    starts = {f"_pair{i}": F.coalesce(pair_start(p), F.lit(-9)) for i, p in enumerate(WORD_PAIRS)}
+    df = df.withColumns({**starts, "_words": F.split("cleaned", " ")})
+
+    def stays(word, i):
+        in_pair = reduce(or_, [(i == F.col(n)) | (i == F.col(n) + 1) for n in starts])
+        return ~(in_pair | (word.isin(*SINGLE_WORDS) & (F.array_position("_words", word) == i + 1)))
+
+    hit = F.size("_found") > 0
     return df.withColumns({
-        "variant_part": F.when(hit, F.concat_ws(" ", *named)).otherwise(F.lit("")),
-        "base_part": F.when(hit, F.trim(F.regexp_replace(marked, f"[ {GAP}]+", " "))).otherwise(F.col("cleaned")),
-    }).drop("_padded")
+        "variant_part": F.array_join("_found", " "),
+        "base_part": F.when(hit, F.array_join(F.filter("_words", stays), " ")).otherwise(F.col("cleaned")),
+    }).drop("_padded", "_found", "_words", *starts)
 
 
 def with_identity(df: DataFrame, title: str = "normalized_title", category: str = "category", base_hint: Column | None = None) -> DataFrame:

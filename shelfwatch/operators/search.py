@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from shelfwatch.functions.constants import SEARCH_THRESHOLD
 from shelfwatch.functions.similarity import fuzzy_part
-from shelfwatch.functions.text import normalize_title, words
+from shelfwatch.functions.text import fold_title, words
 from shelfwatch.operators.identity import with_extraction, with_identity
 from shelfwatch.operators.listing import first_page
+from shelfwatch.session import cut_lineage
 from shelfwatch.sources.tables import with_competitor
 
 
@@ -24,11 +25,6 @@ def token_variants(title: Column) -> Column:
     return F.array_distinct(F.flatten(expand))
 
 
-def normalized_query(products: DataFrame, q: str) -> str:
-    """The query text under the same rule as titles: one value, evaluated on the driver."""
-    return products.sparkSession.range(1).select(normalize_title(F.lit(q))).first()[0]
-
-
 def _variants(norm: str) -> list[str]:
     found = {v for t in norm.split() for v in (t, t[:4], t[:6])}
     return sorted(v for v in found if len(v) >= 2)
@@ -40,7 +36,7 @@ def search_candidates(products: DataFrame, q: str, candidate_limit: int | None =
     The newest `candidate_limit` may be asked for; by default nothing is cut off.
     """
     rows = products.where("active")
-    variants = _variants(normalized_query(products, q))
+    variants = _variants(fold_title(q))
     if variants:
         rows = rows.where(reduce(or_, [F.contains("normalized_title", F.lit(v)) for v in variants]))
     if candidate_limit is not None:
@@ -48,26 +44,30 @@ def search_candidates(products: DataFrame, q: str, candidate_limit: int | None =
     return rows
 
 
-def with_match_score(df: DataFrame, query: Column, candidate: Column, name: str = "score") -> DataFrame:
-    """`df` with the match score of two normalised texts.
+def with_match_scores(df: DataFrame, query: Column, candidates: dict[str, Column]) -> DataFrame:
+    """`df` with the match score of the query text and each named candidate text, all normalised.
 
     A substring hit scores 1.0 and full word overlap 0.9, which no weighted ratio exceeds, so those rows are decided
-    without Python. The others reach it with only the two texts.
+    without Python. The others reach it with only the two texts, for all candidates in one Python stage.
     """
-    df = df.withColumns({"_q": query, "_c": candidate})
-    df = df.withColumn(
-        "_overlap",
-        F.size(F.array_intersect(words(F.col("_q")), words(F.col("_c")))) / F.greatest(F.size(F.array_distinct(words(F.col("_q")))), F.lit(1)),
-    )
-    empty = (F.coalesce("_q", F.lit("")) == "") | (F.coalesce("_c", F.lit("")) == "")
-    exact = F.when(empty, 0.0).when(F.contains("_c", F.col("_q")), 1.0).when(F.col("_overlap") == 1, 0.9)
-    df = df.withColumn("_exact", exact)
-    unknown = F.col("_exact").isNull()
-    fuzzy = fuzzy_part(F.when(unknown, F.col("_q")), F.when(unknown, F.col("_c")))
-    df = df.withColumn("_fuzzy", fuzzy)
-    return df.withColumn(name, F.coalesce("_exact", F.greatest(F.col("_overlap") * 0.9, F.col("_fuzzy")))).drop(
-        "_q", "_c", "_overlap", "_exact", "_fuzzy"
-    )
+    df = df.withColumn("_q", query).withColumn("_q_words", F.array_distinct(words(F.col("_q"))))
+    df = df.withColumns({f"_c_{n}": c for n, c in candidates.items()})
+    overlap, exact, fuzzy, score = {}, {}, {}, {}
+    for n in candidates:
+        q, c = F.col("_q"), F.col(f"_c_{n}")
+        shared = F.size(F.array_intersect("_q_words", words(c)))
+        overlap[f"_o_{n}"] = shared / F.greatest(F.size("_q_words"), F.lit(1))
+        empty = (F.coalesce(q, F.lit("")) == "") | (F.coalesce(c, F.lit("")) == "")
+        exact[f"_e_{n}"] = F.when(empty, 0.0).when(F.contains(c, q), 1.0).when(F.col(f"_o_{n}") == 1, 0.9)
+        unknown = F.col(f"_e_{n}").isNull()
+        fuzzy[f"_f_{n}"] = fuzzy_part(F.when(unknown, q), F.when(unknown, c))
+        score[n] = F.coalesce(f"_e_{n}", F.greatest(F.col(f"_o_{n}") * 0.9, F.col(f"_f_{n}")))
+    df = df.withColumns(overlap).withColumns(exact).withColumns(fuzzy).withColumns(score)
+    return df.drop("_q", "_q_words", *[f"_c_{n}" for n in candidates], *overlap, *exact, *fuzzy)
+
+
+def with_match_score(df: DataFrame, query: Column, candidate: Column, name: str = "score") -> DataFrame:
+    return with_match_scores(df, query, {name: candidate})
 
 
 def exact_match_scores(df: DataFrame, query: Column, candidate: Column) -> DataFrame:
@@ -79,8 +79,7 @@ def exact_match_scores(df: DataFrame, query: Column, candidate: Column) -> DataF
 
 def search_results(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None) -> DataFrame:
     """All products scoring at least the threshold, which is applied before rounding."""
-    norm = normalized_query(products, q)
-    rows = with_match_score(search_candidates(products, q, candidate_limit), F.lit(norm), F.col("normalized_title"))
+    rows = with_match_score(search_candidates(products, q, candidate_limit), F.lit(fold_title(q)), F.col("normalized_title"))
     hits = rows.where(F.col("score") >= SEARCH_THRESHOLD).withColumn("match_score", F.round("score", 3)).drop("score")
     return with_competitor(hits, competitors)
 
@@ -95,16 +94,15 @@ def search_products(
 
 def query_base_hint(products: DataFrame, q: str) -> str:
     """Base words of the query: what is left after its variant phrases, or all of it."""
-    one = products.sparkSession.range(1).select(F.lit(normalized_query(products, q)).alias("t"))
+    one = products.sparkSession.range(1).select(F.lit(fold_title(q)).alias("t"))
     return with_extraction(one, F.col("t")).select(F.coalesce(F.nullif("base_part", F.lit("")), "cleaned")).first()[0]
 
 
 def suggestion_rows(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None) -> DataFrame:
     """Candidates with market identity and score, the better of title and base."""
-    norm, hint = normalized_query(products, q), query_base_hint(products, q)
+    hint = query_base_hint(products, q)
     rows = with_identity(search_candidates(products, q, candidate_limit), base_hint=F.lit(hint))
-    rows = with_match_score(rows, F.lit(norm), F.col("normalized_title"), "title_score")
-    rows = with_match_score(rows, F.lit(norm), F.col("base"), "base_score")
+    rows = with_match_scores(rows, F.lit(fold_title(q)), {"title_score": F.col("normalized_title"), "base_score": F.col("base")})
     rows = rows.withColumn("match_score", F.greatest("title_score", "base_score")).where(F.col("match_score") >= SEARCH_THRESHOLD)
     return with_competitor(rows, competitors)
 
@@ -143,8 +141,14 @@ def group_competitors(rows: DataFrame) -> DataFrame:
 
 
 def search_suggestions(products: DataFrame, competitors: DataFrame, q: str, limit: int = 20, candidate_limit: int | None = None) -> DataFrame:
-    """The best groups with their first five title variants."""
-    rows = suggestion_rows(products, competitors, q, candidate_limit)
+    """The best groups with their first five title variants.
+
+    The scored hits are checkpointed, because groups and variants both need them and scoring is the expensive part.
+    """
+    rows = cut_lineage(suggestion_rows(products, competitors, q, candidate_limit).select(
+        "identity_key", "display_title", "base", "mutation", "mutation_label", "category", "id", "title", "current_price", "currency",
+        "last_checked_at", "match_score", "competitor_name",
+    ))
     groups = identity_groups(rows).withColumn("match_score", F.round("match_score", 3))
     order = [F.desc("match_score"), F.desc("competitors_count"), F.col("best_price").asc_nulls_last(), F.asc("identity_key")]
     top = first_page(groups, order, 1, limit)
