@@ -1,6 +1,8 @@
 """Sequence-matcher ratios. Not expressible with built-ins (`levenshtein` is a different measure), so Arrow batches.
 
 Both functions score each distinct input of a batch once and skip nulls, so callers null out what they already know.
+They are declared non-deterministic although they are not: Spark then leaves a filter on a score above the scoring,
+where it would otherwise push copies of the whole expression towards the scan.
 """
 
 from __future__ import annotations
@@ -29,14 +31,12 @@ def _each_pair(left: pd.Series, right: pd.Series, score) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def _sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratio of two texts; the order of the arguments matters."""
     return _each_pair(left, right, _ratio)
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_part(query: pd.Series, candidate: pd.Series) -> pd.Series:
+def _fuzzy_part(query: pd.Series, candidate: pd.Series) -> pd.Series:
     """The better of 0.8 x whole-text ratio and 0.7 x best word-pair ratio."""
 
     def score(q, c):
@@ -44,3 +44,7 @@ def fuzzy_part(query: pd.Series, candidate: pd.Series) -> pd.Series:
         return max(_ratio(q, c) * 0.8, best * 0.7)
 
     return _each_pair(query, candidate, score)
+
+
+sequence_ratio = F.pandas_udf(_sequence_ratio, T.DoubleType()).asNondeterministic()
+fuzzy_part = F.pandas_udf(_fuzzy_part, T.DoubleType()).asNondeterministic()

@@ -104,7 +104,8 @@ def market_comparison(products: DataFrame) -> DataFrame:
     """All identities at once: the best offer per competitor next to the market's cheapest offer and spread.
 
     Two aggregations on the identity, the first per competitor; both combine on the map side. The join back has one row
-    per identity on one side and one per seller on the other, whatever the number of products.
+    per identity on one side and one per seller on the other, whatever the number of products. Both sides use the same
+    columns of the offers, so their shuffle is done once and reused.
     """
     rows = with_identity(products)
     key = ["base", "mutation"]
@@ -115,6 +116,8 @@ def market_comparison(products: DataFrame) -> DataFrame:
     ).select(*key, "competitor_id", "o.*", "n_offers")
     market = offers.groupBy(*key).agg(
         F.count("*").alias("n_competitors"), F.min("price").alias("low"), F.max("price").alias("high"),
-        F.min_by("competitor_id", F.struct(F.col("price").isNull(), F.col("price"), F.col("competitor_id"))).alias("cheapest_competitor_id"),
-    )
+        F.min_by(F.struct(F.col("competitor_id").alias("cheapest_competitor_id"), F.col("product_id").alias("cheapest_product_id")),
+                 F.struct(F.col("price").isNull(), F.col("price"), F.col("competitor_id"))).alias("c"),
+        F.sum("n_offers").alias("n_products"),
+    ).select(*key, "n_competitors", "low", "high", "c.*", "n_products")
     return offers.join(market, key).withColumn("spread", F.col("high") - F.col("low"))

@@ -13,14 +13,15 @@ from shelfwatch.functions.text import blank_to_null, words
 
 SINGLE_WORDS = [p for p in MUTATION_PHRASES if " " not in p]
 WORD_PAIRS = [p for p in MUTATION_PHRASES if " " in p]
+ANY_PHRASE_WORD = " (?:" + "|".join(p.split()[0] for p in MUTATION_PHRASES) + ") "
+DROPPED_WORD = r"(?:^| )(?:[^ ]*\p{Nd}[^ ]*|" + "|".join(STAT_TOKENS) + r")(?= |$)"
 # A word with a digit and one of the quantity units.
 QUANTITY_WORD = r"(?:^| )(?=[^ ]*\p{Nd})(?=[^ ]*(?:m|b|qn))"
 
 
 def clean_tokens(title: Column) -> Column:
-    """Title words without numbers and stat words, joined."""
-    kept = F.filter(words(title), lambda t: ~t.rlike(r"\p{Nd}") & ~t.isin(*STAT_TOKENS))
-    return F.array_join(kept, " ")
+    """A normalised title without its numbers and stat words."""
+    return F.trim(F.regexp_replace(title, DROPPED_WORD, ""))
 
 
 def with_extraction(df: DataFrame, title: Column) -> DataFrame:
@@ -32,8 +33,11 @@ def with_extraction(df: DataFrame, title: Column) -> DataFrame:
     df = df.withColumn("cleaned", clean_tokens(title))
     df = df.withColumn("_padded", F.concat(F.lit(" "), "cleaned", F.lit(" ")))
     padded = F.col("_padded")
-    phrases = F.array(*[F.lit(p) for p in MUTATION_PHRASES])
-    df = df.withColumn("_found", F.filter(phrases, lambda p: F.contains(padded, F.concat(F.lit(" "), p, F.lit(" ")))))
+    phrases = F.array(*[F.lit(f" {p} ") for p in MUTATION_PHRASES])
+    none = F.array().cast("array<string>")
+    # Most titles name no phrase; a single expression tells them apart.
+    found = F.when(padded.rlike(ANY_PHRASE_WORD), F.filter(phrases, lambda p: F.contains(padded, p))).otherwise(none)
+    df = df.withColumn("_found", found)
 
     def pair_start(pair):
         """Index of the first word of the pair's first occurrence: the number of blanks before it."""
@@ -49,7 +53,7 @@ def with_extraction(df: DataFrame, title: Column) -> DataFrame:
 
     hit = F.size("_found") > 0
     return df.withColumns({
-        "variant_part": F.array_join("_found", " "),
+        "variant_part": F.when(hit, F.array_join(F.transform("_found", lambda p: F.trim(p)), " ")).otherwise(""),
         "base_part": F.when(hit, F.array_join(F.filter("_words", stays), " ")).otherwise(F.col("cleaned")),
     }).drop("_padded", "_found", "_words", *starts)
 

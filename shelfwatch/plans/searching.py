@@ -138,12 +138,14 @@ def compare_product(s):
 
 
 @job("market_comparison", oracle("""
-    SELECT o.*, m.n_competitors, m.low, m.high, m.cheapest_competitor_id, m.high - m.low AS spread
-    FROM (SELECT base, mutation, competitor_id, min(current_price) AS price, arg_min(id, ROW(current_price, id)) AS product_id, count(*) AS n_offers
-          FROM named GROUP BY ALL) o
-    JOIN (SELECT base, mutation, count(DISTINCT competitor_id) AS n_competitors, min(best) AS low, max(best) AS high,
-                 arg_min(competitor_id, ROW(best, competitor_id)) AS cheapest_competitor_id
-          FROM (SELECT base, mutation, competitor_id, min(current_price) AS best FROM named GROUP BY ALL) x GROUP BY ALL) m
-      ON o.base = m.base AND o.mutation = m.mutation""", "market_titles", named=IDENTITY))
+    SELECT o.*, m.n_competitors, m.low, m.high, m.cheapest.competitor_id AS cheapest_competitor_id, m.cheapest.product_id AS cheapest_product_id,
+           m.n_products, m.high - m.low AS spread
+    FROM offers o
+    JOIN (SELECT base, mutation, count(*) AS n_competitors, min(price) AS low, max(price) AS high,
+                 arg_min({'competitor_id': competitor_id, 'product_id': product_id}, ROW(price, competitor_id)) AS cheapest,
+                 CAST(sum(n_offers) AS BIGINT) AS n_products FROM offers GROUP BY base, mutation) m
+      ON o.base = m.base AND o.mutation = m.mutation""", "market_titles", named=IDENTITY, offers="""
+    SELECT base, mutation, competitor_id, min(current_price) AS price, arg_min(id, ROW(current_price, id)) AS product_id, count(*) AS n_offers
+    FROM named GROUP BY base, mutation, competitor_id"""))
 def market_comparison(s):
     return compare.market_comparison(titles(s))

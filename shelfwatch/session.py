@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,9 +41,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so an iterative job neither regrows its plan nor depends on one executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written once to the shared checkpoint folder and read back.
+
+    Later steps neither regrow its plan nor depend on the executors that computed it. A written table is used because
+    `checkpoint()` computes its input a second time for the write, and because a table has sizes to plan joins with and
+    columns to prune.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def at(df: DataFrame, column: str, when) -> Column:
