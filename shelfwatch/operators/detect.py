@@ -77,9 +77,9 @@ def first_of_each_product(loose: DataFrame) -> DataFrame:
             found.where("external_id is not null").select("competitor_id", "external_id"),
             ["competitor_id", "external_id"], "left_anti",
         )
-        pairs = cut_lineage(rest)
-        if pairs.isEmpty():
+        if rest.isEmpty():
             return openers
+        pairs = cut_lineage(rest)
 
 
 def assign_products(matched: DataFrame, now) -> DataFrame:
@@ -313,6 +313,9 @@ class ScanResult:
 def apply_scan(state: DataFrame, items: DataFrame, scans: DataFrame, now, keep_sequence: bool = False) -> ScanResult:
     """Apply one batch. With `keep_sequence` the shared sequence is checkpointed once for all outputs.
 
+    Items are expected to be deduplicated per competitor (`dedupe_catalog`), as every landing source does; repeated
+    urls and external ids are still handled in order, but then one product's items form one sequence in one task.
+
     The matched items are checkpointed: the guard, the search for new products and the sequence all start from them, so
     the two joins of matching run once, and a lost executor does not bring them back.
     """

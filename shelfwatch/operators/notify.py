@@ -14,7 +14,7 @@ from shelfwatch.operators.dashboard import as_datetime
 from shelfwatch.session import at
 
 STOCK_EVENT_TYPES = ("stock_in", "stock_out")
-PACING_BUCKETS = 64
+PACING_BUCKETS = 1024
 
 
 def due_competitors(competitors: DataFrame, runs: DataFrame, now) -> DataFrame:

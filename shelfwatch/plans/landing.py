@@ -248,6 +248,15 @@ def sitemap_closure(s):
     return sitemaps.sitemap_closure(s.sql(SITEMAP_TREE)).select("competitor_id", "url")
 
 
+@job("collection_closure", """
+    SELECT s_suppkey AS competitor_id, unnest(['deep', concat('c', CAST(s_suppkey AS VARCHAR))]) AS handle FROM supplier""")
+def collection_closure(s):
+    handles = F.concat(F.lit("/collections/all /collections/c"), F.col("competitor_id").cast("string"), F.lit(" /collections/deep"))
+    tree = s.sql(SITEMAP_TREE)
+    marked = F.when(F.col("doc_url").endswith("three.xml"), F.concat("body", handles)).otherwise(F.col("body"))
+    return sitemaps.collection_closure(tree.withColumn("body", marked)).select("competitor_id", "handle")
+
+
 COLLECTION_TEXTS = """
     SELECT s_suppkey AS doc_id, concat('<a href="/collections/all">x</a><loc>https://e.example/collections/c', CAST(s_suppkey AS STRING),
            '</loc> /collections/adopt-me/ /collections/c', CAST(s_suppkey AS STRING), '?a /collections/new') AS body FROM {supplier}"""

@@ -66,3 +66,9 @@ def write_scan(spark: SparkSession, folder: str, batch: int, items: DataFrame, s
     _append(failure_events(runs), folder, "failures", batch, "detected_at")
     result.state.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
     return result
+
+
+def write_outbox(outbox: DataFrame, deliveries: DataFrame, folder: str, batch: int) -> None:
+    """Hand messages over: the outbox rows, then the deliveries that keep their events from being sent again."""
+    outbox.write.mode("overwrite").parquet(f"{folder}/outbox/batch={batch}")
+    deliveries.write.mode("overwrite").parquet(f"{folder}/deliveries/batch={batch}")

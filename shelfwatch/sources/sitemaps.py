@@ -48,38 +48,52 @@ def collection_handles(docs: DataFrame) -> DataFrame:
 
 
 def sitemap_closure(docs: DataFrame, max_depth: int = 100) -> DataFrame:
-    """Product urls reachable from each shop's `/sitemap.xml`: (competitor_id, url, trail).
+    """Product urls reachable from each shop's `/sitemap.xml`: (competitor_id, url, trail)."""
+    found = docs.select("competitor_id", "base_url", "doc_url", locs(F.col("body")).alias("locs"))
+    known = found.select(
+        "competitor_id", "base_url", "doc_url", product_locs(F.col("locs"), F.col("base_url")).alias("leaves"),
+        nested_locs(F.col("locs"), F.col("base_url")).alias("nested"),
+    )
+    return _walk(known, max_depth).withColumnRenamed("leaf", "url")
 
-    `docs` are landed documents (competitor_id, base_url, doc_url, body). A document with product urls ends the walk,
-    any other passes it on to its nested sitemaps. Each round is one join of the open documents with the landed ones;
-    `trail` orders the results as a depth-first walk would. A document is not entered again below itself.
-    """
-    found = locs(F.col("body"))
-    known = cut_lineage(
-        docs.select("competitor_id", "base_url", "doc_url", found.alias("locs")).select(
-            "competitor_id", "base_url", "doc_url", product_locs(F.col("locs"), F.col("base_url")).alias("urls"),
-            nested_locs(F.col("locs"), F.col("base_url")).alias("nested"),
-        )
+
+def collection_closure(docs: DataFrame, max_depth: int = 100) -> DataFrame:
+    """Collection handles reachable from each shop's `/sitemap.xml`: (competitor_id, handle, trail)."""
+    known = docs.select(
+        "competitor_id", "base_url", "doc_url", handles(F.col("body")).alias("leaves"),
+        nested_locs(locs(F.col("body")), F.col("base_url")).alias("nested"),
     )
+    return _walk(known, max_depth).withColumnRenamed("leaf", "handle")
+
+
+def _walk(known: DataFrame, max_depth: int) -> DataFrame:
+    """Leaves of the documents reached from the root: (competitor_id, leaf, trail).
+
+    A document with leaves ends the walk, any other passes it on to its nested sitemaps. Each round is one join of the
+    open documents with the landed ones; `trail` orders the results as a depth-first walk would. A document is not
+    entered again below itself.
+    """
+    known = cut_lineage(known)
     root = F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/sitemap.xml"))
     front = known.where(F.col("doc_url") == root).select(
-        "competitor_id", "doc_url", "urls", "nested", F.array("doc_url").alias("above"), F.lit("").alias("trail")
+        "competitor_id", "doc_url", "leaves", "nested", F.array("doc_url").alias("above"), F.lit("").alias("trail")
     )
+    step = F.concat("trail", F.lpad(F.col("pos").cast("string"), 8, "0"))
     done = None
     for _ in range(max_depth):
-        ended = front.where(F.size("urls") > 0).select(
-            "competitor_id", "trail", F.posexplode("urls").alias("pos", "url")
-        ).select("competitor_id", "url", F.concat("trail", F.lpad(F.col("pos").cast("string"), 8, "0")).alias("trail"))
+        ended = front.where(F.size("leaves") > 0).select(
+            "competitor_id", "trail", F.posexplode("leaves").alias("pos", "leaf")
+        ).select("competitor_id", "leaf", step.alias("trail"))
         done = ended if done is None else done.unionByName(ended)
-        open_docs = front.where(F.size("urls") == 0).select(
+        open_docs = front.where(F.size("leaves") == 0).select(
             "competitor_id", "above", "trail", F.posexplode("nested").alias("pos", "doc_url")
         ).where(~F.array_contains("above", F.col("doc_url")))
         front = cut_lineage(
-            open_docs.join(known.select("competitor_id", "doc_url", "urls", "nested"), ["competitor_id", "doc_url"]).select(
-                "competitor_id", "doc_url", "urls", "nested", F.array_append("above", F.col("doc_url")).alias("above"),
-                F.concat("trail", F.lpad(F.col("pos").cast("string"), 8, "0"), F.lit("/")).alias("trail"),
+            open_docs.join(known.select("competitor_id", "doc_url", "leaves", "nested"), ["competitor_id", "doc_url"]).select(
+                "competitor_id", "doc_url", "leaves", "nested", F.array_append("above", F.col("doc_url")).alias("above"),
+                F.concat(step, F.lit("/")).alias("trail"),
             )
         )
         if front.isEmpty():
             break
-    return done.groupBy("competitor_id", "url").agg(F.min("trail").alias("trail"))
+    return done.groupBy("competitor_id", "leaf").agg(F.min("trail").alias("trail"))

@@ -10,6 +10,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Landed page documents (JSON, HTML, XML), one whole file per row: doc_url and body."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_url"), F.col("value").alias("body"))
+
+
 def list_competitors(competitors: DataFrame, active_only: bool = False) -> DataFrame:
     """All or only the active competitors. The caller orders: newest first is `newest_first`."""
     return competitors.where("active") if active_only else competitors

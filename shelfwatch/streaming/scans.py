@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from shelfwatch.sinks.state import write_scan
+from shelfwatch.sources.catalogs import dedupe_catalog
 
 CHANGE_SCHEMA = (
     "competitor_id long, product_key string, scan_no long, event_type string, old_price decimal(12,2), price decimal(12,2), "
@@ -19,8 +20,10 @@ CHANGE_SCHEMA = (
 )
 
 
-def scan_stream(items: DataFrame, folder: str, checkpoint: str, clock=lambda batch: datetime.now()) -> StreamingQuery:
-    """A stream of landed items applied batch by batch to the stored state.
+def scan_stream(
+    items: DataFrame, folder: str, checkpoint: str, clock=lambda batch: datetime.now(), by_external_id: bool = False
+) -> StreamingQuery:
+    """A stream of landed items applied batch by batch to the stored state, first item per catalog key.
 
     Every competitor with items in a micro-batch counts as scanned by it. The micro-batch number is the version of the
     state it writes, so a batch that is delivered again is recognised and skipped.
@@ -28,7 +31,7 @@ def scan_stream(items: DataFrame, folder: str, checkpoint: str, clock=lambda bat
 
     def apply(batch: DataFrame, number: int) -> None:
         scans = batch.select("competitor_id").distinct().withColumn("allow_empty", F.lit(False))
-        write_scan(batch.sparkSession, folder, number, batch, scans, clock(number))
+        write_scan(batch.sparkSession, folder, number, dedupe_catalog(batch, by_external_id), scans, clock(number))
 
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

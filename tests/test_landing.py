@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwatch.operators import onboarding
 from shelfwatch.sources import catalogs, listing_html, product_html, sitemaps, targets
+from shelfwatch.sources.tables import read_documents
 
 
 def pages(spark, bodies, **extra):
@@ -124,6 +125,13 @@ def test_sitemap_walk_keeps_depth_first_order(spark):
     assert [r.url for r in out] == [f"https://e.com/products/{i}" for i in (1, 2, 3)]
 
 
+def test_documents_are_read_whole(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"products": [\n{"id": 1, "title": "T", "handle": "h",\n "variants": [{"price": "2"}]}]}')
+    docs = read_documents(spark, str(tmp_path)).select(F.lit(1).alias("competitor_id"), F.lit("https://e.com").alias("base_url"),
+                                                      F.lit(None).cast("string").alias("category"), F.lit(0).alias("page_ix"), "body")
+    assert [(r.title, str(r.price)) for r in catalogs.extract_catalog_json(docs).collect()] == [("T", "2.00")]
+
+
 def test_take_pages_edges(spark):
     rows = [("a", 1, True, 5), ("a", 2, True, 5), ("a", 4, True, 5), ("b", 1, False, 5), ("b", 2, True, 5), ("c", 1, True, 0), ("d", 2, True, 1),
             *[("e", n, True, 1) for n in range(1, 9)], ("a", 2, True, 5)]

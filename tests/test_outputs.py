@@ -179,6 +179,10 @@ def test_backlog_threshold(spark):
     assert sorted(r.send_after for r in out.collect()) == list(range(26))
     assert notify.notification_outbox(pending, first, shops(spark), products(spark), NOW, "https://d", enabled=False).count() == 0
     done = notify.new_deliveries(pending, first, out, NOW)
+    store = f"{spark.conf.get('spark.sql.warehouse.dir')}/outbox-test"
+    state.write_outbox(out, done, store, 0)
+    assert spark.read.parquet(f"{store}/outbox").count() == 26
+    done = spark.read.parquet(f"{store}/deliveries")
     assert done.count() == 53 and notify.pending_events(events(spark, rows), done).count() == 0
 
 
