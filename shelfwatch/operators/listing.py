@@ -107,19 +107,27 @@ def price_series(snapshots: DataFrame) -> DataFrame:
     return points.join(enough, "product_id", "left_semi")
 
 
+def product_key(product_id: Column, spread: Column) -> list[Column]:
+    """Two-column join key of an optional product id.
+
+    Rows without product get a key of their own that no product has: they neither match nor gather under null, and the
+    table is read once.
+    """
+    return [product_id.isNotNull().alias("has_product"), F.coalesce(product_id, spread).alias("product_key")]
+
+
 def event_rows(events: DataFrame, competitors: DataFrame, products: DataFrame, *keep: str) -> DataFrame:
     """Events with competitor name and, where the product still exists, its title and category."""
     items = products.select(
-        F.col("id").alias("product_id"), F.col("title").alias("product_title"), F.col("category").alias("product_category")
+        F.lit(True).alias("has_product"), F.col("id").alias("product_key"), F.col("title").alias("product_title"),
+        F.col("category").alias("product_category"),
     )
-    base = ["id", "competitor_id", "product_id", "event_type", "detected_at", "notification_sent", *keep]
-    rows = events.select(*base)
-    # Nulls never match: keeping them out of the outer join spares its partitions one large null group.
-    matched = rows.where("product_id is not null").join(items, "product_id", "left")
-    alone = rows.where("product_id is null").select(
-        *base, F.lit(None).cast("string").alias("product_title"), F.lit(None).cast("string").alias("product_category")
+    rows = events.select(
+        "id", "competitor_id", "product_id", "event_type", "detected_at", "notification_sent", *keep,
+        *product_key(F.col("product_id"), F.col("id")),
     )
-    return with_competitor(matched.unionByName(alone), competitors)
+    joined = rows.join(items, ["has_product", "product_key"], "left").drop("has_product", "product_key")
+    return with_competitor(joined, competitors)
 
 
 def event_list(

@@ -11,7 +11,8 @@ from shelfwatch.functions.constants import FIRST_SCAN_BACKLOG, PRICE_EVENT_TYPES
 from shelfwatch.functions.prices import money
 from shelfwatch.functions.text import blank_to_null, first_filled
 from shelfwatch.operators.dashboard import as_datetime
-from shelfwatch.session import at
+from shelfwatch.operators.listing import product_key
+from shelfwatch.session import at, cut_lineage
 
 STOCK_EVENT_TYPES = ("stock_in", "stock_out")
 PACING_BUCKETS = 1024
@@ -61,9 +62,10 @@ def suppressed_events(pending: DataFrame, initial: DataFrame) -> DataFrame:
 
 
 def deliverable_events(pending: DataFrame, initial: DataFrame) -> DataFrame:
-    quiet = suppressing_competitors(pending, initial)
-    others = pending.where("event_type <> 'new_product'")
-    return others.unionByName(pending.where("event_type = 'new_product'").join(quiet, "competitor_id", "left_anti"))
+    """Pending events without the suppressed ones."""
+    quiet = suppressing_competitors(pending, initial).withColumn("quiet", F.lit(True))
+    marked = pending.join(quiet, "competitor_id", "left")
+    return marked.where("event_type <> 'new_product' or quiet is null").drop("quiet")
 
 
 def routed_events(events: DataFrame, competitors: DataFrame, products: DataFrame, default_webhook: str | None = None) -> DataFrame:
@@ -78,15 +80,16 @@ def routed_events(events: DataFrame, competitors: DataFrame, products: DataFrame
         F.coalesce(blank_to_null(c("webhook_url")), blank_to_null(F.lit(default_webhook))).alias("target"),
     )
     items = products.select(
-        c("id").alias("product_id"), c("title").alias("product_title"), c("url").alias("product_url"),
-        c("category").alias("product_category"), c("currency").alias("product_currency"), c("stock_status").alias("product_stock"),
+        F.lit(True).alias("has_product"), c("id").alias("product_key"), c("title").alias("product_title"),
+        c("url").alias("product_url"), c("category").alias("product_category"), c("currency").alias("product_currency"),
+        c("stock_status").alias("product_stock"), F.lit(True).alias("found"),
     )
-    with_product = ("new_product", *PRICE_EVENT_TYPES, *STOCK_EVENT_TYPES)
-    needing = events.where(c("event_type").isin(*with_product) & c("product_id").isNotNull()).join(items, "product_id")
-    removed = events.where("event_type = 'product_removed'").select(
-        "*", *[F.lit(None).cast(items.schema[n].dataType).alias(n) for n in items.columns if n != "product_id"]
+    needs = c("event_type").isin("new_product", *PRICE_EVENT_TYPES, *STOCK_EVENT_TYPES)
+    wanted = events.where(needs | (c("event_type") == "product_removed")).select(
+        "*", *product_key(F.when(needs, c("product_id")), c("id"))
     )
-    return needing.unionByName(removed).join(shops, "competitor_id").where("target is not null")
+    joined = wanted.join(items, ["has_product", "product_key"], "left").where(~needs | c("found"))
+    return joined.drop("has_product", "product_key", "found").join(shops, "competitor_id").where("target is not null")
 
 
 def _field(name: str, value: Column, inline: bool = True) -> Column:
@@ -187,7 +190,9 @@ def notification_outbox(
     events = deliverable_events(pending, initial)
     if not enabled:
         events = events.limit(0)
-    return paced(render_messages(routed_events(events, competitors, products, default_webhook), now))
+    # Pacing reads the messages twice, for the bucket sizes and for the numbering.
+    messages = cut_lineage(render_messages(routed_events(events, competitors, products, default_webhook), now))
+    return paced(messages)
 
 
 def new_deliveries(pending: DataFrame, initial: DataFrame, outbox: DataFrame, now) -> DataFrame:
