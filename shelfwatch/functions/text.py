@@ -68,11 +68,14 @@ def plain_unescape(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
+def _unescape_texts(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
+# Declared non-deterministic so that a filter on the result stays above it and texts go to Python once.
+_unescape = F.pandas_udf(_unescape_texts, T.StringType()).asNondeterministic()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _unescape_all(blocks: pd.Series) -> pd.Series:
     return blocks.map(lambda bs: None if bs is None else [html.unescape(b) for b in bs])

@@ -15,6 +15,7 @@ from shelfwatch.functions.prices import with_price
 from shelfwatch.functions.text import blank_to_null, english_category, english_text, first_filled, strip, title_from_handle
 from shelfwatch.functions.urls import resolve_url, without_slash
 from shelfwatch.schemas import ITEM_COLUMNS
+from shelfwatch.session import cut_lineage
 
 # Room for the position inside a page; a page document never lists this many products.
 PAGE_STRIDE = 1_000_000
@@ -139,6 +140,9 @@ def extract_category_api_json(pages: DataFrame) -> DataFrame:
                    F.lit("Uncategorized")).alias("own_category"),
     ).where("title <> '' and product_url is not null")
 
+    # The first product of a category is found among all of its records, so they are extracted once and kept.
+    rows = cut_lineage(rows.select("competitor_id", "base_url", "category_id", "category_name", "item_ix", "title", "product_url",
+                                   "price", "currency", "own_category", "r"))
     group = ["competitor_id", "category_id"]
     first = rows.groupBy(*group).agg(
         F.min_by("own_category", "item_ix").alias("first_category"), F.min("item_ix").alias("first_ix")
