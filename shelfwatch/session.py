@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,18 +27,29 @@ def build_session(app: str = "shelfwatch", master: str | None = None, **extra: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only where none is configured."""
+    """The shared checkpoint folder the session names; where none is named, a folder inside the warehouse."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="shelfwatch-checkpoint-")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        local = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(context._jsc.hadoopConfiguration()).getScheme() == "file"
+        if local and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set and the warehouse is a machine-local folder")
     context.setCheckpointDir(folder)
     return folder
 
 
+def scratch_path(spark: SparkSession, kind: str = "cut") -> str:
+    """A new path in the shared checkpoint folder; what is written there goes when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder and read back.
 
@@ -47,7 +57,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     `checkpoint()` computes its input a second time for the write, and because a table has sizes to plan joins with and
     columns to prune.
     """
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    folder = scratch_path(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
