@@ -21,17 +21,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfwatch.llm.charclass import byte_level_starts
 from shelfwatch.llm.common import slices, table, worker_store
 
-#: How the byte-level tokenizers split text: contractions, then letters, digits or signs with one leading space, then blanks.
-#: `\s` of their pattern means Unicode's White_Space.
-BYTE_LEVEL_PATTERN = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-)
 #: Between two words: a text may be cut before this blank, because words end before it and the next one starts with it.
 SAFE_CUT = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
 NO_RANK = np.iinfo(np.int64).max
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 SLICE_CHARS = 3_000_000
 PIECE_CHARS = 1_000_000
 
@@ -84,33 +80,42 @@ class Merges:
         if self.suffix:
             ends = np.cumsum(sizes)[sizes > 0] - 1
             symbol[ends] = self.last[letters[ends]]
+        rank, into = np.full(len(symbol), NO_RANK), np.zeros(len(symbol), np.int64)
+        fresh = np.arange(len(symbol) - 1)
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
+            rank[fresh], into[fresh] = self.rank_pairs(symbol[fresh], symbol[fresh + 1], owner[fresh] == owner[fresh + 1])
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            key = (symbol[:-1] << 32) | symbol[1:]
-            at = np.searchsorted(self.keys, key)
-            at[at == len(self.keys)] = 0
-            rank = np.full(len(symbol), NO_RANK)
-            rank[:-1] = np.where((self.keys[at] == key) & (owner[1:] == owner[:-1]), self.ranks[at], NO_RANK)
             lowest = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(symbol)]))
-            open_ = lowest < NO_RANK
-            if not open_.all():
-                done.append((owner[~open_], symbol[~open_]))
-            chosen = (rank == lowest) & open_
-            if chosen[1:][chosen[:-1]].any():  # a pair of equal symbols can overlap itself: every second place of a run
+            stay = lowest < NO_RANK
+            if not stay.all():
+                done.append((owner[~stay], symbol[~stay]))
+            chosen = (rank == lowest) & stay
+            if (chosen[1:] & chosen[:-1]).any():  # a pair of equal symbols can overlap itself: every second place of a run
                 place = np.arange(len(chosen))
                 run = place - np.maximum.accumulate(np.where(chosen, -1, place))
                 chosen &= run % 2 == 1
             hit = np.flatnonzero(chosen)
-            symbol[hit] = self.merged[at[hit]]
-            open_[hit + 1] = False
-            symbol, owner = symbol[open_], owner[open_]
+            symbol[hit] = into[hit]
+            rank[hit] = NO_RANK
+            stay[hit + 1] = False
+            new = (np.cumsum(stay) - 1)[hit]  # where the merged symbols stand among those that stay
+            symbol, owner, rank, into = symbol[stay], owner[stay], rank[stay], into[stay]
+            fresh = np.r_[new, new[new > 0] - 1]
+            fresh = fresh[fresh < len(symbol) - 1]
         if not done:
             return np.empty(0, np.int64), sizes
         owner, symbol = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(owner, kind="stable")
         return symbol[order], np.bincount(owner, minlength=len(words))
 
+    def rank_pairs(self, left: np.ndarray, right: np.ndarray, together: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and product of each pair; no rank for pairs that don't merge."""
+        key = (left << 32) | right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == key) & together, self.ranks[at], NO_RANK), self.merged[at]
+
     def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all tokens one after the other, and how many each has."""
         lengths = self.spelling_length[ids]
@@ -171,25 +176,27 @@ def pieces(text: str, most: int = PIECE_CHARS):
     yield text[start:] if start else text
 
 
-def byte_level_words(text: str, pattern, merges: Merges) -> list:
+def byte_level_words(text: str, merges: Merges) -> list:
     words: list = []
     for piece in pieces(text):
-        if merges.special and any(s in piece for s in merges.special):
-            for part in merges.special_pattern.split(piece):
-                words += [(merges.special[part],)] if part in merges.special else pattern.findall(part)
-        else:
-            words += pattern.findall(piece)
+        parts = merges.special_pattern.split(piece) if merges.special and any(s in piece for s in merges.special) else (piece,)
+        for part in parts:
+            if part in merges.special:
+                words.append((merges.special[part],))
+            else:
+                starts = byte_level_starts(part).tolist()
+                words += [part[a:b] for a, b in zip(starts, [*starts[1:], None])]
     return words
 
 
-def encode_texts(texts: list[str], words: Words, pattern):
+def encode_texts(texts: list[str], words: Words):
     """(index of the first text, ids, token counts of the texts) for slices of `texts`."""
     for first, part in slices(texts, SLICE_CHARS):
         flat: list = []
         sizes = []
         for text in part:
             before = len(flat)
-            flat += byte_level_words(text, pattern, words.merges)
+            flat += byte_level_words(text, words.merges)
             sizes.append(len(flat) - before)
         ids, lengths = words.tokens(flat)
         ends = np.r_[0, np.cumsum(lengths)][np.cumsum(sizes)] if len(flat) else np.zeros(len(part), np.int64)
@@ -212,11 +219,11 @@ def over_texts(docs: DataFrame, content: bytes, keep: list[str], schema: str, bu
     types = [kinds[f.split()[1]] for f in schema.split(", ")]
 
     def run(batches):
-        words, pattern = kept_words(shared.value), regex.compile(BYTE_LEVEL_PATTERN)
+        words = kept_words(shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for first, ids, counts in encode_texts(texts, words, pattern):
+            for first, ids, counts in encode_texts(texts, words):
                 made = build(ids, counts, words)
                 kept = [batch.column(batch.schema.get_field_index(c)).slice(first, len(counts)) for c in keep]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(v, t) for v, t in zip(made, types)], names=keep + names)
