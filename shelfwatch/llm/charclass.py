@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import regex
 
 from shelfwatch.llm.common import worker_store
 
 BLANK, LETTER, DIGIT, SIGN = range(4)
-CLASSES = {BLANK: r"\p{White_Space}", LETTER: r"\p{L}", DIGIT: r"\p{N}"}
+#: The characters with the property White_Space.
+BLANKS = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: Where version 16 of Unicode added letters and digits.
+ADDED_IN_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D8F), (0x10EC2, 0x10EC4), (0x11380, 0x113E2),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x16139), (0x16D40, 0x16D79), (0x18CFF, 0x18CFF),
+    (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5FA),
+)
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 def class_table() -> np.ndarray:
-    """The class of every code point; what is no blank, letter or digit is a sign."""
+    """The class of every code point; what is no blank, letter or digit is a sign.
+
+    Letters and digits are those of Unicode 16, as in the tokenizers' library: Python's own tables, and for what that version
+    added the `regex` module's, which know still later characters.
+    """
     store = worker_store()
     if "classes" not in store:
+        major = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
         made = np.full(0x110000, SIGN, np.uint8)
-        for start in range(0, 0x110000, 0x1000):
-            if start in range(0xD000, 0xE000):
-                points = [c for c in range(start, start + 0x1000) if not 0xD800 <= c < 0xE000]
-            else:
-                points = range(start, start + 0x1000)
-            text = "".join(map(chr, points))
-            for code, pattern in CLASSES.items():
-                for m in regex.finditer(pattern + "+", text):
-                    made[points[m.start()] : points[m.end() - 1] + 1] = code
+        made[major == "L"], made[major == "N"], made[list(BLANKS)] = LETTER, DIGIT, BLANK
+        for first, last in ADDED_IN_16:
+            for c in range(first, last + 1):
+                made[c] = LETTER if regex.match(r"\p{L}", chr(c)) else DIGIT if regex.match(r"\p{N}", chr(c)) else made[c]
         store["classes"] = made
     return store["classes"]
 
