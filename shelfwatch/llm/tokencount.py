@@ -34,6 +34,8 @@ N_STATES = 7
 #: Annotations: a word begins at this character, at the one before.
 HERE, BEFORE = 1, 2
 CHUNK = 128
+#: Lower cases that Python's tables don't have yet, and sigma, which Python would make final.
+LATER_LOWER = (("\u03a3", "\u03c3"), ("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"), ("\ua7d2", "\ua7d3"), ("\ua7d4", "\ua7d5"))
 
 
 def compile_splitter() -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +115,9 @@ def word_spans(kinds: np.ndarray, step: np.ndarray, note: np.ndarray) -> tuple[n
 def normalise(text: str) -> str:
     """NFC, then the lower case of every character by itself (no final sigma)."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = unicodedata.normalize("NFC", text)
+        for upper, lower in LATER_LOWER:
+            text = text.replace(upper, lower)
     return text.lower()
 
 
