@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from shelfwatch.llm.bpe import op8_bpe
+from shelfwatch.llm.fingerprints import op9_fingerprints
+from shelfwatch.llm.licenses import op10_licenses
 from shelfwatch.llm.mixing import OP4_SQL, op4_mixing
 from shelfwatch.llm.tokencount import op3_token_counts
 from shelfwatch.llm.topk import OP7_SQL, op7_topk
 from shelfwatch.llm.toxicity import op1_toxicity
 from shelfwatch.llm.warc import OP6_SQL, op6_warc
 
-LLM_JOBS = {"op1_toxicity": op1_toxicity, "op4_mixing": op4_mixing, "op6_warc": op6_warc, "op7_topk": op7_topk, "op8_bpe": op8_bpe, "op3_token_counts": op3_token_counts}
+LLM_JOBS = {
+    "op1_toxicity": op1_toxicity,
+    "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
+    "op6_warc": op6_warc,
+    "op7_topk": op7_topk,
+    "op8_bpe": op8_bpe,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_licenses": op10_licenses,
+}
 LLM_ORACLE = {"op4_mixing": OP4_SQL, "op6_warc": OP6_SQL, "op7_topk": OP7_SQL}
