@@ -6,6 +6,7 @@ from shelfwatch.llm.bpe import op8_bpe
 from shelfwatch.llm.fingerprints import op9_fingerprints
 from shelfwatch.llm.licenses import op10_licenses
 from shelfwatch.llm.mixing import OP4_SQL, op4_mixing
+from shelfwatch.llm.neardup import op2_neardup
 from shelfwatch.llm.tokencount import op3_token_counts
 from shelfwatch.llm.topk import OP7_SQL, op7_topk
 from shelfwatch.llm.toxicity import op1_toxicity
@@ -13,6 +14,7 @@ from shelfwatch.llm.warc import OP6_SQL, op6_warc
 
 LLM_JOBS = {
     "op1_toxicity": op1_toxicity,
+    "op2_neardup": op2_neardup,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op6_warc": op6_warc,
