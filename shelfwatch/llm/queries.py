@@ -7,6 +7,7 @@ from shelfwatch.llm.fingerprints import op9_fingerprints
 from shelfwatch.llm.licenses import op10_licenses
 from shelfwatch.llm.mixing import OP4_SQL, op4_mixing
 from shelfwatch.llm.neardup import op2_neardup
+from shelfwatch.llm.substrings import op5_substrings
 from shelfwatch.llm.tokencount import op3_token_counts
 from shelfwatch.llm.topk import OP7_SQL, op7_topk
 from shelfwatch.llm.toxicity import op1_toxicity
@@ -17,6 +18,7 @@ LLM_JOBS = {
     "op2_neardup": op2_neardup,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_substrings": op5_substrings,
     "op6_warc": op6_warc,
     "op7_topk": op7_topk,
     "op8_bpe": op8_bpe,
