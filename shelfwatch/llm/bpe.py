@@ -226,7 +226,7 @@ def over_texts(docs: DataFrame, content: bytes, keep: list[str], schema: str, bu
             for first, ids, counts in encode_texts(texts, words):
                 made = build(ids, counts, words)
                 kept = [batch.column(batch.schema.get_field_index(c)).slice(first, len(counts)) for c in keep]
-                yield pa.RecordBatch.from_arrays(kept + [pa.array(v, t) for v, t in zip(made, types)], names=keep + names)
+                yield pa.RecordBatch.from_arrays(kept + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types)], names=keep + names)
 
     kept_types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(*keep, "text").mapInArrow(run, f"{kept_types}, {schema}") if "text" not in keep else docs.select(*keep).mapInArrow(run, f"{kept_types}, {schema}")
@@ -257,6 +257,17 @@ def decode(encoded: DataFrame, content: bytes, keep: list[str]) -> DataFrame:
     return encoded.select(*keep, "ids").mapInArrow(run, f"{kept_types}, decoded string")
 
 
+def encode_checked(docs: DataFrame, content: bytes, keep: list[str]) -> DataFrame:
+    """`keep`, n_tokens and ids of every document, and the digest of the text that the ids decode to."""
+
+    def build(ids, counts, words):
+        offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
+        texts = decode_ids(ids, counts, words.merges)
+        return counts, pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32))), [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+    return over_texts(docs, content, keep, "n_tokens long, ids array<int>, decoded_sha256 string", build)
+
+
 def round_trip(docs: DataFrame, content: bytes, keep: list[str]) -> DataFrame:
     """`keep`, n_tokens and digests of the ids and of the text decoded from them, without sending ids or texts on."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
 from shelfwatch.llm.bpe import op8_bpe
 from shelfwatch.llm.fingerprints import op9_fingerprints
 from shelfwatch.llm.licenses import op10_licenses
@@ -24,5 +25,6 @@ LLM_JOBS = {
     "op8_bpe": op8_bpe,
     "op9_fingerprints": op9_fingerprints,
     "op10_licenses": op10_licenses,
+    "pipeline": run,
 }
 LLM_ORACLE = {"op4_mixing": OP4_SQL, "op6_warc": OP6_SQL, "op7_topk": OP7_SQL}

@@ -170,11 +170,12 @@ def compare_spread(records: DataFrame, parts: int) -> DataFrame:
                 place = np.array([p for i in row.tolist() for p in rows[i][2]], np.int64)
                 uid = np.array([r[1] for r in rows], np.int64)[row][pick]
                 begin = place - k[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(first[row, k][pick].view(np.int64)), pa.array(second[row, k][pick].view(np.int64)), pa.array(uid), pa.array(begin)], names=["h", "g", "uid", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(first[row, k][pick].view(np.int64)), pa.array(second[row, k][pick].view(np.int64)), pa.array(k[pick].astype(np.int32)), pa.array(uid), pa.array(begin)], names=["h", "g", "k", "uid", "first"])
 
-    strings = records.mapInArrow(expand, "h long, g long, uid long, first long")
-    several = strings.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    return strings.join(several, ["h", "g"], "left_semi").select("uid", "first", (F.col("first") + LENGTH).alias("last"))
+    # a string may hold two anchors; only its occurrences around the same one are counted
+    strings = records.mapInArrow(expand, "h long, g long, k int, uid long, first long")
+    several = strings.groupBy("h", "g", "k").agg(F.count("*").alias("n")).where("n > 1").select("h", "g", "k")
+    return strings.join(several, ["h", "g", "k"], "left_semi").select("uid", "first", (F.col("first") + LENGTH).alias("last"))
 
 
 def shared_leads(rows: DataFrame) -> DataFrame:
@@ -303,6 +304,43 @@ def find_repeats(docs: DataFrame, hot_lead: int = HOT_LEAD) -> DataFrame:
 REMOVED_FIELDS = "n_removed long, n_spans long, kept_sha256 string"
 
 
+def whole_characters(data: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs without the characters that they have only a part of."""
+    inside = []
+    for a, b in runs:
+        while a < b and data[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            inside.append((a, b))
+    return inside
+
+
+def without_repeats(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """`columns` and text, without the repeated stretches' whole characters; texts that have only blanks left are left out."""
+    found = find_repeats(docs.select(*columns, "text"))
+
+    def cut(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                n = part.num_columns
+                made, keep = [], []
+                for text, size, spans in zip(*(part.column(i).to_pylist() for i in (n - 3, n - 2, n - 1))):
+                    if spans:
+                        data = text.encode()
+                        edges = [0, *(x for r in whole_characters(data, cover(size, [(s["first"], s["last"]) for s in spans])) for x in r), size]
+                        text = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode()
+                    made.append(text)
+                    keep.append(not spans or bool(text.strip()))
+                table_ = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n - 3)), pa.array(made, pa.string())], names=[*columns, "text"])
+                yield table_.filter(pa.array(keep, pa.bool_()))
+
+    kept_types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+    return found.select(*columns, "text", "n_bytes", "spans").mapInArrow(cut, f"{kept_types}, text string")
+
+
 def op5_substrings(spark: SparkSession, folder: str) -> DataFrame:
     found = find_repeats(table(spark, folder, "documents").select("doc_id", "text"))
 

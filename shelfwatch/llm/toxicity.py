@@ -251,15 +251,30 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataF
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{kept_types}, score double, n_matches long")
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> DataFrame:
+    """The rows of `docs`, as they are, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches):
+        matcher = Matcher(shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                yield part.filter(pa.array([matcher.score(t)[0] < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn_from(spark: SparkSession, folder: str) -> Lexicon:
-    labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
-    return learn_lexicon(table(spark, folder, "documents"), labels)
+def learn_from(spark: SparkSession, folder: str, docs: DataFrame) -> Lexicon:
+    return learn_lexicon(docs, table(spark, folder, "labels").where(~held_out(F.col("doc_id"))))
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    scored = score_documents(table(spark, folder, "documents"), learn_from(spark, folder), ["doc_id"])
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = score_documents(docs, learn_from(spark, folder, docs), ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_matches")
