@@ -57,16 +57,15 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place, lead hash) of all anchors of texts of at least LENGTH bytes each."""
     numbers, places, leads = [], [], []
-    for number, text in enumerate(texts) if len(texts) == 1 else [(None, None)]:
-        if text is not None and len(text) > 1 << (PLACE_BITS - 1):  # a very long text in stretches that overlap
-            step = 1 << (PLACE_BITS - 1)
-            for start in range(0, len(text) - LENGTH + 1, step):
-                _, p, h = anchors([text[start : start + step + LENGTH - 1]])
-                places.append(p + start)
-                leads.append(h)
-            place, lead = np.concatenate(places), np.concatenate(leads)
-            _, first = np.unique(place, return_index=True)
-            return np.zeros(len(first), np.int64), place[first], lead[first]
+    if len(texts) == 1 and len(texts[0]) > SLICE_BYTES:  # a very long text in stretches that overlap
+        text, step = texts[0], SLICE_BYTES - LENGTH + 1
+        for start in range(0, len(text) - LENGTH + 1, step):
+            _, place, lead = anchors([text[start : start + SLICE_BYTES]])
+            places.append(place + start)
+            leads.append(lead)
+        place, lead = np.concatenate(places), np.concatenate(leads)
+        _, first = np.unique(place, return_index=True)
+        return np.zeros(len(first), np.int64), place[first], lead[first]
     ends = np.cumsum([len(t) for t in texts])
     with np.errstate(over="ignore"):
         h = lead_hashes(np.frombuffer(b"".join(texts), np.uint8))
