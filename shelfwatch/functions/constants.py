@@ -14,8 +14,6 @@ IN_STOCK_PHRASES = ("in stock", "available", "add to cart", "buy now", "in-stock
 
 # --- landing --------------------------------------------------------------------------------------------
 IGNORED_COLLECTIONS = ("all", "frontpage", "home-page", "new", "best-sellers")
-NESTED_SITEMAPS_PER_DOC = 10
-MAX_PAGES = 5
 ENGLISH_CATEGORIES = {
     "ماب السرقة": "Steal a Brainrot",
     "روبلوكس": "Roblox",
@@ -73,7 +71,6 @@ COMPARE_THRESHOLD = 0.86
 
 # --- reporting ------------------------------------------------------------------------------------------
 SALES_PERIOD_DAYS = {"day": 1, "week": 7, "month": 30}
-FIRST_SCAN_BACKLOG = 25
 PRICE_SIGNS = {"USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥"}
 EXPORT_FIELDS = (
     "competitor_name", "competitor_base_url", "collection_url", "category", "title", "price", "currency",

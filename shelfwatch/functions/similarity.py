@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 
 def _ratio(a: str, b: str) -> float:
-    return SequenceMatcher(None, a, b).ratio()
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
 def _each_pair(left: pd.Series, right: pd.Series, score) -> pd.Series:

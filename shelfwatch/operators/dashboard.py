@@ -134,7 +134,9 @@ def top_stockout_products(
         competitors.select(F.col("id").alias("competitor_id"), F.col("name").alias("competitor_name")), "competitor_id"
     )
     order = [F.desc("inferred_sold_count"), F.desc("last_signal_at"), F.asc("title"), F.asc("product_id")]
-    return first_page(named, order, 1, max(1, min(limit, 100)))
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    return first_page(named, order, 1, limit)
 
 
 def sales_totals(trends: DataFrame) -> DataFrame:

@@ -121,13 +121,19 @@ def assign_products(matched: DataFrame, now) -> DataFrame:
 
 # --- guard -------------------------------------------------------------------------------------------------
 
-def split_scans(scans: DataFrame, items: DataFrame) -> DataFrame:
-    """Scans (competitor_id, allow_empty) with `products_found` and `accepted`; an empty scan must be allowed."""
+def split_scans(scans: DataFrame, items: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Scans (competitor_id, allow_empty) with `products_found` and `accepted`.
+
+    An empty scan must be allowed, and a scan with an error in `errors` (competitor_id) is never accepted, whatever it delivered.
+    """
     found = items.groupBy("competitor_id").agg(F.count("*").alias("products_found"))
-    return scans.join(found, "competitor_id", "left").select(
-        "competitor_id",
-        F.coalesce("products_found", F.lit(0).cast("long")).alias("products_found"),
-        (F.col("products_found").isNotNull() | F.coalesce("allow_empty", F.lit(False))).alias("accepted"),
+    rows = scans.join(found, "competitor_id", "left").withColumn("broken", F.lit(False))
+    if errors is not None:
+        broken = errors.select("competitor_id").distinct().withColumn("is_broken", F.lit(True))
+        rows = rows.join(broken, "competitor_id", "left").withColumn("broken", F.coalesce("is_broken", F.lit(False)))
+    filled = F.col("products_found").isNotNull() | F.coalesce("allow_empty", F.lit(False))
+    return rows.select(
+        "competitor_id", F.coalesce("products_found", F.lit(0).cast("long")).alias("products_found"), (filled & ~F.col("broken")).alias("accepted")
     )
 
 
@@ -310,9 +316,13 @@ class ScanResult:
     scans: DataFrame
 
 
-def apply_scan(state: DataFrame, items: DataFrame, scans: DataFrame, now, keep_sequence: bool = False) -> ScanResult:
+def apply_scan(
+    state: DataFrame, items: DataFrame, scans: DataFrame, now, keep_sequence: bool = False, errors: DataFrame | None = None
+) -> ScanResult:
     """Apply one batch. With `keep_sequence` the shared sequence is checkpointed once for all outputs.
 
+    The items of a scan in `errors` (competitor_id, error) are not applied and its products count no miss.
+
     Items are expected to be deduplicated per competitor (`dedupe_catalog`), as every landing source does; repeated
     urls and external ids are still handled in order, but then one product's items form one sequence in one task.
 
@@ -320,7 +330,7 @@ def apply_scan(state: DataFrame, items: DataFrame, scans: DataFrame, now, keep_s
     the two joins of matching run once, and a lost executor does not bring them back.
     """
     matched = cut_lineage(_matched(items.withColumn("url", F.coalesce("url", F.lit(""))), state))
-    judged = split_scans(scans, matched)
+    judged = split_scans(scans, matched, errors)
     accepted = judged.where("accepted").select("competitor_id")
     # Items without url, or of a competitor without a scan record, do not belong to the batch.
     batch = matched.where("url <> ''").join(accepted, "competitor_id", "left_semi")
@@ -338,12 +348,13 @@ def scan_summary(sequence: DataFrame) -> DataFrame:
 
 
 def scan_runs(judged: DataFrame, summary: DataFrame, errors: DataFrame | None, now) -> DataFrame:
-    """Run log of a batch. `errors` (competitor_id, error) are scans that failed before they delivered anything."""
+    """Run log of a batch, with a row for every scan and for every shop in `errors` (competitor_id, error)."""
     empty = "Scrape returned 0 products. Treating this as a failed scan to avoid marking the catalog missing."
     rows = judged.join(summary, "competitor_id", "left")
     message = F.when(~F.col("accepted"), F.lit(empty))
     if errors is not None:
-        rows = rows.join(errors, "competitor_id", "left")
+        first = errors.groupBy("competitor_id").agg(F.min("error").alias("error"))
+        rows = rows.join(first, "competitor_id", "full_outer")
         message = F.coalesce("error", message)
     failed = message.isNotNull()
     zero = F.lit(0).cast("long")
@@ -357,14 +368,14 @@ def scan_runs(judged: DataFrame, summary: DataFrame, errors: DataFrame | None, n
         unless_failed("products_found").alias("products_found"),
         unless_failed("new_products").alias("new_products_count"),
         unless_failed("price_changes").alias("price_changes_count"),
-        F.substring(message, 1, 1000).alias("error_message"),
+        message.alias("error_message"),
         F.lit(str(now)).cast("timestamp").alias("finished_at"),
     )
 
 
 def failure_events(runs: DataFrame) -> DataFrame:
-    """One scrape_failed event per failed run; its message is cut shorter than the run's."""
+    """One scrape_failed event per failed run, with the run's message."""
     return runs.where("status = 'failed'").select(
         "competitor_id", F.lit("scrape_failed").alias("event_type"),
-        F.substring("error_message", 1, 500).alias("event_message"), F.col("finished_at").alias("detected_at"),
+        F.col("error_message").alias("event_message"), F.col("finished_at").alias("detected_at"),
     )

@@ -67,7 +67,7 @@ def with_identity(df: DataFrame, title: str = "normalized_title", category: str
     df = with_extraction(df, F.col(title)).withColumn("own_split", splits_by_itself(F.col(title), F.col(category)))
     split = F.col("own_split")
     if base_hint is not None:
-        split = split | F.coalesce((F.col("variant_part") != "") & (F.col("base_part") == base_hint), F.lit(False))
+        split = split | F.coalesce((base_hint != "") & (F.col("variant_part") != "") & (F.col("base_part") == base_hint), F.lit(False))
     df = df.withColumn("_split", split)
     df = df.withColumns({
         "base": F.coalesce(

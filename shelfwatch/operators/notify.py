@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfwatch.functions.constants import FIRST_SCAN_BACKLOG, PRICE_EVENT_TYPES, PRICE_SIGNS
+from shelfwatch.functions.constants import PRICE_EVENT_TYPES, PRICE_SIGNS
 from shelfwatch.functions.prices import money
 from shelfwatch.functions.text import blank_to_null, first_filled
 from shelfwatch.operators.dashboard import as_datetime
@@ -15,7 +15,8 @@ from shelfwatch.operators.listing import product_key
 from shelfwatch.session import at, cut_lineage
 
 STOCK_EVENT_TYPES = ("stock_in", "stock_out")
-PACING_BUCKETS = 1024
+# Lengths of product texts, urls, errors and drop titles in rendered messages; the stored values stay whole.
+SHOWN_TITLE, SHOWN_URL, SHOWN_ERROR, SHOWN_DROP = 100, 500, 500, 50
 
 
 def due_competitors(competitors: DataFrame, runs: DataFrame, now) -> DataFrame:
@@ -44,26 +45,28 @@ def pending_events(events: DataFrame, deliveries: DataFrame | None = None, scann
     return rows if scanned is None else rows.join(scanned.select("competitor_id"), "competitor_id", "left_semi")
 
 
-def suppressing_competitors(pending: DataFrame, initial: DataFrame) -> DataFrame:
-    """Competitors whose new products are not announced: first scans and large backlogs.
+def suppressing_competitors(pending: DataFrame, initial: DataFrame, backlog_limit: int | None = None) -> DataFrame:
+    """Competitors whose new products are not announced: first scans, and backlogs above `backlog_limit` where it is given.
 
     The backlog is counted with partial aggregation and only the resulting ids are joined, so a competitor with most of
     the pending events is not gathered in one task.
     """
+    if backlog_limit is None:
+        return initial.select("competitor_id").distinct()
     backlog = pending.where("event_type = 'new_product'").groupBy("competitor_id").agg(F.count("*").alias("n"))
-    large = backlog.where(F.col("n") > FIRST_SCAN_BACKLOG).select("competitor_id")
+    large = backlog.where(F.col("n") > backlog_limit).select("competitor_id")
     return large.unionByName(initial.select("competitor_id")).distinct()
 
 
-def suppressed_events(pending: DataFrame, initial: DataFrame) -> DataFrame:
+def suppressed_events(pending: DataFrame, initial: DataFrame, backlog_limit: int | None = None) -> DataFrame:
     """New-product events to be marked as sent without a message."""
-    quiet = suppressing_competitors(pending, initial)
+    quiet = suppressing_competitors(pending, initial, backlog_limit)
     return pending.where("event_type = 'new_product'").join(quiet, "competitor_id", "left_semi")
 
 
-def deliverable_events(pending: DataFrame, initial: DataFrame) -> DataFrame:
+def deliverable_events(pending: DataFrame, initial: DataFrame, backlog_limit: int | None = None) -> DataFrame:
     """Pending events without the suppressed ones."""
-    quiet = suppressing_competitors(pending, initial).withColumn("quiet", F.lit(True))
+    quiet = suppressing_competitors(pending, initial, backlog_limit).withColumn("quiet", F.lit(True))
     marked = pending.join(quiet, "competitor_id", "left")
     return marked.where("event_type <> 'new_product' or quiet is null").drop("quiet")
 
@@ -120,8 +123,8 @@ def render_messages(routed: DataFrame, now) -> DataFrame:
     change = F.when(diff.isNull(), "N/A").otherwise(F.concat(amount(diff), F.format_string(" (%+.1f%%)", pct)))
     detected = _field("Detected", F.lit(as_datetime(now).strftime("%Y-%m-%d %H:%M UTC")))
     head = [_field("Competitor", shop), _field("Category", c("shown_category"))]
-    product = _field("Product", F.substring("product_title", 1, 100), False)
-    link = _field("URL", F.substring("product_url", 1, 500), False)
+    product = _field("Product", F.substring("product_title", 1, SHOWN_TITLE), False)
+    link = _field("URL", F.substring("product_url", 1, SHOWN_URL), False)
     gone_title, gone_url = (F.coalesce(old[k], F.lit("N/A")) for k in ("title", "url"))
     fields = (
         F.when(is_new, F.array(
@@ -134,7 +137,7 @@ def render_messages(routed: DataFrame, now) -> DataFrame:
             *head, product, _field("Old Stock", F.coalesce(old["stock_status"], F.lit("unknown"))),
             _field("New Stock", F.coalesce(new["stock_status"], F.lit("unknown"))), link))
         .otherwise(F.array(
-            *head, _field("Product", F.substring(gone_title, 1, 100), False), _field("URL", F.substring(gone_url, 1, 500), False), detected))
+            *head, _field("Product", F.substring(gone_title, 1, SHOWN_TITLE), False), _field("URL", F.substring(gone_url, 1, SHOWN_URL), False), detected))
     )
     # Only rises are worded as such; every other price event reads as a decrease.
     wording = (
@@ -147,7 +150,7 @@ def render_messages(routed: DataFrame, now) -> DataFrame:
     )
     color = F.when(is_new, 0x00AA00).when(rise, 0xFF4444).when(price_event, 0x00CC44).when(stock_event, 0xFFAA00).otherwise(0x666666)
     return rows.select(
-        c("id").alias("event_id"), "competitor_id", "event_type", c("target").alias("webhook_url"),
+        c("id").alias("event_id"), "detected_at", "competitor_id", "event_type", c("target").alias("webhook_url"),
         F.concat(F.lit("**"), shop, F.lit("**\n**Category:** "), "shown_category", F.lit("\n**Change:** "), wording).alias("content"),
         title.alias("title"), color.alias("color"), fields.alias("fields"),
     )
@@ -160,52 +163,52 @@ def failure_messages(failures: DataFrame, competitors: DataFrame, now, default_w
     stamp = F.lit(as_datetime(now).strftime("%Y-%m-%d %H:%M UTC"))
     return failures.join(shops, "competitor_id").where("webhook_url is not null").select(
         "competitor_id", "webhook_url", F.lit("❌ Competitor Scan Failed").alias("title"), F.lit(0xFF0000).alias("color"),
-        F.array(_field("Competitor", F.col("competitor_name")), _field("Error", F.substring("error", 1, 500), False),
+        F.array(_field("Competitor", F.col("competitor_name")), _field("Error", F.substring("error", 1, SHOWN_ERROR), False),
                 _field("Time", stamp)).alias("fields"),
     )
 
 
-def paced(messages: DataFrame, buckets: int = PACING_BUCKETS) -> DataFrame:
-    """Messages with `send_after`: their second in the queue of their webhook, one message per second.
+def paced(messages: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Messages with `send_after`: their second in the queue of their webhook, oldest event first, one message per second.
 
-    One default webhook may receive nearly everything, so no window runs over a whole webhook: messages are numbered
-    inside buckets and shifted by the sizes of the buckets before, which are one small row each.
+    One default webhook may receive nearly everything, so no window runs over a whole webhook: messages are dealt to ranges
+    of (detected_at, event_id) between sampled splitters, numbered inside their range, and shifted by the sizes of the
+    ranges before, which are one small row each. The sorted messages are written once, because their numbering and the
+    sizes must see the same ranges.
     """
-    rows = messages.withColumn("bucket", F.pmod(F.col("event_id"), F.lit(buckets)))
-    sizes = rows.groupBy("webhook_url", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("webhook_url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("webhook_url", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("webhook_url", "bucket").orderBy("event_id")
+    order = ["detected_at", "event_id"]
+    parts = ranges or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut_lineage(messages.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
+    sizes = rows.groupBy("webhook_url", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("webhook_url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("webhook_url", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("webhook_url", "range").orderBy(*order)
     numbered = rows.withColumn("rn", F.row_number().over(inside))
-    return numbered.join(starts, ["webhook_url", "bucket"]).withColumn("send_after", F.col("start") + F.col("rn") - 1).drop(
-        "bucket", "rn", "start"
-    )
+    return numbered.join(starts, ["webhook_url", "range"]).withColumn("send_after", F.col("start") + F.col("rn") - 1).drop("range", "rn", "start")
 
 
 def notification_outbox(
     pending: DataFrame, initial: DataFrame, competitors: DataFrame, products: DataFrame, now,
-    default_webhook: str | None = None, enabled: bool = True,
+    default_webhook: str | None = None, enabled: bool = True, backlog_limit: int | None = None,
 ) -> DataFrame:
     """Rendered and paced messages of all deliverable events. Switched off, it is empty and no event counts as sent."""
-    events = deliverable_events(pending, initial)
+    events = deliverable_events(pending, initial, backlog_limit)
     if not enabled:
         events = events.limit(0)
-    # Pacing reads the messages twice, for the bucket sizes and for the numbering.
-    messages = cut_lineage(render_messages(routed_events(events, competitors, products, default_webhook), now))
-    return paced(messages)
+    return paced(render_messages(routed_events(events, competitors, products, default_webhook), now))
 
 
-def new_deliveries(pending: DataFrame, initial: DataFrame, outbox: DataFrame, now) -> DataFrame:
+def new_deliveries(pending: DataFrame, initial: DataFrame, outbox: DataFrame, now, backlog_limit: int | None = None) -> DataFrame:
     """Rows to append to `deliveries`: suppressed events and handed-over messages."""
     sent_at = F.lit(str(now)).cast("timestamp").alias("sent_at")
-    quiet = suppressed_events(pending, initial).select(F.col("id").alias("event_id"), F.lit("suppressed").alias("reason"), sent_at)
+    quiet = suppressed_events(pending, initial, backlog_limit).select(F.col("id").alias("event_id"), F.lit("suppressed").alias("reason"), sent_at)
     return quiet.unionByName(outbox.select("event_id", F.lit("outbox").alias("reason"), sent_at))
 
 
-def summary_fanout(summary: DataFrame, competitors: DataFrame, default_webhook: str | None = None, drops: DataFrame | None = None) -> DataFrame:
+def summary_fanout(summary: DataFrame, competitors: DataFrame, default_webhook: str | None = None, drops: DataFrame | None = None, shown_drops: int = 5) -> DataFrame:
     """The one-row daily summary for the default webhook and every distinct one of an active competitor.
 
-    `drops` are at most a handful of rows (title, old_price, new_price, pos) shown as text.
+    The first `shown_drops` of `drops` (title, old_price, new_price, pos) are shown as text.
     """
     hooks = competitors.where("active").select(blank_to_null(F.col("webhook_url")).alias("webhook_url")).where("webhook_url is not null")
     if default_webhook:
@@ -215,9 +218,9 @@ def summary_fanout(summary: DataFrame, competitors: DataFrame, default_webhook:
     text = F.lit("None")
     rows = summary.select("*", one)
     if drops is not None:
-        line = F.concat(F.lit("• "), F.substring("title", 1, 50), F.lit(": "), money(F.col("old_price"), F.lit("USD"), PRICE_SIGNS),
+        line = F.concat(F.lit("• "), F.substring("title", 1, SHOWN_DROP), F.lit(": "), money(F.col("old_price"), F.lit("USD"), PRICE_SIGNS),
                         F.lit(" → "), money(F.col("new_price"), F.lit("USD"), PRICE_SIGNS))
-        shown = drops.where("pos <= 5").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("d"))
+        shown = drops.where(F.col("pos") <= shown_drops).agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("d"))
         rows = rows.join(shown.select(F.array_join(F.transform("d", lambda x: x["l"]), "\n").alias("drops_text"), one), "one")
         text = F.coalesce(blank_to_null(F.col("drops_text")), F.lit("None"))
     rows = rows.withColumn("biggest_drops", text)

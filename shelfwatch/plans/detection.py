@@ -203,7 +203,7 @@ def _runs(s):
                 AND item_ix >= 0) END AS new_products_count,
            CASE WHEN r.r_name = 'ASIA' THEN 0 ELSE (SELECT count(*) FROM seq q WHERE q.competitor_id = r.r_regionkey AND rn > 1
                 AND price <> old_price) END AS price_changes_count,
-           CASE WHEN r.r_name = 'ASIA' THEN substring(repeat('timeout ', 200), 1, 1000) END AS error_message
+           CASE WHEN r.r_name = 'ASIA' THEN repeat('timeout ', 200) END AS error_message
     FROM region r"""))
 def scan_runs(s):
     return _runs(s).drop("finished_at")
@@ -211,7 +211,7 @@ def scan_runs(s):
 
 @job("failure_events", """
     SELECT r_regionkey::BIGINT AS competitor_id, 'scrape_failed' AS event_type,
-           substring(repeat('timeout ', 200), 1, 500) AS event_message FROM region WHERE r_name = 'ASIA'""")
+           repeat('timeout ', 200) AS event_message FROM region WHERE r_name = 'ASIA'""")
 def failure_events(s):
     return detect.failure_events(_runs(s)).drop("detected_at")
 

@@ -334,8 +334,8 @@ PAGE_RESULTS = """
 
 @job("take_pages", oracle("""
     SELECT competitor_id, target, page_no FROM results r
-    WHERE page_no <= 5 AND NOT EXISTS (
-      SELECT 1 FROM range(1, 6) g(n) WHERE n <= r.page_no AND NOT EXISTS (
+    WHERE NOT EXISTS (
+      SELECT 1 FROM range(1, 100) g(n) WHERE n <= r.page_no AND NOT EXISTS (
         SELECT 1 FROM results q WHERE q.competitor_id = r.competitor_id AND q.target = r.target AND q.page_no = n AND q.ok AND q.n_products > 0))""",
     results=PAGE_RESULTS))
 def take_pages(s):

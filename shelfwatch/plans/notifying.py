@@ -65,8 +65,7 @@ _VIEWS = ("competitors", "market_events", "market_products")
 SETS = {
     "pending": "SELECT * FROM market_events WHERE NOT notification_sent",
     "first_scans": "SELECT id AS competitor_id FROM competitors WHERE category IN ('INDIA', 'KENYA')",
-    "quiet": """SELECT competitor_id FROM pending WHERE event_type = 'new_product' GROUP BY 1 HAVING count(*) > 25
-                UNION SELECT competitor_id FROM first_scans""",
+    "quiet": "SELECT competitor_id FROM first_scans",
     "deliverable": "SELECT * FROM pending WHERE event_type <> 'new_product' OR competitor_id NOT IN (SELECT competitor_id FROM quiet)",
     "routed": f"""
         SELECT e.*, c.name AS shop, coalesce(c.webhook_url, '{DEFAULT_HOOK}') AS target, p.title, p.url, p.category, p.stock_status
@@ -89,7 +88,7 @@ def suppressed_events(s):
 
 @job("notification_outbox", oracle(f"""
     SELECT id AS event_id, competitor_id, event_type, target AS webhook_url,
-           row_number() OVER (PARTITION BY target ORDER BY id % {notify.PACING_BUCKETS}, id) - 1 AS send_after FROM routed""", *_VIEWS, **SETS))
+           row_number() OVER (PARTITION BY target ORDER BY detected_at, id) - 1 AS send_after FROM routed""", *_VIEWS, **SETS))
 def notification_outbox(s):
     pending = notify.pending_events(payload_events(s))
     out = notify.notification_outbox(pending, initial(s), s.competitors, s.market_products, NOW, DEFAULT_HOOK)

@@ -42,10 +42,17 @@ def read_state(spark: SparkSession, folder: str, before: int | None = None) -> D
     return spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/state/batch={versions[-1]}")
 
 
+def visible_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """(batch, token) of the committed batches only; a batch that died before its state was complete is none of them."""
+    commits = spark.createDataFrame([(v,) for v in _versions(spark, folder)], "batch int")
+    if not commits.take(1):
+        return spark.createDataFrame([], "batch int, token string")
+    return spark.read.schema("token string, batch int").parquet(f"{folder}/commits").join(commits, "batch").select("batch", "token")
+
+
 def read_log(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Rows of all visible batches of `events`, `snapshots` or `runs`; batch and date are partition columns."""
-    version = current_version(spark, folder)
-    return spark.read.parquet(f"{folder}/{name}").where(F.col("batch") <= (version if version is not None else -1))
+    """Rows of all committed batches of `events`, `snapshots` or `runs`; batch and date are partition columns."""
+    return spark.read.parquet(f"{folder}/{name}").join(F.broadcast(visible_batches(spark, folder).select("batch")), "batch", "left_semi")
 
 
 def _append(df: DataFrame, folder: str, name: str, batch: int, stamp: str) -> None:
@@ -53,17 +60,29 @@ def _append(df: DataFrame, folder: str, name: str, batch: int, stamp: str) -> No
     rows.write.mode("overwrite").partitionBy("day").parquet(f"{folder}/{name}/batch={batch}")
 
 
-def write_scan(spark: SparkSession, folder: str, batch: int, items: DataFrame, scans: DataFrame, now, errors: DataFrame | None = None) -> ScanResult | None:
-    """Apply one scan batch to the stored state and write all its outputs; a batch already visible is skipped."""
+def write_scan(
+    spark: SparkSession, folder: str, batch: int | None, items: DataFrame, scans: DataFrame, now, errors: DataFrame | None = None,
+    token: str | None = None,
+) -> ScanResult | None:
+    """Apply one scan batch to the stored state and write all its outputs.
+
+    A batch given by number is skipped if that number or a later one is committed. Without a number it takes the next one, and is
+    skipped only if its `token`, which names it for its source, was committed before.
+    """
     version = current_version(spark, folder)
-    if version is not None and batch <= version:
+    if batch is None:
+        if token is not None and not visible_batches(spark, folder).where(F.col("token") == token).isEmpty():
+            return None
+        batch = 0 if version is None else version + 1
+    elif version is not None and batch <= version:
         return None
-    result = apply_scan(read_state(spark, folder, batch), items, scans, now, keep_sequence=True)
+    result = apply_scan(read_state(spark, folder, batch), items, scans, now, keep_sequence=True, errors=errors)
     runs = scan_runs(result.scans, scan_summary(result.sequence), errors, now)
     _append(result.snapshots, folder, "snapshots", batch, "checked_at")
     _append(result.events, folder, "events", batch, "detected_at")
     _append(runs, folder, "runs", batch, "finished_at")
     _append(failure_events(runs), folder, "failures", batch, "detected_at")
+    spark.createDataFrame([(token,)], "token string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/commits/batch={batch}")
     result.state.write.mode("overwrite").parquet(f"{folder}/state/batch={batch}")
     return result
 

@@ -17,8 +17,8 @@ from shelfwatch.functions.urls import resolve_url, without_slash
 from shelfwatch.schemas import ITEM_COLUMNS
 from shelfwatch.session import cut_lineage
 
-# Room for the position inside a page; a page document never lists this many products.
-PAGE_STRIDE = 1_000_000
+# Room for any position (int) inside a page (int).
+PAGE_STRIDE = 1 << 32
 
 CATALOG_SCHEMA = (
     "products array<struct<id:string,title:string,handle:string,vendor:string,product_type:string,"

@@ -147,8 +147,8 @@ def extract_listing_cards(pages: DataFrame, currency: str = "USD") -> DataFrame:
     cards = wanted.mapInPandas(_cards, CARD_SCHEMA)
     c = F.col
     rows = with_price(cards, c("price_text"), currency).withColumns({
-        # Without a title element the card's own text stands in, cut to the length of a title.
-        "title": first_filled(c("title_text"), F.substring("card_text", 1, 200)),
+        # Without a title element the card's own text stands in.
+        "title": first_filled(c("title_text"), c("card_text")),
         "link": resolve_url(c("href"), c("base_url")),
     })
     none = F.lit(None).cast("string")

@@ -22,9 +22,8 @@ def product_locs(all_locs: Column, base_url: Column) -> Column:
 
 
 def nested_locs(all_locs: Column, base_url: Column) -> Column:
-    """The first few `.xml` locations on exactly the same host."""
-    inner = F.filter(all_locs, lambda u: u.endswith(".xml") & (netloc(u) == netloc(base_url)))
-    return F.slice(inner, 1, k.NESTED_SITEMAPS_PER_DOC)
+    """The `.xml` locations on exactly the same host."""
+    return F.filter(all_locs, lambda u: u.endswith(".xml") & (netloc(u) == netloc(base_url)))
 
 
 def sitemap_locs(docs: DataFrame) -> DataFrame:
@@ -47,53 +46,42 @@ def collection_handles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(handles(F.col("body"))).alias("pos", "handle"))
 
 
-def sitemap_closure(docs: DataFrame, max_depth: int = 100) -> DataFrame:
+def sitemap_closure(docs: DataFrame) -> DataFrame:
     """Product urls reachable from each shop's `/sitemap.xml`: (competitor_id, url, trail)."""
     found = docs.select("competitor_id", "base_url", "doc_url", locs(F.col("body")).alias("locs"))
     known = found.select(
         "competitor_id", "base_url", "doc_url", product_locs(F.col("locs"), F.col("base_url")).alias("leaves"),
         nested_locs(F.col("locs"), F.col("base_url")).alias("nested"),
     )
-    return _walk(known, max_depth).withColumnRenamed("leaf", "url")
+    return _walk(known).withColumnRenamed("leaf", "url")
 
 
-def collection_closure(docs: DataFrame, max_depth: int = 100) -> DataFrame:
+def collection_closure(docs: DataFrame) -> DataFrame:
     """Collection handles reachable from each shop's `/sitemap.xml`: (competitor_id, handle, trail)."""
     known = docs.select(
         "competitor_id", "base_url", "doc_url", handles(F.col("body")).alias("leaves"),
         nested_locs(locs(F.col("body")), F.col("base_url")).alias("nested"),
     )
-    return _walk(known, max_depth).withColumnRenamed("leaf", "handle")
+    return _walk(known).withColumnRenamed("leaf", "handle")
 
 
-def _walk(known: DataFrame, max_depth: int) -> DataFrame:
+def _walk(known: DataFrame) -> DataFrame:
     """Leaves of the documents reached from the root: (competitor_id, leaf, trail).
 
-    A document with leaves ends the walk, any other passes it on to its nested sitemaps. Each round is one join of the
-    open documents with the landed ones; `trail` orders the results as a depth-first walk would. A document is not
-    entered again below itself.
+    A document with leaves ends the walk, any other passes it on to its nested sitemaps. Each round joins the documents that
+    were reached for the first time with the landed ones, until none is new, so a document shared by many is
+    entered once and circles end. `trail` is a document's first path, level by level, and orders the results.
     """
     known = cut_lineage(known)
     root = F.concat(F.regexp_replace("base_url", "/+$", ""), F.lit("/sitemap.xml"))
-    front = known.where(F.col("doc_url") == root).select(
-        "competitor_id", "doc_url", "leaves", "nested", F.array("doc_url").alias("above"), F.lit("").alias("trail")
-    )
-    step = F.concat("trail", F.lpad(F.col("pos").cast("string"), 8, "0"))
-    done = None
-    for _ in range(max_depth):
-        ended = front.where(F.size("leaves") > 0).select(
-            "competitor_id", "trail", F.posexplode("leaves").alias("pos", "leaf")
-        ).select("competitor_id", "leaf", step.alias("trail"))
-        done = ended if done is None else done.unionByName(ended)
-        open_docs = front.where(F.size("leaves") == 0).select(
-            "competitor_id", "above", "trail", F.posexplode("nested").alias("pos", "doc_url")
-        ).where(~F.array_contains("above", F.col("doc_url")))
-        front = cut_lineage(
-            open_docs.join(known.select("competitor_id", "doc_url", "leaves", "nested"), ["competitor_id", "doc_url"]).select(
-                "competitor_id", "doc_url", "leaves", "nested", F.array_append("above", F.col("doc_url")).alias("above"),
-                F.concat(step, F.lit("/")).alias("trail"),
-            )
-        )
-        if front.isEmpty():
-            break
-    return done.groupBy("competitor_id", "leaf").agg(F.min("trail").alias("trail"))
+    step = F.concat("trail", F.lpad(F.col("pos").cast("string"), 10, "0"))
+    front = known.where(F.col("doc_url") == root).select("competitor_id", "doc_url", "leaves", "nested", F.lit("").alias("trail"))
+    reached = front = cut_lineage(front)
+    while not front.isEmpty():
+        passed = front.where(F.size("leaves") == 0).select("competitor_id", "trail", F.posexplode("nested").alias("pos", "doc_url"))
+        passed = passed.groupBy("competitor_id", "doc_url").agg(F.min(F.concat(step, F.lit("/"))).alias("trail"))
+        passed = passed.join(reached.select("competitor_id", "doc_url"), ["competitor_id", "doc_url"], "left_anti")
+        front = cut_lineage(passed.join(known.select("competitor_id", "doc_url", "leaves", "nested"), ["competitor_id", "doc_url"]).select(*reached.columns))
+        reached = reached.unionByName(front)
+    leaves = reached.select("competitor_id", "trail", F.posexplode("leaves").alias("pos", "leaf"))
+    return leaves.groupBy("competitor_id", "leaf").agg(F.min(step).alias("trail"))

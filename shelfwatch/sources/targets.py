@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.functions import constants as k
 from shelfwatch.functions.text import blank_to_null, category_from_url, title_from_handle
 from shelfwatch.functions.urls import path, query, without_slash
 
-KIND_STRIDE = 1 << 40
+# Room for a position (int) behind a kind or a page number (int).
+KIND_STRIDE = 1 << 32
 
 
 def _flag(config: Column, key: str) -> Column:
@@ -59,16 +60,17 @@ def fetch_targets(competitors: DataFrame, collections: DataFrame) -> DataFrame:
     )
 
 
-def take_pages(pages: DataFrame, keys: list[str], max_pages: int = k.MAX_PAGES) -> DataFrame:
-    """Pages 1..max_pages of each target up to the first that is missing, failed or empty.
+def take_pages(pages: DataFrame, keys: list[str], max_pages: int | None = None) -> DataFrame:
+    """Pages 1, 2, .. of each target up to the first that is missing, failed or empty, and up to `max_pages` where it is given.
 
-    `pages` have the key columns, page_no, ok and n_products. The set of good page numbers of a target has at most
-    `max_pages` members, so it is a small aggregate however many pages were landed.
+    `pages` have the key columns, page_no, ok and n_products. Good page numbers without a gap equal their rank, so the pages of a target
+    are numbered; a target's pages are one listing's.
     """
-    good = pages.where("ok and n_products > 0").where(F.col("page_no").between(1, max_pages))
-    run = F.size(F.filter(F.array_sort("good"), lambda n, i: n == i + 1))
-    last = good.groupBy(*keys).agg(F.collect_set("page_no").alias("good")).select(*keys, run.alias("last_page"))
-    return good.join(last, keys).where("page_no <= last_page").drop("last_page")
+    good = pages.where("ok and n_products > 0 and page_no >= 1")
+    if max_pages is not None:
+        good = good.where(F.col("page_no") <= max_pages)
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy("page_no"))
+    return good.withColumn("rank", rank).where("page_no = rank").drop("rank")
 
 
 def source_fallback(items: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def category_ids(competitors: DataFrame, landed: DataFrame) -> DataFrame:
     found = (
         landed.join(silent, "competitor_id", "left_semi")
         .select("competitor_id", "page_ix", F.posexplode(category_ids_from_html(F.col("html"))).alias("pos", "category_id"))
-        .groupBy("competitor_id", "category_id").agg(F.min(F.col("page_ix") * KIND_STRIDE + F.col("pos")).alias("pos"))
+        .groupBy("competitor_id", "category_id").agg(F.min(F.col("page_ix").cast("long") * KIND_STRIDE + F.col("pos")).alias("pos"))
     )
     return direct.select("competitor_id", F.col("pos").cast("long").alias("pos"), "category_id").unionByName(
         found.select("competitor_id", "pos", "category_id")

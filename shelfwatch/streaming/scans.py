@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,17 +20,20 @@ CHANGE_SCHEMA = (
 
 
 def scan_stream(
-    items: DataFrame, folder: str, checkpoint: str, clock=lambda batch: datetime.now(), by_external_id: bool = False
+    items: DataFrame, folder: str, checkpoint: str, clock, by_external_id: bool = False
 ) -> StreamingQuery:
     """A stream of landed items applied batch by batch to the stored state, first item per catalog key.
 
-    Every competitor with items in a micro-batch counts as scanned by it. The micro-batch number is the version of the
-    state it writes, so a batch that is delivered again is recognised and skipped.
+    Every competitor with items in a micro-batch counts as scanned by it. A micro-batch is named by the query's id, which is kept
+    in its checkpoint, and its number: delivered again it is recognised and skipped, while a new checkpoint, another
+    stream or a batch job before it take versions of their own. `clock(number)` is the time of a batch, in UTC.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        query = spark.read.text(f"{checkpoint}/metadata").first()[0]
         scans = batch.select("competitor_id").distinct().withColumn("allow_empty", F.lit(False))
-        write_scan(batch.sparkSession, folder, number, dedupe_catalog(batch, by_external_id), scans, clock(number))
+        write_scan(spark, folder, None, dedupe_catalog(batch, by_external_id), scans, clock(number), token=f"{query} {number}")
 
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -99,6 +99,39 @@ def test_scan_stream(spark, tmp_path):
     assert kinds == {"new_product": 1, "price_increase": 1, "stock_out": 1}
 
 
+def test_new_checkpoint_loses_nothing(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "store")
+    items(spark, [(1, 0, "u1", "One", "1", "in_stock")]).write.parquet(source)
+    run = lambda cp: streams.scan_stream(spark.readStream.schema(ITEM_SCHEMA).parquet(source), folder, str(tmp_path / cp), lambda n: NOW).awaitTermination()
+    run("first")
+    items(spark, [(1, 0, "u1", "One", "9", "in_stock")]).write.mode("overwrite").parquet(source)
+    run("second")
+    assert state.read_state(spark, folder).first().price == Decimal("9.00")
+
+
+def test_a_batch_that_died_stays_invisible(spark, tmp_path):
+    folder, scans = str(tmp_path), spark.createDataFrame([(1, False)], "competitor_id long, allow_empty boolean")
+    for batch, price in ((0, "1"), (1, "2")):
+        state.write_scan(spark, folder, batch, items(spark, [(1, 0, "u1", "One", price, "in_stock")]), scans, NOW)
+    os.rename(f"{folder}/state/batch=1/_SUCCESS", f"{folder}/state/batch=1/_lost")
+    state.write_scan(spark, folder, 2, items(spark, [(1, 0, "u1", "One", "3", "in_stock")]), scans, NOW)
+    changes = state.read_log(spark, folder, "events").where("event_type = 'price_increase'").collect()
+    assert [(r.old_value["price"], r.new_value["price"]) for r in changes] == [(Decimal("1.00"), Decimal("3.00"))]
+
+
+def test_errored_scans_count_no_miss_and_apply_nothing(spark, tmp_path):
+    folder, scans = str(tmp_path), spark.createDataFrame([(1, True)], "competitor_id long, allow_empty boolean")
+    state.write_scan(spark, folder, 0, items(spark, [(1, 0, "u1", "One", "1", "in_stock")]), scans, NOW)
+    errors = spark.createDataFrame([(1, "timed out"), (2, "no answer")], "competitor_id long, error string")
+    state.write_scan(spark, folder, 1, items(spark, [(1, 0, "u1", "One", "5", "in_stock")]), scans, NOW, errors)
+    for batch in (2, 3, 4):
+        state.write_scan(spark, folder, batch, items(spark, []), scans, NOW, errors)
+    row = state.read_state(spark, folder).first()
+    assert (row.price, row.consecutive_misses, row.active) == (Decimal("1.00"), 0, True)
+    runs = state.read_log(spark, folder, "runs").where("batch = 1").collect()
+    assert sorted((r.competitor_id, r.status, r.error_message) for r in runs) == [(1, "failed", "timed out"), (2, "failed", "no answer")]
+
+
 def test_item_stream_equals_replay(spark, tmp_path):
     observed = view(spark, FOLDER, "observations").withColumns({
         "competitor_id": F.col("competitor_id").cast("long"), "product_key": F.col("product_key").cast("string"), "scan_no": F.col("scan_no").cast("long")})
