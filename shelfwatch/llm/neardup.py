@@ -3,8 +3,10 @@
 A document's signature has the minima of its shingle hashes under `POSITIONS` permutations, 16 bits of each of the first `INDEXED` and 8
 of the others. The indexed ones are split into `CHUNKS` chunks, and each chunk is put under one key per position that may be in
 error, without that position. By the pigeonhole principle two signatures that differ in fewer than 2 * CHUNKS indexed positions
-agree but for one position in some chunk, so they share a key: no such pair is lost. Pairs that share a key and whose
-whole signatures are no further apart than linked sets can be are confirmed on the full sets.
+agree but for one position in some chunk, so they share a key: no such pair is lost. A pair is told in the first bucket it
+shares, if its whole signatures are no further apart than those of linked sets and the bound of its maps allows it, and
+confirmed on the full sets. A map has a bit for every remainder of a hash that the set has; a bit of one set only stands for
+a shingle of it only, so the maps bound the intersection from above.
 
 Documents with equal sets are one node. A bucket may hold a large group of copies, so pairs are told in two rounds. The first
 confirms a minimum spanning tree of signature distances for some of the keys, which finds nearly all components with few pairs. The
@@ -30,11 +32,11 @@ from shelfwatch.session import cut_lineage
 
 POSITIONS, INDEXED, CHUNKS = 192, 60, 10
 PER_CHUNK = INDEXED // CHUNKS
-SIGNATURE_BYTES = 2 * INDEXED + POSITIONS - INDEXED
+MINIMA_BYTES = 2 * INDEXED + POSITIONS - INDEXED
+MAP_BYTES = 256
+SIGNATURE_BYTES = MINIMA_BYTES + MAP_BYTES
 #: Buckets are compared in blocks of so many signatures, and spanning trees are grown inside a block.
 BLOCK = 1024
-#: The chunks whose first key serves the spanning trees.
-TREE_CHUNKS = 4
 SLICE_BYTES = 1_500_000
 BLANK_BYTE = np.zeros(256, bool)
 BLANK_BYTE[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,17 +105,18 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def signatures(hashes: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """The signature of each run of hashes; zeros for an empty run."""
-    out = np.zeros((len(counts), POSITIONS), np.uint16)
+    """The signature of each run of hashes: indexed minima, other minima, map; zeros for an empty run."""
+    minima, maps = np.zeros((len(counts), POSITIONS), np.uint16), np.zeros((len(counts), 8 * MAP_BYTES), bool)
     filled = counts > 0
     if filled.any():
         starts = (np.cumsum(counts) - counts)[filled]
         low = (hashes >> np.uint64(32)).astype(np.uint32)
         for k in range(POSITIONS):
             least = np.minimum.reduceat((low ^ SHIFT[k]) * PERMUTE[k], starts)
-            out[filled, k] = (least ^ (least >> np.uint32(16))).astype(np.uint16)
-    wide, narrow = out[:, :INDEXED].astype(">u2"), out[:, INDEXED:].astype(np.uint8)
-    return [w.tobytes() + n.tobytes() for w, n in zip(wide, narrow)]
+            minima[filled, k] = (least ^ (least >> np.uint32(16))).astype(np.uint16)
+        maps[np.repeat(np.arange(len(counts)), counts), (hashes % np.uint64(8 * MAP_BYTES)).astype(np.int64)] = True
+    wide, narrow = minima[:, :INDEXED].astype(">u2"), minima[:, INDEXED:].astype(np.uint8)
+    return [w.tobytes() + n.tobytes() + m.tobytes() for w, n, m in zip(wide, narrow, np.packbits(maps, axis=1))]
 
 
 def pack_set(hashes: np.ndarray) -> bytes:
@@ -193,7 +196,7 @@ def runs(batches, trees: bool):
 
 
 def shared_keys(indexed: DataFrame) -> DataFrame:
-    """The rows of (key, id, tree) whose key more than one row has; `indexed` is sorted by key inside partitions."""
+    """The rows of (key, id, place) whose key more than one row has; `indexed` is sorted by key inside partitions."""
 
     def run(batches):
         last, waiting = None, None  # the last row so far, if it may still be alone
@@ -215,12 +218,27 @@ def shared_keys(indexed: DataFrame) -> DataFrame:
 
 
 def distances(one: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Positions in which signatures differ; rows of bytes against rows of bytes."""
-    differ = one != others
+    """Positions in which the minima of signatures differ; rows of bytes against rows of bytes."""
+    differ = one[..., :MINIMA_BYTES] != others[..., :MINIMA_BYTES]
     wide = differ[..., : 2 * INDEXED : 2] | differ[..., 1 : 2 * INDEXED : 2]
     return wide.sum(axis=-1, dtype=np.int32) + differ[..., 2 * INDEXED :].sum(axis=-1, dtype=np.int32)
 
 
+def first_places(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The first place, chunk and position in error, whose key the signatures share."""
+    differ = one[: 2 * INDEXED] != others[:, : 2 * INDEXED]
+    wrong = (differ[:, ::2] | differ[:, 1::2]).reshape(len(others), CHUNKS, PER_CHUNK)
+    chunk = (wrong.sum(axis=2) <= 1).argmax(axis=1)
+    return chunk * PER_CHUNK + wrong[np.arange(len(others)), chunk].argmax(axis=1)
+
+
+def most_shared(one: np.ndarray, others: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+    """An upper bound of the intersection of a set with others, from the maps."""
+    a, b = one[MINIMA_BYTES:].view(np.uint64), np.ascontiguousarray(others[:, MINIMA_BYTES:]).view(np.uint64)
+    only_a, only_b = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (a & ~b, b & ~a))
+    return np.minimum(size - only_a, sizes - only_b)
+
+
 def spanning_tree(rows: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges of a minimum spanning forest whose edges are not longer than `most`."""
     n = len(rows)
@@ -239,39 +257,46 @@ def spanning_tree(rows: np.ndarray, most: int) -> list[tuple[int, int]]:
     return edges
 
 
-def bucket_pairs(rows: DataFrame, most: int, trees: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of (key, id, component, signature) rows, sorted by key inside partitions.
+def bucket_pairs(rows: DataFrame, most: int, percent: int, trees: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of (key, id, component, place, size, signature) rows, sorted by key inside partitions.
 
-    With `trees` the edges of the buckets' spanning trees; else all pairs of two components no further apart than `most`.
+    With `trees` the edges of the buckets' spanning trees; else all pairs of two components that may be linked.
     """
 
     def run(batches):
         found: list[np.ndarray] = []
-        size = 0
+        held = 0
         for bucket in runs(batches, trees):
             if bucket.num_rows < 2:
                 continue
-            ids, part = bucket.column("id").to_numpy(), bucket.column("component").to_numpy()
+            ids, part, size = (bucket.column(c).to_numpy() for c in ("id", "component", "size"))
             if not trees and (part == part[0]).all():
                 continue
             code = np.frombuffer(b"".join(bucket.column("signature").to_pylist()), np.uint8).reshape(-1, SIGNATURE_BYTES)
             if trees:
                 for start in range(0, len(ids), BLOCK):
                     made = spanning_tree(code[start : start + BLOCK], most)
-                    found += [np.sort(ids[start + np.array(e)])[None] for e in made]
-                    size += len(made)
+                    if made:
+                        found.append(np.sort(ids[start + np.array(made)], axis=1))
+                        held += len(made)
             else:
+                place = bucket.column("place")[0].as_py()
                 order = np.argsort(part, kind="stable")
-                ids, part, code = ids[order], part[order], code[order]
+                ids, part, size, code = ids[order], part[order], size[order], code[order]
                 for i in range(len(ids) - 1):
                     rest = np.searchsorted(part, part[i], side="right")
                     hit = rest + np.flatnonzero(distances(code[i], code[rest:]) <= most)
+                    if len(hit):
+                        both = most_shared(code[i], code[hit], size[i], size[hit])
+                        hit = hit[100 * both >= percent * (size[i] + size[hit] - both)]
+                    if len(hit):
+                        hit = hit[first_places(code[i], code[hit]) == place]
                     if len(hit):
                         found.append(np.sort(np.stack([np.full(len(hit), ids[i]), ids[hit]], axis=1), axis=1))
-                        size += len(hit)
-            if size >= 50_000:
+                        held += len(hit)
+            if held >= 50_000:
                 yield pack(found)
-                found, size = [], 0
+                found, held = [], 0
         if found:
             yield pack(found)
 
@@ -329,30 +354,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     share = 1 - percent / 100
-    most = min(POSITIONS, math.ceil(POSITIONS * share + 5.5 * math.sqrt(POSITIONS * share * (1 - share))))
+    most = min(POSITIONS, math.ceil(POSITIONS * share + 4.5 * math.sqrt(POSITIONS * share * (1 - share))))
     plain = docs.select("doc_id", "text")
     described = cut_lineage(describe(plain, size))
     usable = described.where("n_shingles > 0 and doc_id is not null")
     nodes = usable.groupBy("key_a", "key_b", "n_shingles").agg(F.min(F.struct(F.col("doc_id").alias("id"), "signature")).alias("node"))
     nodes = cut_lineage(nodes.select("key_a", "key_b", "n_shingles", "node.id", "node.signature"))
     indexed = nodes.select("id", F.posexplode(index_keys(F.col("signature"))).alias("place", "key"))
-    tree = (F.col("place") % PER_CHUNK == 0) & (F.col("place") < TREE_CHUNKS * PER_CHUNK)
-    indexed = indexed.select("key", "id", tree.alias("tree")).repartition(parts, "key").sortWithinPartitions("key")
+    indexed = indexed.select("key", "id", "place").repartition(parts, "key").sortWithinPartitions("key")
     shared = cut_lineage(shared_keys(indexed))
     involved = shared.select("id").distinct()
     chosen = plain.where(F.col("doc_id").isNotNull()).join(involved, F.col("doc_id") == F.col("id"), "left_semi")
     sets = over_sets(chosen, size, "members binary", lambda hashes, counts, sets: [[pack_set(s) for s in sets]])
     sets = cut_lineage(sets.select(F.col("doc_id").alias("id"), "members"))
-    signed = nodes.select("id", "signature")
+    signed = nodes.select("id", F.col("n_shingles").alias("size"), "signature")
 
     def bucketed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        full = rows.select("key", "id").join(signed, "id")
+        full = rows.join(signed, "id")
         full = full.withColumn("component", F.col("id")) if labels is None else full.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        return full.select("key", "id", "component", "signature").repartition(parts, "key").sortWithinPartitions("key")
+        return full.select("key", "id", "component", "place", "size", "signature").repartition(parts, "key").sortWithinPartitions("key")
 
-    first = cut_lineage(confirm(bucket_pairs(bucketed(shared.where("tree"), None), most, True), sets, percent))
+    exact = shared.where(F.col("place") % PER_CHUNK == 0)  # one key of each chunk
+    first = cut_lineage(confirm(bucket_pairs(bucketed(exact, None), most, percent, True), sets, percent))
     labels = components(first)
-    second = cut_lineage(confirm(bucket_pairs(bucketed(shared, labels), most, False), sets, percent))
+    second = cut_lineage(confirm(bucket_pairs(bucketed(shared, labels), most, percent, False), sets, percent))
     linked = components(first.unionByName(second))
     named = nodes.join(linked, "id", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     named = named.groupBy("key_a", "key_b", "n_shingles").agg(F.min("component_id").alias("component_id"))
