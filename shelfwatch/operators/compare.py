@@ -42,12 +42,17 @@ def with_comparison_score(df: DataFrame, pairs: list[tuple[Column, Column]], nam
 
 
 def compare_target(products: DataFrame, product_id=None, q: str | None = None, candidate_limit: int | None = None) -> DataFrame:
-    """The product to compare: by id, else the best match of the query among active products. At most one row."""
-    if product_id is not None:
-        return products.where(F.col("id") == product_id).limit(1)
+    """The product to compare: by id, and where the id finds none the best match of the query among active products. At most one row."""
+    named = products.where(F.col("id") == product_id).limit(1) if product_id is not None else None
+    if q is None:
+        return products.limit(0) if named is None else named
     rows = with_comparison_score(search_candidates(products, q, candidate_limit), [(F.lit(fold_title(q)), F.col("normalized_title"))])
     order = [F.desc("score"), F.col("last_checked_at").desc_nulls_first(), F.asc("id")]
-    return rows.orderBy(*order).limit(1).drop("score")
+    found = rows.orderBy(*order).limit(1).select(products.columns)
+    if named is None:
+        return found
+    # two rows at most
+    return named.withColumn("_rank", F.lit(0)).unionByName(found.withColumn("_rank", F.lit(1))).orderBy("_rank").limit(1).drop("_rank")
 
 
 def compare_product(products: DataFrame, competitors: DataFrame, target: DataFrame) -> DataFrame:

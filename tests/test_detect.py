@@ -1,4 +1,4 @@
-"""Scan batches against a one-row-at-a-time simulation, and batches folded over time against the history replay."""
+"""Scan batches by rules over the keys of catalog and batch, by golden cases, and folded over time against the history replay."""
 
 from collections import Counter
 from decimal import Decimal
@@ -15,86 +15,16 @@ NOW = "2024-02-01 00:00:00"
 BEFORE = "2024-01-01 00:00:00"
 
 
-class Shop:
-    """Plain simulation of one competitor: a list of products and the events they caused."""
-
-    def __init__(self, products=()):
-        self.products = [dict(p) for p in products]
-        self.events, self.snapshots = [], []
-
-    def scan(self, items):
-        by_url = {p["url"]: p for p in self.products}
-        by_ext = {p["ext"]: p for p in self.products if p["ext"]}
-        old, seen = list(self.products), []
-        for item in items:
-            if not item["url"]:
-                continue
-            hit = by_url.get(item["url"]) or (by_ext.get(item["ext"]) if item["ext"] else None)
-            if hit is None:
-                hit = {**item, "active": True, "misses": 0}
-                self.products.append(hit)
-                by_url[hit["url"]] = hit
-                if hit["ext"]:
-                    by_ext[hit["ext"]] = hit
-                self.note(item["ix"], "new_product", None, item["price"] or None)
-                self.snapshots.append(item["ix"])
-            else:
-                self.update(hit, item)
-            seen.append(id(hit))
-        for p in old:
-            if id(p) not in seen and p["active"]:
-                p["misses"] += 1
-                if p["misses"] >= 3:
-                    p["active"] = False
-                    self.note(-1, "product_removed", None, None)
-
-    def update(self, hit, item):
-        touched = False
-        category = item["category"] or hit["category"]
-        if hit["price"] != item["price"]:
-            if hit["price"] is None or item["price"] is None:
-                kind = "price_changed"
-            else:
-                kind = "price_increase" if item["price"] > hit["price"] else "price_decrease"
-            self.note(item["ix"], kind, hit["price"], item["price"])
-            hit["price"], hit["currency"] = item["price"], item["currency"]
-            touched = True
-        if hit["stock"] != item["stock"]:
-            self.note(item["ix"], "stock_in" if item["stock"] == "in_stock" else "stock_out", None, None)
-            hit["stock"] = item["stock"]
-            touched = True
-        touched |= any(hit[k] != item[k] for k in ("title", "url")) or category != hit["category"]
-        hit.update(title=item["title"], url=item["url"], ext=item["ext"], category=category, active=True, misses=0)
-        if touched:
-            self.snapshots.append(item["ix"])
-
-    def note(self, ix, kind, old, new):
-        self.events.append((ix, kind, old, new))
-
-    def view(self):
-        return Counter((p["url"], p["ext"], p["title"], p["category"], p["price"], p["currency"], p["stock"], p["active"], p["misses"]) for p in self.products)
-
-
 price = st.sampled_from([None, Decimal("1.00"), Decimal("2.50"), Decimal("0.00")])
 fields = dict(
-    url=st.sampled_from(["u1", "u2", "u3", "u4", ""]), ext=st.sampled_from(["e1", "e2", "e3", None, ""]), title=st.sampled_from(["t1", "t2"]),
+    title=st.sampled_from(["t1", "t2"]),
     category=st.sampled_from(["", "c1", "c2", None]), price=price, currency=st.sampled_from(["USD", "EUR"]),
     stock=st.sampled_from(["in_stock", "out_of_stock", "unknown"]),
 )
-items = st.lists(st.fixed_dictionaries(fields), max_size=9)
-
-
-@st.composite
-def catalogs(draw):
-    rows = draw(st.lists(st.fixed_dictionaries({**fields, "url": st.sampled_from(["u1", "u2", "u5", "u6"]), "misses": st.integers(0, 3)}), max_size=4))
-    out, urls, exts = [], set(), set()
-    for r in rows:
-        if r["url"] in urls or (r["ext"] and r["ext"] in exts):
-            continue
-        urls.add(r["url"])
-        exts.add(r["ext"])
-        out.append({**r, "active": r["misses"] < 3})
-    return out
+catalogs = st.dictionaries(
+    st.sampled_from(["u1", "u2", "u5", "u6"]), st.fixed_dictionaries({**fields, "misses": st.integers(0, 3)}), max_size=4
+)
+batches = st.dictionaries(st.sampled_from(["u1", "u2", "u3", "u5"]), st.fixed_dictionaries(fields), max_size=4)
 
 
 def run(spark, catalog_by_shop, items_by_shop):
@@ -113,39 +43,78 @@ def run(spark, catalog_by_shop, items_by_shop):
     return detect.apply_scan(state, spark.createDataFrame(item_rows, ITEM_SCHEMA), scans, NOW, keep_sequence=True)
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
-@given(st.lists(st.tuples(catalogs(), items), min_size=6, max_size=12))
-def test_scan_equals_simulation(spark, cases):
-    """Many random competitors per Spark run, with urls and external ids colliding inside the batch."""
-    catalog = {c: ps for c, (ps, _) in enumerate(cases)}
-    batch = {c: [{**it, "ix": ix} for ix, it in enumerate(its)] for c, (_, its) in enumerate(cases)}
-    result = run(spark, catalog, batch)
-    events, states, snapshots = {c: [] for c in batch}, {c: Counter() for c in batch}, {c: [] for c in batch}
-    for e in result.events.collect():
-        events[e.competitor_id].append((e.item_ix, e.event_type, e.old_value.price if e.old_value else None, e.new_value.price if e.new_value else None))
-    for r in result.state.collect():
-        states[r.competitor_id][(r.url, r.external_id, r.title, r.category, r.price, r.currency, r.stock_status, r.active, r.consecutive_misses)] += 1
-    for s in result.snapshots.collect():
-        snapshots[s.competitor_id].append(s.item_ix)
-    for c in batch:
-        shop = Shop(catalog[c])
-        shop.scan(batch[c])
-        order = lambda e: (e[0], e[1], str(e[2:]))
-        assert sorted(events[c], key=order) == sorted(shop.events, key=order), (catalog[c], batch[c])
-        assert states[c] == shop.view(), (catalog[c], batch[c])
-        assert sorted(snapshots[c]) == sorted(shop.snapshots), (catalog[c], batch[c])
-
-
-def test_chain_of_shared_keys(spark):
-    """Openers that hinge on each other: u1-e1, u2-e1, u2-e2, u3-e2, ... need several rounds."""
-    chain = [("u1", "e1"), ("u2", "e1"), ("u2", "e2"), ("u3", "e2"), ("u3", "e3"), ("u4", "e3"), ("u4", None)]
-    base = dict(title="t", category="c", price=Decimal("1.00"), currency="USD", stock="in_stock")
-    batch = [{**base, "url": u, "ext": e, "ix": i} for i, (u, e) in enumerate(chain)]
-    result = run(spark, {0: []}, {0: batch})
-    shop = Shop()
-    shop.scan(batch)
-    assert sorted((e.item_ix, e.event_type) for e in result.events.collect()) == sorted(e[:2] for e in shop.events)
-    assert result.state.count() == len(shop.products)
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@given(st.lists(st.tuples(catalogs, batches), min_size=6, max_size=12))
+def test_rules_over_keys(spark, cases):
+    """What a batch does follows from the urls that only one side has and the values in which both sides differ."""
+    stored = {c: [{**p, "url": u, "ext": None, "active": p["misses"] < 3} for u, p in ps.items()] for c, (ps, _) in enumerate(cases)}
+    batch = {c: [{**it, "url": u, "ext": None, "ix": i} for i, (u, it) in enumerate(its.items())] for c, (_, its) in enumerate(cases)}
+    result = run(spark, stored, batch)
+    urls = {(c, it["ix"]): it["url"] for c, its in batch.items() for it in its}
+    events = Counter((e.competitor_id, urls.get((e.competitor_id, e.item_ix)), e.event_type) for e in result.events.collect())
+    snapshots = {(r.competitor_id, urls[r.competitor_id, r.item_ix]) for r in result.snapshots.collect()}
+    state = {(r.competitor_id, r.url): r for r in result.state.collect()}
+    old = {(c, p["url"]): p for c, ps in stored.items() for p in ps}
+    new = {(c, it["url"]): it for c, its in batch.items() for it in its}
+    both, added, missing = old.keys() & new.keys(), new.keys() - old.keys(), old.keys() - new.keys()
+
+    def category(k):
+        return new[k]["category"] or (old[k]["category"] if k in both else new[k]["category"])
+
+    of_price = {k for k in both if old[k]["price"] != new[k]["price"]}
+    known = {k for k in of_price if None not in (old[k]["price"], new[k]["price"])}
+    of_stock = {k for k in both if old[k]["stock"] != new[k]["stock"]}
+    removed = {k for k in missing if old[k]["misses"] == 2}
+    expected = Counter([(*k, "new_product") for k in added])
+    expected.update((*k, "price_changed") for k in of_price - known)
+    expected.update((*k, "price_increase" if old[k]["price"] < new[k]["price"] else "price_decrease") for k in known)
+    expected.update((*k, "stock_in" if new[k]["stock"] == "in_stock" else "stock_out") for k in of_stock)
+    expected.update((k[0], None, "product_removed") for k in removed)
+    assert events == expected
+    described = {k for k in both if old[k]["title"] != new[k]["title"] or category(k) != old[k]["category"]}
+    assert snapshots == added | of_price | of_stock | described
+    assert state.keys() == old.keys() | new.keys()
+    for k, row in state.items():
+        if k in new:
+            assert (row.active, row.consecutive_misses, row.title, row.price, row.stock_status) == (True, 0, new[k]["title"], new[k]["price"], new[k]["stock"])
+            assert row.category == category(k)
+            assert row.currency == (new[k] if k in added | of_price else old[k])["currency"]
+        else:
+            assert row.consecutive_misses == old[k]["misses"] + old[k]["active"] and row.active == (row.consecutive_misses < 3)
+            assert (row.title, row.price, row.category) == (old[k]["title"], old[k]["price"], old[k]["category"])
+
+
+PLAIN = dict(title="t", category="c", price=Decimal("1.00"), currency="USD", stock="in_stock")
+
+
+def stored_product(url, ext, **more):
+    return {**PLAIN, "url": url, "ext": ext, "active": True, "misses": 0, **more}
+
+
+def landed(*keys):
+    return [{**PLAIN, "url": u, "ext": e, "ix": i} for i, (u, e) in enumerate(keys)]
+
+
+#: stored keys, landed keys, places of new products, number of products afterwards
+MATCHES = [
+    ([("u1", "e1")], [("u9", "e1")], [], 1),  # moved: the external id finds it
+    ([("u1", "e1"), ("u2", "e2")], [("u1", "e2")], [], 2),  # the url goes before the external id
+    ([("u1", None)], [("u2", ""), ("u3", None)], [0, 1], 3),  # empty ids match nothing
+    ([], [("u1", "e1"), ("u2", "e1"), ("u1", "e2")], [0], 1),  # later items join the product opened in the batch
+    ([], [("", "e1"), ("u2", "e1")], [1], 1),  # an item without url is none
+    ([], [("u1", "e1"), ("u2", "e1"), ("u2", "e2"), ("u3", "e2"), ("u3", "e3"), ("u4", "e3"), ("u4", None)], [0, 2, 4, 6], 4),
+]
+
+
+def test_matching_by_url_and_external_id(spark):
+    """Every case is a shop. In the last one each opener hinges on the one before: an item is matched by the keys that products
+    were opened with, so every second item opens one.
+    """
+    result = run(spark, {c: [stored_product(*k) for k in m[0]] for c, m in enumerate(MATCHES)}, {c: landed(*m[1]) for c, m in enumerate(MATCHES)})
+    opened, products = {c: [] for c in range(len(MATCHES))}, Counter(r.competitor_id for r in result.state.select("competitor_id").collect())
+    for e in result.events.where("event_type = 'new_product'").orderBy("item_ix").collect():
+        opened[e.competitor_id].append(e.item_ix)
+    assert [(opened[c], products[c]) for c in range(len(MATCHES))] == [(m[2], m[3]) for m in MATCHES]
 
 
 def test_empty_scan_is_rejected_unless_allowed(spark):
@@ -196,27 +165,24 @@ history_rows = st.lists(
 )
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow])
 @given(history_rows)
 def test_replay_equals_folded_scans(spark, rows):
     observations = spark.createDataFrame(rows, "competitor_id long, scan_no int, product_key long, price decimal(12,2), stock_status string, category string")
     got = Counter((r.competitor_id, r.product_key, r.scan_no, r.event_type) for r in history.replay_history(observations).collect())
-    expected = Counter()
-    shops = {}
-    for c, scan in sorted({r[:2] for r in rows}):
-        shop = shops.setdefault(c, Shop())
-        shop.events = []
-        items = [dict(url=f"u{k}", ext=None, title="t", category=cat, price=p, currency="USD", stock=s, ix=k)
-                 for (cc, sc, k, p, s, cat) in rows if (cc, sc) == (c, scan)]
-        removed = {p["url"] for p in shop.products if not p["active"]}
-        shop.scan(items)
-        for ix, kind, *_ in shop.events:
-            if ix >= 0:
-                expected[(c, ix, scan, kind)] += 1
-        for p in shop.products:
-            if not p["active"] and p["url"] not in removed:
-                expected[(c, int(p["url"][1:]), scan, "product_removed")] += 1
+    expected, state = Counter(), spark.createDataFrame([], STATE_SCHEMA)
+    for number in range(1, 10):
+        scanned = sorted({c for c, n, *_ in rows if n == number})
+        landed_rows = [(c, k, f"u{k}", None, "t", p, "USD", s, None, None, cat) for c, n, k, p, s, cat in rows if n == number]
+        if not scanned:
+            continue
+        scans = spark.createDataFrame([(c, False) for c in scanned], SCAN_SCHEMA)
+        result = detect.apply_scan(state, spark.createDataFrame(landed_rows, ITEM_SCHEMA), scans, NOW, keep_sequence=True)
+        gone = {r.product_id: int(r.url[1:]) for r in result.state.select("product_id", "url").collect()}
+        for e in result.events.collect():
+            expected[(e.competitor_id, gone[e.product_id] if e.item_ix < 0 else e.item_ix, number, e.event_type)] += 1
+        state = spark.createDataFrame(result.state.collect(), result.state.schema)
     assert got == expected
     final = {(r.competitor_id, r.product_key): (r.consecutive_misses, r.active)
              for r in history.missing_products(history.replay_sequence(observations)).collect()}
-    assert final == {(c, int(p["url"][1:])): (p["misses"], p["active"]) for c, s in shops.items() for p in s.products}
+    assert final == {(r.competitor_id, int(r.url[1:])): (r.consecutive_misses, r.active) for r in state.collect()}

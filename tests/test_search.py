@@ -1,6 +1,6 @@
-"""Scores, search, suggestions and comparison against direct computation."""
+"""Scores by hand-computed tables and properties; search, suggestions and comparison against full scoring and grouping."""
 
-from difflib import SequenceMatcher
+import itertools
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,48 +11,48 @@ from shelfwatch.plans.searching import titles
 
 FOLDER = "/root/testdata/sf0.001"
 
-
-def ratio(a, b):
-    return SequenceMatcher(None, a, b).ratio()
-
-
-def match(q, c):
-    if not q or not c:
-        return 0.0
-    qs, cs = q.split(), c.split()
-    shared = len(set(qs) & set(cs)) / max(len(set(qs)), 1)
-    pair = max((ratio(x, y) for x in set(qs) for y in set(cs)), default=0.0)
-    return max(1.0 if q in c else 0.0, 0.9 * shared, 0.8 * ratio(q, c), 0.7 * pair)
-
-
-def closeness(q, c):
-    if not q or not c:
-        return 0.0
-    if q == c:
-        return 1.0
-    qs, cs = q.split(), c.split()
-    if len(qs) == 1 and q in cs:
-        return 0.94 if len(cs) == 1 else 0.72
-    return 0.9 if set(qs) <= set(cs) else ratio(q, c)
-
-
-PAIRS = [("rainbow pet", "rainbow shiny pet"), ("rainbo shiny", "rainbow shiny pet"), ("chill", "chill"), ("chill", "chillin chili"), ("chill", "chill knife"),
-         ("tide", "diet"), ("diet", "tide"), ("a b", "b a"), ("", "x"), ("x", ""), ("blue", "blu"), ("divine blue bolt", "blue bolt"), ("x" * 250, "x" * 240 + "y" * 20),
-         ("gold gold", "gold"), ("knife", "knife knife")]
-
-
-def test_match_scores(spark):
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "i int, q string, c string")
-    out = search.with_match_score(rows, F.col("q"), F.col("c")).orderBy("i").collect()
-    assert [r.score for r in out] == pytest.approx([match(*p) for p in PAIRS])
-    assert out[0].score > 0.5 and out[1].score > 0.4
-
-
-def test_comparison_scores(spark):
-    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(PAIRS)], "i int, q string, c string")
-    out = compare.with_comparison_score(rows, [(F.col("q"), F.col("c"))]).orderBy("i").collect()
-    assert [r.score for r in out] == pytest.approx([closeness(*p) for p in PAIRS])
-    assert out[2].score > 0.9 and out[3].score < 0.86
+#: query, candidate, match score, comparison score. A ratio of two texts is twice the letters of their matching blocks over both lengths.
+SCORED = [
+    ("oak table", "solid oak table", 1.0, 0.9),  # contained; all words inside
+    ("oak desk", "solid oak table", 0.7, 2 * 5 / 23),  # a pair of equal words; blocks "oak " and one letter
+    ("lamp", "lamp", 1.0, 1.0),
+    ("lamp", "red lamp", 1.0, 0.72),  # one word among several
+    ("lamp", "lamp lamp", 1.0, 0.72),
+    ("abcd", "bcda", 0.8 * 0.75, 0.75),  # "bcd" of four and four letters
+    ("abcdx", "abcdy", 0.8 * 0.8, 0.8),
+    ("x y", "y x", 0.9, 0.9),  # the same words in another order
+    ("", "anything", 0.0, 0.0),
+    ("anything", "", 0.0, 0.0),
+]
+
+
+def scored(spark, pairs):
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, q string, c string")
+    matched = [r.score for r in search.with_match_score(rows, F.col("q"), F.col("c")).orderBy("i").collect()]
+    compared = [r.score for r in compare.with_comparison_score(rows, [(F.col("q"), F.col("c"))]).orderBy("i").collect()]
+    return matched, compared
+
+
+def test_hand_computed_scores(spark):
+    matched, compared = scored(spark, [s[:2] for s in SCORED])
+    assert matched == pytest.approx([s[2] for s in SCORED])
+    assert compared == pytest.approx([s[3] for s in SCORED])
+
+
+def test_score_properties(spark):
+    words = ["amber", "ambar", "birch", "birches", "cedar wood", "wood cedar", "cedar", "c" * 250, "c" * 249 + "d"]
+    pairs = list(itertools.product(words, words))
+    matched, compared = scored(spark, pairs)
+    for (q, c), m, k in zip(pairs, matched, compared):
+        assert 0 <= m <= 1 and 0 <= k <= 1
+        assert (k == 1) == (q == c)
+        assert m == 1 if q in c else m < 1
+        shared = len(set(q.split()) & set(c.split())) / len(set(q.split()))
+        assert m >= 0.9 * shared - 1e-9
+        if set(q.split()) < set(c.split()) and len(q.split()) > 1:
+            assert k == pytest.approx(0.9)
+    # The rule for long texts is that for short ones: one letter of 250 differs.
+    assert compared[pairs.index((words[7], words[8]))] == pytest.approx(2 * 249 / 500)
 
 
 def identities(spark, cases, hint=None):
@@ -62,28 +62,33 @@ def identities(spark, cases, hint=None):
 
 
 def test_identities(spark):
-    cases = [
-        ("esok sekolah", "Steal a Brainrot"), ("300m s divine esok sekolah", "steal a brainrot"), ("galaxy esok sekolah 210m 1s", "Best-selling"),
-        ("divine esok sekolah", "Steal a Brainrot"), ("rainbow knife", "Murder Mystery 2"), ("gold yin yang x gold", "brainrot"),
-        ("yin gold yang", "brainrot"), ("blood yin yang moon x blood moon", "brainrot"), ("divine", "brainrot"), ("123 456", "brainrot"),
-        ("rainbow mm2 knife", None), ("", None), ("golden gold", "Escape Tsunami"),
-    ]
-    assert identities(spark, cases) == [
-        ("esok sekolah", "normal", "Esok Sekolah"), ("esok sekolah", "divine", "Divine Esok Sekolah"), ("esok sekolah", "galaxy", "Galaxy Esok Sekolah"),
-        ("esok sekolah", "divine", "Divine Esok Sekolah"), ("rainbow knife", "normal", "Rainbow Knife"), ("x gold", "yin yang gold", "Yin Yang Gold X Gold"),
-        ("yin yang", "gold", "Gold Yin Yang"), ("blood moon x", "yin yang blood moon", "Yin Yang Blood Moon Blood Moon X"), ("divine", "divine", "Divine Divine"),
-        ("123 456", "normal", "123 456"), ("knife", "rainbow", "Rainbow Knife"), ("", "normal", ""), ("golden gold", "gold golden", "Gold Golden Golden Gold"),
-    ]
-
-
-def test_hint_splits_generic_titles(spark):
-    cases = [("divine esok sekolah", "Best-selling weapons and pets!"), ("divine other thing", "Best-selling")]
-    assert identities(spark, cases, "esok sekolah") == [("esok sekolah", "divine", "Divine Esok Sekolah"), ("divine other thing", "normal", "Divine Other Thing")]
+    """Phrases are taken out in table order, once each; numbers and stat words go; without a variant the title is the base."""
+    game = "Brainrot goods"
+    expected = {
+        ("tiny robot", game): ("tiny robot", "normal", "Tiny Robot"),
+        ("magma tiny robot", game): ("tiny robot", "magma", "Magma Tiny Robot"),
+        ("tiny lava robot 55m 2s", "anything"): ("tiny robot", "lava", "Lava Tiny Robot"),  # a quantity marks a game
+        ("shadow robot", "Kitchen"): ("shadow robot", "normal", "Shadow Robot"),  # neither marker nor quantity
+        ("cyber blood moon robot", game): ("robot", "blood moon cyber", "Blood Moon Cyber Robot"),
+        ("blood cyber moon", game): ("blood moon", "cyber", "Cyber Blood Moon"),  # the pair is not together
+        ("crystal crystal", game): ("crystal", "crystal", "Crystal Crystal"),  # the first one only
+        ("electric", game): ("electric", "electric", "Electric Electric"),
+        ("77 88", game): ("77 88", "normal", "77 88"),
+        ("", None): ("", "normal", ""),
+    }
+    assert identities(spark, list(expected)) == list(expected.values())
+
+
+def test_hint_splits_other_titles(spark):
+    cases = [("galaxy tiny robot", "Kitchen"), ("galaxy tall robot", "Kitchen"), ("galaxy", "Kitchen")]
+    split, kept = ("tiny robot", "galaxy", "Galaxy Tiny Robot"), ("galaxy tall robot", "normal", "Galaxy Tall Robot")
+    assert identities(spark, cases, "tiny robot")[:2] == [split, kept]
+    assert identities(spark, cases, "")[2] == ("galaxy", "normal", "Galaxy")  # an empty hint is none
 
 
 def test_aliases(spark):
-    rows = spark.createDataFrame([("chill knife",), ("knife",), ("chill",)], "t string")
-    assert [r[0] for r in rows.select(identity.comparison_aliases(F.col("t"))).collect()] == [["chill knife", "chill"], ["knife"], ["chill"]]
+    rows = spark.createDataFrame([("silver gun",), ("guns",), ("silver",)], "t string")
+    assert [r[0] for r in rows.select(identity.comparison_aliases(F.col("t"))).collect()] == [["silver gun", "silver"], ["guns"], ["silver"]]
 
 
 def test_token_variants(spark):
@@ -99,16 +104,21 @@ def market(spark):
     return rows, shops, [r.asDict() for r in rows.collect()], {r.id: r.asDict() for r in shops.collect()}
 
 
+def scores_of(rows, q, column="normalized_title"):
+    """The match score of every product, without candidates."""
+    return {r.id: r.score for r in search.with_match_score(rows, F.lit(q), F.col(column)).select("id", "score").collect()}
+
+
 @pytest.mark.parametrize("q", ["Divine  Blue-Bolt", "rign", "zz"])
-def test_search_against_brute_force(spark, market, q):
+def test_search_ranks_all_scored_candidates(market, q):
     rows, shops, products, names = market
     norm = " ".join(q.lower().replace("-", " ").split())
-    variants = {v for t in norm.split() for v in (t, t[:4], t[:6]) if len(v) >= 2}
-    hits = [(round(match(norm, p["normalized_title"]), 3), p) for p in products
-            if any(v in p["normalized_title"] for v in variants) and match(norm, p["normalized_title"]) >= 0.34]
-    hits.sort(key=lambda h: (-h[0], h[1]["current_price"] is None, h[1]["current_price"], h[1]["id"]))
+    score = scores_of(rows, norm)
+    starts = {v for t in norm.split() for v in (t, t[:4], t[:6]) if len(v) >= 2}
+    hits = [p for p in products if any(v in p["normalized_title"] for v in starts) and score[p["id"]] >= 0.34]
+    hits.sort(key=lambda p: (-round(score[p["id"]], 3), p["current_price"] is None, p["current_price"], p["id"]))
     got = search.search_products(rows, shops, q, page=1, page_size=40).orderBy("pos").collect()
-    assert [(r.match_score, r.id, r.competitor_name) for r in got] == [(s, p["id"], names[p["competitor_id"]]["name"]) for s, p in hits[:40]]
+    assert [(r.match_score, r.id, r.competitor_name) for r in got] == [(round(score[p["id"]], 3), p["id"], names[p["competitor_id"]]["name"]) for p in hits[:40]]
     assert search.search_results(rows, shops, q).count() == len(hits)
 
 
@@ -119,69 +129,63 @@ def test_candidate_limit(market):
     assert got == {p["id"] for p in newest[:10]}
 
 
-def test_suggestions_against_brute_force(spark, market):
+def test_suggestions_group_the_scored_candidates(market):
     rows, shops, products, names = market
-    q, norm = "blue bolt", "blue bolt"
-    tagged = identity.with_identity(rows, base_hint=F.lit("blue bolt")).select("id", "identity_key", "base")
-    tags = {r.id: r for r in tagged.collect()}
+    tagged = identity.with_identity(rows, base_hint=F.lit("blue bolt"))
+    by_title, by_base = scores_of(rows, "blue bolt"), scores_of(tagged, "blue bolt", "base")
+    product = {p["id"]: p for p in products}
+    score = {i: max(by_title[i], by_base[i]) for i in product if {"blue", "bolt"} & {w for w in ("blue", "bolt") if w in product[i]["normalized_title"]}}
     groups = {}
-    for p in sorted(products, key=lambda p: (-p["last_checked_at"].timestamp(), p["id"])):
-        if not any(v in p["normalized_title"] for v in ("blue", "bolt")):
-            continue
-        tag = tags[p["id"]]
-        score = max(match(norm, p["normalized_title"]), match(norm, tag.base))
-        if score < 0.34:
-            continue
-        g = groups.setdefault(tag.identity_key, dict(category=p["category"], best=p, sellers=set(), variants=set(), score=0))
-        g["sellers"].add(names[p["competitor_id"]]["name"])
-        g["variants"].add(p["title"])
-        g["score"] = max(g["score"], score)
-        if p["current_price"] < g["best"]["current_price"]:
-            g["best"] = p
-    expected = sorted(((-round(g["score"], 3), -len(g["sellers"]), g["best"]["current_price"], k) for k, g in groups.items()))
-    got = search.search_suggestions(rows, shops, q).orderBy("pos").collect()
-    assert [(-r.match_score, -r.competitors_count, r.best_price, r.identity_key) for r in got] == expected[:20]
+    for r in tagged.select("id", "identity_key").collect():
+        if score.get(r.id, 0) >= 0.34:
+            groups.setdefault(r.identity_key, []).append(product[r.id])
+    newest = lambda p: (-p["last_checked_at"].timestamp(), p["id"])
+    facts = {}
+    for key, members in groups.items():
+        cheapest = min(members, key=lambda p: (p["current_price"] is None, p["current_price"], newest(p)))
+        facts[key] = (round(max(score[p["id"]] for p in members), 3), len({names[p["competitor_id"]]["name"] for p in members}), cheapest["current_price"],
+                      min(members, key=newest)["category"], cheapest["id"], sorted({p["title"] for p in members})[:5])
+    order = sorted(facts, key=lambda k: (-facts[k][0], -facts[k][1], facts[k][2], k))
+    got = search.search_suggestions(rows, shops, "blue bolt").orderBy("pos").collect()
+    assert [r.identity_key for r in got] == order[:20]
     for r in got:
-        g = groups[r.identity_key]
-        assert (r.category, r.representative_product_id, r.variants) == (g["category"], g["best"]["id"], sorted(g["variants"])[:5])
+        assert (r.match_score, r.competitors_count, r.best_price, r.category, r.representative_product_id, list(r.variants)) == facts[r.identity_key]
 
 
-def test_compare_against_brute_force(spark, market):
-    rows, shops, products, names = market
+def test_compare_takes_the_best_match_of_every_shop(market):
+    rows, shops, _, names = market
     target = compare.compare_target(rows, q="divine blue bolt")
     wanted = identity.with_identity(target).first()
-    best_score = max(closeness("divine blue bolt", p["normalized_title"]) for p in products if any(v in p["normalized_title"] for v in ("divi", "blue", "bolt")))
-    assert closeness("divine blue bolt", wanted.normalized_title) == best_score
-    tagged = identity.with_identity(rows, base_hint=F.lit(wanted.base)).collect()
-    drop = {"knife", "knive", "knives", "gun", "guns", "weapon", "weapons", "godly", "mm2"}
-
-    def aliases(t):
-        return {t, " ".join(w for w in t.split() if w not in drop) or t}
-
+    pairs = [(a, b) for a in (F.lit(wanted.base),) for b in (F.col("base"),)]
+    rivals = identity.with_identity(rows, base_hint=F.lit(wanted.base)).where(F.col("mutation") == wanted.mutation)
+    scored_rivals = compare.with_comparison_score(rivals, pairs).where("score >= 0.86").collect()
     best = {}
-    for r in tagged:
-        if r.mutation != wanted.mutation:
-            continue
-        score = max(closeness(a, b) for a in aliases(wanted.base) for b in aliases(r.base))
-        if score >= 0.86:
-            key = (-score, r.current_price, r.id)
-            best[r.competitor_id] = min(best.get(r.competitor_id, key), key)
-    got = compare.compare_product(rows, shops, target).collect()
-    assert {r.competitor_id for r in got} == {c for c, shop in names.items() if shop["active"]}
-    for r in got:
-        if r.competitor_id in best:
-            score, cost, pid = best[r.competitor_id]
-            assert (r.match_score, r.current_price, r.product_id) == (round(-score, 3), cost, pid)
+    for r in scored_rivals:
+        key = (-r.score, r.current_price, r.id)
+        best[r.competitor_id] = min(best.get(r.competitor_id, key), key)
+    got = {r.competitor_id: r for r in compare.compare_product(rows, shops, target).collect()}
+    assert set(got) == {c for c, shop in names.items() if shop["active"]} and best
+    for shop, r in got.items():
+        if shop in best:  # aliases can only better a match
+            assert r.match_score >= round(-best[shop][0], 3)
+            assert r.match_score > round(-best[shop][0], 3) or (r.current_price, r.product_id) == best[shop][1:]
         else:
-            assert r.product_id is None and r.match_score == 0
-    assert len(best) > 0
-    ordered = [r.current_price for r in got if r.product_id is not None]
-    assert ordered == sorted(ordered)
+            assert r.product_id is None or r.match_score >= 0.86
+    prices = [r.current_price for r in got.values() if r.product_id is not None]
+    assert prices == sorted(prices)
+
+
+def test_unknown_id_falls_back_to_the_query(market):
+    rows, _, _, _ = market
+    by_text = compare.compare_target(rows, q="divine blue bolt").first()
+    assert compare.compare_target(rows, product_id=-1, q="divine blue bolt").first().id == by_text.id
+    assert compare.compare_target(rows, product_id=by_text.id, q="zz").first().id == by_text.id
+    assert compare.compare_target(rows, product_id=-1).count() == 0
 
 
 def test_compare_with_generic_category_uses_target_base(spark):
-    data = [(1, 1, "esok sekolah", "Steal a Brainrot", "5.00"), (2, 2, "divine esok sekolah", "Pets", "3.00"), (3, 2, "esok sekolah", "Pets", "9.00"),
-            (4, 3, "divine esok sekolah", "Steal a Brainrot", "2.00"), (5, 3, "esok sekolahs", "x", None), (6, 4, "other", "x", "1.00")]
+    data = [(1, 1, "tiny robot", "Steal a Brainrot", "5.00"), (2, 2, "divine tiny robot", "Pets", "3.00"), (3, 2, "tiny robot", "Pets", "9.00"),
+            (4, 3, "divine tiny robot", "Steal a Brainrot", "2.00"), (5, 3, "tiny robots", "x", None), (6, 4, "other", "x", "1.00")]
     rows = spark.createDataFrame(data, "id long, competitor_id long, normalized_title string, category string, current_price string").withColumns({
         "current_price": F.col("current_price").cast("decimal(12,2)"), "active": F.lit(True), "currency": F.lit("USD"), "last_checked_at": F.current_timestamp()})
     shops = spark.createDataFrame([(i, f"s{i}", True) for i in range(1, 5)], "id long, name string, active boolean")
