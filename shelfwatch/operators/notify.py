@@ -227,3 +227,13 @@ def summary_fanout(summary: DataFrame, competitors: DataFrame, default_webhook:
     if drops is not None:
         rows = rows.drop("drops_text")
     return hooks.distinct().select("*", one).join(rows, "one").drop("one")
+
+
+def summary_messages(fanout: DataFrame) -> DataFrame:
+    """The rendered daily summary for every webhook of `summary_fanout`."""
+    counts = {"New Products": "new_products_today", "Price Changes": "price_changes_today", "Failed Scans": "failed_scans", "Competitors Scanned": "competitors_scanned"}
+    fields = [_field(name, F.col(column).cast("string")) for name, column in counts.items()]
+    return fanout.select(
+        "webhook_url", F.lit("📊 Daily Market Monitor Summary").alias("title"), F.lit(0x5865F2).alias("color"),
+        F.array(*fields, _field("Biggest Price Drops", F.col("biggest_drops"), False)).alias("fields"),
+    )
