@@ -23,9 +23,12 @@ def exact_comparison(query: Column, candidate: Column) -> Column:
     )
 
 
-def with_comparison_score(df: DataFrame, pairs: list[tuple[Column, Column]], name: str = "score") -> DataFrame:
+def with_comparison_score(df: DataFrame, pairs: list[tuple[Column, Column]], name: str = "score", least: float = 0.0) -> DataFrame:
     """`df` with the best comparison score of the given text pairs; a null text takes no part.
 
+    Scores below `least` need not be right: a ratio is at most twice the shorter length over both lengths, so pairs whose
+    lengths rule `least` out are not sent to Python.
+
     Ratios are asked for only where the rules leave a pair open and no other pair is already equal.
     """
     exact = {f"_e{i}": F.when(a.isNotNull() & b.isNotNull(), exact_comparison(a, b)) for i, (a, b) in enumerate(pairs)}
@@ -35,6 +38,7 @@ def with_comparison_score(df: DataFrame, pairs: list[tuple[Column, Column]], nam
     ratios = {}
     for i, (a, b) in enumerate(pairs):
         open_pair = ~F.col("_equal") & F.col(f"_e{i}").isNull() & a.isNotNull() & b.isNotNull()
+        open_pair &= 2 * F.least(F.length(a), F.length(b)) >= F.lit(least) * (F.length(a) + F.length(b))
         ratios[f"_r{i}"] = sequence_ratio(F.when(open_pair, a), F.when(open_pair, b))
     df = df.withColumns(ratios)
     best = F.greatest(F.lit(0.0), *[F.coalesce(f"_e{i}", f"_r{i}", F.lit(0.0)) for i in range(len(pairs))])
@@ -90,7 +94,7 @@ def compare_product(products: DataFrame, competitors: DataFrame, target: DataFra
         "t0": F.get("target_aliases", F.lit(0)), "t1": F.get("target_aliases", F.lit(1)),
         "c0": F.get(aliases, F.lit(0)), "c1": F.get(aliases, F.lit(1)),
     })
-    scored = with_comparison_score(met, [(F.col(t), F.col(c)) for t in ("t0", "t1") for c in ("c0", "c1")])
+    scored = with_comparison_score(met, [(F.col(t), F.col(c)) for t in ("t0", "t1") for c in ("c0", "c1")], least=COMPARE_THRESHOLD)
     order = F.struct(-F.col("score"), F.col("current_price").isNull(), F.col("current_price"), F.col("id"))
     best = scored.where(F.col("score") >= COMPARE_THRESHOLD).groupBy("competitor_id").agg(
         F.min_by(F.struct(F.round("score", 3).alias("match_score"), F.col("id").alias("product_id"), "normalized_title",

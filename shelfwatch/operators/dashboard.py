@@ -28,7 +28,9 @@ def period_start(now, period: str) -> datetime:
 
 
 def since(df: DataFrame, column: str, start) -> DataFrame:
-    return df.where(F.col(column) >= at(df, column, start))
+    """Rows from `start` on. A log's `day` is the date of its time column, so days before are not even listed for reading."""
+    rows = df.where(F.col("day") >= F.lit(as_datetime(start).date())) if "day" in df.columns else df
+    return rows.where(F.col(column) >= at(df, column, start))
 
 
 def _is(*types: str) -> Column:

@@ -30,14 +30,15 @@ def _variants(norm: str) -> list[str]:
     return sorted(v for v in found if len(v) >= 2)
 
 
-def search_candidates(products: DataFrame, q: str, candidate_limit: int | None = None) -> DataFrame:
+def search_candidates(products: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = True) -> DataFrame:
     """Active products whose title contains any variant of a query word; all of them if no variant is long enough.
 
-    The newest `candidate_limit` may be asked for; by default nothing is cut off.
+    The variants are a blocking rule: a word misspelt in its first letters is not found by them. Without `blocked` every active
+    product is a candidate. The newest `candidate_limit` may be asked for; by default nothing is cut off.
     """
     rows = products.where("active")
     variants = _variants(fold_title(q))
-    if variants:
+    if blocked and variants:
         rows = rows.where(reduce(or_, [F.contains("normalized_title", F.lit(v)) for v in variants]))
     if candidate_limit is not None:
         rows = rows.orderBy(F.col("last_checked_at").desc_nulls_first(), F.col("id").asc()).limit(candidate_limit)
@@ -77,31 +78,36 @@ def exact_match_scores(df: DataFrame, query: Column, candidate: Column) -> DataF
     return df.withColumn("score", score).where("score is not null")
 
 
-def search_results(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None) -> DataFrame:
+def search_results(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = True) -> DataFrame:
     """All products scoring at least the threshold, which is applied before rounding."""
-    rows = with_match_score(search_candidates(products, q, candidate_limit), F.lit(fold_title(q)), F.col("normalized_title"))
+    rows = with_match_score(search_candidates(products, q, candidate_limit, blocked), F.lit(fold_title(q)), F.col("normalized_title"))
     hits = rows.where(F.col("score") >= SEARCH_THRESHOLD).withColumn("match_score", F.round("score", 3)).drop("score")
     return with_competitor(hits, competitors)
 
 
 def search_products(
-    products: DataFrame, competitors: DataFrame, q: str, page: int = 1, page_size: int = 50, candidate_limit: int | None = None
+    products: DataFrame, competitors: DataFrame, q: str, page: int = 1, page_size: int = 50, candidate_limit: int | None = None,
+    blocked: bool = True,
 ) -> DataFrame:
     """A page of results: best score first, then cheapest, prices missing last."""
     order = [F.desc("match_score"), F.col("current_price").asc_nulls_last(), F.asc("id")]
-    return first_page(search_results(products, competitors, q, candidate_limit), order, page, page_size)
+    return first_page(search_results(products, competitors, q, candidate_limit, blocked), order, page, page_size)
 
 
-def query_base_hint(products: DataFrame, q: str) -> str:
-    """Base words of the query: what is left after its variant phrases, or all of it."""
-    one = products.sparkSession.range(1).select(F.lit(fold_title(q)).alias("t"))
-    return with_extraction(one, F.col("t")).select(F.coalesce(F.nullif("base_part", F.lit("")), "cleaned")).first()[0]
+def with_base_hint(df: DataFrame, q: str) -> DataFrame:
+    """`df` with `base_hint`: the query's words that are left after its variant phrases, or all of them.
+
+    The expression is over a literal; it is the plan's business to compute it once.
+    """
+    rows = with_extraction(df, F.lit(fold_title(q)))
+    hint = F.coalesce(F.nullif("base_part", F.lit("")), "cleaned")
+    return rows.withColumn("base_hint", hint).drop("cleaned", "variant_part", "base_part")
 
 
 def suggestion_rows(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None) -> DataFrame:
     """Candidates with market identity and score, the better of title and base."""
-    hint = query_base_hint(products, q)
-    rows = with_identity(search_candidates(products, q, candidate_limit), base_hint=F.lit(hint))
+    rows = with_base_hint(search_candidates(products, q, candidate_limit), q)
+    rows = with_identity(rows, base_hint=F.col("base_hint")).drop("base_hint")
     rows = with_match_scores(rows, F.lit(fold_title(q)), {"title_score": F.col("normalized_title"), "base_score": F.col("base")})
     rows = rows.withColumn("match_score", F.greatest("title_score", "base_score")).where(F.col("match_score") >= SEARCH_THRESHOLD)
     return with_competitor(rows, competitors)

@@ -122,6 +122,14 @@ def test_search_ranks_all_scored_candidates(market, q):
     assert search.search_results(rows, shops, q).count() == len(hits)
 
 
+def test_unblocked_search_finds_misspelt_beginnings(market):
+    rows, shops, products, _ = market
+    score = scores_of(rows, "xlue bolt")
+    got = {r.id for r in search.search_results(rows, shops, "xlue bolt", blocked=False).collect()}
+    assert got == {p["id"] for p in products if score[p["id"]] >= 0.34}
+    assert {r.id for r in search.search_results(rows, shops, "xlue bolt").collect()} <= got
+
+
 def test_candidate_limit(market):
     rows, _, products, _ = market
     got = {r.id for r in search.search_candidates(rows, "blue", 10).collect()}
