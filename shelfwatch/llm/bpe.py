@@ -27,8 +27,8 @@ from shelfwatch.llm.common import slices, table, worker_store
 #: Between two words: a text may be cut before this blank, because words end before it and the next one starts with it.
 SAFE_CUT = regex.compile(r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])")
 NO_RANK = np.iinfo(np.int64).max
-KEPT_WORDS = 500_000
-SLICE_CHARS = 3_000_000
+KEPT_WORDS = 200_000
+SLICE_CHARS = 2_000_000
 PIECE_CHARS = 1_000_000
 
 

@@ -31,7 +31,7 @@ from shelfwatch.session import cut_lineage, scratch_path
 
 LENGTH, LEAD = 200, 32
 LEFT = LENGTH - LEAD
-HOT_LEAD = 100_000
+HOT_LEAD = 50_000
 SLICE_BYTES = 2_000_000
 PLACE_BITS = 24
 RECORD = "lead binary, uid long, places array<int>, left_bytes int, right_bytes int, around binary"
@@ -79,19 +79,28 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, place - (ends - [len(t) for t in texts])[owner], h[place]
 
 
-def window_hashes(around: np.ndarray, base: int) -> np.ndarray:
-    """Hash of the LENGTH bytes that start `offset` before the anchor, for offsets 0 to LEFT, as columns."""
-    width = around.shape[1]
-    with np.errstate(over="ignore"):
-        powers = np.cumprod(np.r_[np.uint64(1), np.full(width, base, np.uint64)])
-        inverse = np.cumprod(np.r_[np.uint64(1), np.full(width, pow(base, -1, 1 << 64), np.uint64)])
-        total = np.zeros((len(around), width + 1), np.uint64)
-        np.cumsum((around.astype(np.uint64) + np.uint64(1)) * powers[:width], axis=1, out=total[:, 1:])
-        starts = LEFT - np.arange(LEFT + 1)
-        return mix((total[:, starts + LENGTH] - total[:, starts]) * inverse[starts])
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
-BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+def rolling_hashes(around: np.ndarray):
+    """(offset, two hashes per record) of the LENGTH bytes that start `offset` before the anchor, for offsets 0 to LEFT.
+
+    Each hash follows from the one before, so that memory is a few numbers per record.
+    """
+    columns = np.ascontiguousarray(around.T)
+    one = np.uint64(1)
+    with np.errstate(over="ignore"):
+        hashes = []
+        for base in map(np.uint64, BASES):
+            h = np.zeros(columns.shape[1], np.uint64)
+            for column in columns[LEFT + LENGTH - 1 : LEFT - 1 : -1]:
+                h = h * base + column.astype(np.uint64) + one
+            hashes.append((h, base, np.uint64(pow(int(base), LENGTH - 1, 1 << 64))))
+        for offset in range(LEFT + 1):
+            if offset:
+                new, old = (columns[LEFT - offset + x].astype(np.uint64) + one for x in (0, LENGTH))
+                hashes = [(new + base * (h - old * top), base, top) for h, base, top in hashes]
+            yield offset, mix(hashes[0][0]), mix(hashes[1][0])
 
 
 def block_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,16 +113,15 @@ def block_of(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated_offsets(rows: list[tuple]) -> np.ndarray:
     """For every record and offset: whether its string is that of another record, or of a second place of its own."""
     around, left, right = block_of(rows)
-    first, second = (window_hashes(around, b) for b in BASES)
     several = np.array([len(r[2]) > 1 for r in rows])
-    offsets = np.arange(LEFT + 1)
-    there = (offsets[None] <= left[:, None]) & (LENGTH - offsets[None] <= right[:, None])
-    found = there & several[:, None]
-    for k in offsets:
-        some = np.flatnonzero(there[:, k])
+    found = np.zeros((len(rows), LEFT + 1), bool)
+    for k, first, second in rolling_hashes(around):
+        there = (k <= left) & (LENGTH - k <= right)
+        found[:, k] = there & several
+        some = np.flatnonzero(there)
         if len(some) > 1:
-            order = some[np.argsort(first[some, k], kind="stable")]
-            same = (first[order[1:], k] == first[order[:-1], k]) & (second[order[1:], k] == second[order[:-1], k])
+            order = some[np.argsort(first[some], kind="stable")]
+            same = (first[order[1:]] == first[order[:-1]]) & (second[order[1:]] == second[order[:-1]])
             found[order[1:][same], k] = True
             found[order[:-1][same], k] = True
     return found
@@ -132,7 +140,7 @@ def spans_of(rows: list[tuple], found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
 
 
-def compare_sorted(records: DataFrame, block: int = 8192) -> DataFrame:
+def compare_sorted(records: DataFrame, block: int = 4096) -> DataFrame:
     """Spans of the strings that occur again, from records sorted by lead in partitions that share no lead."""
 
     def run(batches):
@@ -161,15 +169,13 @@ def compare_spread(records: DataFrame, parts: int) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 rows = list(zip(*(c.to_pylist() for c in batch.slice(start, 256).columns)))
                 around, left, right = block_of(rows)
-                first, second = (window_hashes(around, b) for b in BASES)
-                offsets = np.arange(LEFT + 1)
-                row, k = np.nonzero((offsets[None] <= left[:, None]) & (LENGTH - offsets[None] <= right[:, None]))
-                n = np.array([len(r[2]) for r in rows])[row]
-                pick = np.repeat(np.arange(len(row)), n)
-                place = np.array([p for i in row.tolist() for p in rows[i][2]], np.int64)
-                uid = np.array([r[1] for r in rows], np.int64)[row][pick]
-                begin = place - k[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(first[row, k][pick].view(np.int64)), pa.array(second[row, k][pick].view(np.int64)), pa.array(k[pick].astype(np.int32)), pa.array(uid), pa.array(begin)], names=["h", "g", "k", "uid", "first"])
+                uids = np.array([r[1] for r in rows], np.int64)
+                for k, first, second in rolling_hashes(around):
+                    row = np.flatnonzero((k <= left) & (LENGTH - k <= right))
+                    pick = np.repeat(row, [len(rows[i][2]) for i in row.tolist()])
+                    begin = np.array([p - k for i in row.tolist() for p in rows[i][2]], np.int64)
+                    made = [first[pick].view(np.int64), second[pick].view(np.int64), np.full(len(pick), k, np.int32), uids[pick], begin]
+                    yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], names=["h", "g", "k", "uid", "first"])
 
     # a string may hold two anchors; only its occurrences around the same one are counted
     strings = records.mapInArrow(expand, "h long, g long, k int, uid long, first long")
