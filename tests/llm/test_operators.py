@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -239,6 +240,30 @@ def test_notices_are_found():
     assert scanner.scan(" ".join(words))[0][1] == "MIT permission"
 
 
+def test_near_miss_notices_and_every_place():
+    scanner = licenses.Scanner(*(lambda t, d: (t, 0.8, d))(*licenses.all_templates()))
+    names = lambda text: {h[1].split()[0] for h in scanner.scan(text)}
+    expected = {
+        "Licensed under CC BY-SA 4.0.": {"CC-BY-SA-4.0"}, "Licensed under CC BY 4.0.": {"CC-BY-4.0"}, "Licensed under CC BY-NC-SA 4.0": {"CC-BY-NC-SA-4.0"},
+        "Released under the BSD License.": {"BSD"}, "Licensed under the Apache License, Version 1.1": {"Apache-1.1"},
+        "This work is licensed under the GNU General Public License, version 2.": {"GPL-2.0"},
+        "This work is licensed under the GNU Lesser General Public License, version 3.": {"LGPL-3.0"},
+        "This work is licensed under the GNU Affero General Public License, version 3.": {"AGPL-3.0"},
+        "Distributed under the MIT License.": {"MIT"}, "Licensed under the Apache License 2.0": {"Apache-2.0"}, "Licensed under the ISC License": {"ISC"},
+        "// SPDX-License-Identifier: GPL-2.0-only": {"GPL-2.0-only"}, "Licensed under the Mozilla Public License, v. 2.0": {"MPL-2.0"},
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": {"CC-BY-SA-4.0"},
+        "Released under the Unknown License.": set(), "Licensed under CC BY-NC 1.0.": set(),
+    }
+    assert {text: names(text) for text in expected} == expected
+    for name, (text, _) in licenses.LONG.items():
+        assert scanner.scan("before " * 300 + text + " after" * 300)[0][:2] == (1.0, name)
+    for name in licenses.TEXTS:
+        whole = (Path(licenses.__file__).with_name("license_texts") / f"{name}.txt").read_text()
+        assert (1.0, f"{name} text") in [h[:2] for h in scanner.scan("before " * 50 + whole + " after" * 50)]
+    line = "Released under the MIT License. "
+    assert [h[2] for h in scanner.scan(line + "word " * 40 + line + line) if h[1] == "MIT"] == [0, 232, 264]
+
+
 def test_licenses_of_documents(spark, odd_docs, no_docs):
     lines = {"Licensed under the Apache License, Version 2.0": "Apache-2.0", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text").collect()}
