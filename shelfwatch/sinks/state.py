@@ -14,10 +14,10 @@ from shelfwatch.operators.detect import ScanResult, apply_scan, failure_events,
 from shelfwatch.schemas import STATE_SCHEMA
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """Numbers of the complete state versions. Lists folder names only."""
+def versions(spark: SparkSession, folder: str, name: str = "state") -> list[int]:
+    """Numbers of the complete versions of a table. Lists folder names only."""
     jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/state")
+    root = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
@@ -30,21 +30,21 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
 
 
 def current_version(spark: SparkSession, folder: str) -> int | None:
-    versions = _versions(spark, folder)
-    return versions[-1] if versions else None
+    found = versions(spark, folder)
+    return found[-1] if found else None
 
 
 def read_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame:
     """The current state, or the one a batch numbered `before` starts from."""
-    versions = [v for v in _versions(spark, folder) if before is None or v < before]
-    if not versions:
+    found = [v for v in versions(spark, folder) if before is None or v < before]
+    if not found:
         return spark.createDataFrame([], STATE_SCHEMA)
-    return spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/state/batch={versions[-1]}")
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/state/batch={found[-1]}")
 
 
 def visible_batches(spark: SparkSession, folder: str) -> DataFrame:
     """(batch, token) of the committed batches only; a batch that died before its state was complete is none of them."""
-    commits = spark.createDataFrame([(v,) for v in _versions(spark, folder)], "batch int")
+    commits = spark.createDataFrame([(v,) for v in versions(spark, folder)], "batch int")
     if not commits.take(1):
         return spark.createDataFrame([], "batch int, token string")
     return spark.read.schema("token string, batch int").parquet(f"{folder}/commits").join(commits, "batch").select("batch", "token")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from shelfwatch.sinks.state import write_scan
+from shelfwatch.schemas import ITEM_SCHEMA
+from shelfwatch.sinks.state import versions, write_scan
 from shelfwatch.sources.catalogs import dedupe_catalog
 
 CHANGE_SCHEMA = (
@@ -19,21 +21,66 @@ CHANGE_SCHEMA = (
 )
 
 
+#: Columns of a stream whose scans may be larger than a micro-batch: the scan of an item, rising in time per shop, and, in the row that
+#: ends a scan, how many items (distinct item_ix) it has; the row holds no item itself. In rows of items the number is null.
+SCAN_MARKS = "scan_id long, scan_end long"
+OPEN_SCHEMA = f"{ITEM_SCHEMA}, {SCAN_MARKS}"
+
+
+def closed_scans(rows: DataFrame) -> DataFrame:
+    """(competitor_id, scan_id, turn) of the scans whose end and all items are among `rows`; a shop's scans take turns by scan_id."""
+    counted = rows.groupBy("competitor_id", "scan_id").agg(
+        F.max("scan_end").alias("expected"), F.count_distinct(F.when(F.col("scan_end").isNull(), F.col("item_ix"))).alias("arrived")
+    )
+    turn = F.row_number().over(Window.partitionBy("competitor_id").orderBy("scan_id"))
+    return counted.where("arrived >= expected").select("competitor_id", "scan_id", turn.alias("turn"))
+
+
+def keep_open(batch: DataFrame, folder: str, number: int) -> DataFrame:
+    """The rows of this micro-batch and of the scans that the ones before left open, written under the batch's number."""
+    spark = batch.sparkSession
+    names = [f.split()[0] for f in OPEN_SCHEMA.split(", ")]
+    rows = batch.select(*names)
+    before = [v for v in versions(spark, folder, "open") if v < number]
+    if before:
+        last = spark.read.schema(OPEN_SCHEMA).parquet(f"{folder}/open/batch={before[-1]}")
+        rows = rows.unionByName(last.join(closed_scans(last), ["competitor_id", "scan_id"], "left_anti").select(*names))
+    rows.write.mode("overwrite").parquet(f"{folder}/open/batch={number}")
+    return spark.read.schema(OPEN_SCHEMA).parquet(f"{folder}/open/batch={number}")
+
+
 def scan_stream(
     items: DataFrame, folder: str, checkpoint: str, clock, by_external_id: bool = False
 ) -> StreamingQuery:
-    """A stream of landed items applied batch by batch to the stored state, first item per catalog key.
+    """A stream of landed items applied scan by scan to the stored state, first item per catalog key.
 
-    Every competitor with items in a micro-batch counts as scanned by it. A micro-batch is named by the query's id, which is kept
-    in its checkpoint, and its number: delivered again it is recognised and skipped, while a new checkpoint, another
-    stream or a batch job before it take versions of their own. `clock(number)` is the time of a batch, in UTC.
+    With the columns of `SCAN_MARKS` a scan is applied, and its misses counted, by the micro-batch in which its end and the last of its
+    items have arrived, in whatever order they come; until then its rows wait under `folder`. A stream without them declares that
+    every micro-batch holds whole scans of its shops.
+
+    A micro-batch is named by the query's id, which is kept in its checkpoint, and its number: delivered again it is recognised
+    and skipped, while a new checkpoint, another stream or a batch job before it take versions of their own. `clock(number)` is
+    the time of a batch, in UTC.
     """
+    marked = {"scan_id", "scan_end"} <= set(items.columns)
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         query = spark.read.text(f"{checkpoint}/metadata").first()[0]
-        scans = batch.select("competitor_id").distinct().withColumn("allow_empty", F.lit(False))
-        write_scan(spark, folder, None, dedupe_catalog(batch, by_external_id), scans, clock(number), token=f"{query} {number}")
+
+        def write(rows: DataFrame, scanned: DataFrame, token: str) -> None:
+            scans = scanned.select("competitor_id").distinct().withColumn("allow_empty", F.lit(False))
+            write_scan(spark, folder, None, dedupe_catalog(rows, by_external_id), scans, clock(number), token=token)
+
+        if not marked:
+            write(batch, batch, f"{query} {number}")
+            return
+        rows = keep_open(batch, f"{folder}/streams/{json.loads(query)['id']}", number)
+        closed = closed_scans(rows)
+        for turn in range(1, (closed.agg(F.max("turn")).first()[0] or 0) + 1):
+            scanned = closed.where(F.col("turn") == turn)
+            whole = rows.where("scan_end is null").join(scanned, ["competitor_id", "scan_id"], "left_semi").drop("scan_id", "scan_end")
+            write(whole, scanned, f"{query} {number} {turn}")
 
     return items.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -99,6 +99,36 @@ def test_scan_stream(spark, tmp_path):
     assert kinds == {"new_product": 1, "price_increase": 1, "stock_out": 1}
 
 
+def test_a_scan_split_over_micro_batches_misses_nothing(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "store")
+    schema = streams.OPEN_SCHEMA
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = lambda: streams.scan_stream(stream(), folder, str(tmp_path / "cp"), lambda n: NOW).awaitTermination()
+
+    def land(scan, urls, end=None):
+        rows = items(spark, [(1, ix, u, u, "1", "in_stock") for ix, u in urls]).selectExpr("*", f"{scan}L as scan_id", "cast(null as long) as scan_end")
+        if end is not None:
+            marker = spark.createDataFrame([(1, scan, end)], "competitor_id long, scan_id long, scan_end long")
+            rows = rows.unionByName(marker, allowMissingColumns=True)
+        rows.coalesce(1).write.mode("append").parquet(source)
+        run()
+
+    for scan in range(1, 5):
+        land(scan, [(0, "u1")])
+        land(scan, [(1, "u2")], end=3)  # the end comes before the last item
+        land(scan, [(2, "u3")])
+    run()
+    assert Counter(r.event_type for r in state.read_log(spark, folder, "events").collect()) == {"new_product": 3}
+    assert [(r.active, r.consecutive_misses) for r in state.read_state(spark, folder).collect()] == [(True, 0)] * 3
+    assert state.current_version(spark, folder) == 3
+    for scan in range(5, 8):
+        land(scan, [(0, "u1")])
+        land(scan, [(1, "u2")], end=2)
+    assert {r.url: (r.active, r.consecutive_misses) for r in state.read_state(spark, folder).collect()} == {"u1": (True, 0), "u2": (True, 0), "u3": (False, 3)}
+    land(8, [(0, "u1")])  # never ended
+    assert state.current_version(spark, folder) == 6
+
+
 def test_new_checkpoint_loses_nothing(spark, tmp_path):
     source, folder = str(tmp_path / "in"), str(tmp_path / "store")
     items(spark, [(1, 0, "u1", "One", "1", "in_stock")]).write.parquet(source)
