@@ -116,20 +116,39 @@ def grow_trees(dealt: DataFrame, leaf_size: int = 128) -> DataFrame:
     return dealt.select("shard", "vec_id", "point").groupBy("shard").applyInPandas(grow, NODES)
 
 
-def search_shards(trees: DataFrame, asked: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """The hits of `asked` (shard, query_id, point, bound) in the shards they name."""
+def search_shards(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The hits of `asked` (shard, block, query_id, point, bound) in the shards they name.
+
+    A group is one block of queries at one shard: its nodes are repeated for each block that asks it, and a task holds one
+    tree and one block.
+    """
 
     def search(tree: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         hits: list[tuple] = []
         if len(tree) and len(wanted):
             read = lambda b: np.frombuffer(b, np.int64)
             nodes = [(n, a, b, low := read(lo), read(hi), read(ids), read(pts).reshape(-1, len(low))) for n, a, b, lo, hi, ids, pts in tree.sort_values("node")[["node", "left", "right", "low", "high", "ids", "points"]].itertuples(index=False)]
-            for start in range(0, len(wanted), block):
-                part = wanted.iloc[start : start + block]
+            for start in range(0, len(wanted), 256):
+                part = wanted.iloc[start : start + 256]
                 hits += search_tree(nodes, part["query_id"].to_numpy(np.int64), np.stack(part["point"].to_numpy()).astype(np.int64), part["bound"].to_numpy(np.int64), k)
         return pd.DataFrame(hits, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    return trees.groupBy("shard").cogroup(asked.select("shard", "query_id", "point", "bound").groupBy("shard")).applyInPandas(search, HITS)
+    asking = asked.select(F.col("shard").alias("at"), F.col("block").alias("by")).distinct()
+    repeated = trees.join(asking, F.col("shard") == F.col("at")).select(*trees.columns, F.col("by").alias("block")).groupBy("shard", "block")
+    wanted = asked.select("shard", "block", "query_id", "point", "bound").groupBy("shard", "block")
+    return repeated.cogroup(wanted).applyInPandas(search, HITS)
+
+
+def in_blocks(queries: DataFrame, by: list[str], block: int) -> DataFrame:
+    """`queries` with a block, of at most `block` queries of equal `by`.
+
+    They are dealt to cells of nearly that size by hash; what one has above it is a block of its own.
+    """
+    cells = queries.groupBy(*by).agg(F.ceil(1.1 * F.count("*") / F.lit(block)).cast("long").alias("cells"))
+    dealt = queries.join(cells, by).withColumn("cell", F.pmod(F.xxhash64("query_id"), F.col("cells")))
+    order = Window.partitionBy(*by, "cell").orderBy("query_id", "point")
+    number = F.floor((F.row_number().over(order) - 1) / F.lit(block)).cast("long")
+    return dealt.withColumn("block", F.col("cell") + number * F.col("cells")).drop("cells", "cell")
 
 
 def best_hits(hits: DataFrame, k: int) -> DataFrame:
@@ -137,21 +156,21 @@ def best_hits(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, column: str, is_query: Column, k: int = 5, scale: int = 256, per_shard: int = 8192, leaf_size: int = 128) -> DataFrame:
+def top_k(vectors: DataFrame, column: str, is_query: Column, k: int = 5, scale: int = 256, per_shard: int = 8192, leaf_size: int = 128, block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other vectors of every query.
 
-    The queries meet every shard, in blocks; a shard's task holds its tree and one block. The result has at most k rows per
-    query and shard before the last ranking.
+    The queries meet every shard of their length in blocks of at most `block`; a task holds one shard's tree and one block at a time. The
+    result has at most k rows per query and shard before the last ranking.
     """
     dealt = cut_lineage(deal(quantise(vectors, column, scale), per_shard))
     trees = cut_lineage(grow_trees(dealt, leaf_size))
     lowest = F.lit(-(2**63)).cast("long")
     queries = dealt.where(is_query).dropDuplicates(["vec_id", "point"]).select(F.col("vec_id").alias("query_id"), "point", "length", "shards", F.col("shard").alias("home"))
-    home = cut_lineage(search_shards(trees, queries.withColumns({"shard": F.col("home"), "bound": lowest}), k))
+    home = cut_lineage(search_shards(trees, in_blocks(queries, ["home"], block).withColumns({"shard": F.col("home"), "bound": lowest}), k))
     bounds = best_hits(home, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    asked = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", lowest))
-    asked = asked.select("query_id", "point", "bound", "home", (F.col("length").cast("long") * F.lit(1 << 32)).alias("base"), others.alias("part"))
+    asked = in_blocks(queries, ["length"], block).join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", lowest))
+    asked = asked.select("query_id", "point", "bound", "home", "block", (F.col("length").cast("long") * F.lit(1 << 32)).alias("base"), others.alias("part"))
     asked = asked.withColumn("shard", F.col("base") + F.col("part")).where("shard <> home")
     return best_hits(home.unionByName(search_shards(trees, asked, k)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -171,6 +171,23 @@ def test_search_of_odd_vectors(spark):
     assert topk.top_k(frame.where("false"), "embedding", F.col("vec_id") % 7 == 0).count() == 0
 
 
+def test_a_task_searches_one_tree_with_one_block(spark, monkeypatch, tmp_path):
+    seen, plain = str(tmp_path), topk.search_tree
+
+    def watched(nodes, own, queries, bounds, k):
+        (Path(seen) / f"{random.SystemRandom().random()}").write_text(str(len(own)))
+        return plain(nodes, own, queries, bounds, k)
+
+    monkeypatch.setattr(topk, "search_tree", watched)
+    rows = [(i, [random.Random(i).uniform(-1, 1) for _ in range(4)]) for i in range(400)]
+    rows += [(1, [0.5] * 4)] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    few = sorted(topk.top_k(frame, "embedding", F.lit(True), k=3, per_shard=100, block=16).collect())
+    sizes = [int(p.read_text()) for p in Path(seen).iterdir()]
+    assert sizes and max(sizes) <= 16 and len(sizes) >= 4 * 400 / 16
+    assert few == sorted(topk.top_k(frame, "embedding", F.lit(True), k=3, per_shard=1000, block=100_000).collect())
+
+
 def test_large_components_are_exact():
     a, b = np.array([[2**40, 3]]), np.array([[2**20, 5], [-(2**20), 1]])
     assert topk.exact_dot(a, b).tolist() == [[2**60 + 15, -(2**60) + 3]]
