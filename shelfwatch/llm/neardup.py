@@ -3,14 +3,16 @@
 A document's signature has the minima of its shingle hashes under `POSITIONS` permutations, 16 bits of each of the first `INDEXED` and 8
 of the others. The indexed ones are split into `CHUNKS` chunks, and each chunk is put under one key per position that may be in
 error, without that position. By the pigeonhole principle two signatures that differ in fewer than 2 * CHUNKS indexed positions
-agree but for one position in some chunk, so they share a key: no such pair is lost. A pair is told in the first bucket it
+agree but for one position in some chunk, so they share a key: no such pair is lost, others with a small chance (README). A pair is told in the first bucket it
 shares, if its whole signatures are no further apart than those of linked sets and the bound of its maps allows it, and
 confirmed on the full sets. A map has a bit for every remainder of a hash that the set has; a bit of one set only stands for
 a shingle of it only, so the maps bound the intersection from above.
 
 Documents with equal sets are one node. A bucket may hold a large group of copies, so pairs are told in two rounds. The first
 confirms a minimum spanning tree of signature distances for some of the keys, which finds nearly all components with few pairs. The
-second tells every pair of a bucket that is in two components still. No bucket, pair or candidate is dropped.
+second tells every pair of a bucket that is in two components still. No bucket, pair or candidate is dropped: a bucket of more rows than
+a block is dealt to cells, each grows a tree of its own, and in the second round each two cells that are not of one component
+are a group of their own.
 
 Defined cases: null, blank and empty texts have empty sets, which are linked with nothing; so is a row with a null doc_id, whose
 component is null and which is kept; rows with equal doc_id are rows of their own, linked through their texts, but sets with the same
@@ -23,7 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import slices, table
@@ -37,6 +39,8 @@ MAP_BYTES = 256
 SIGNATURE_BYTES = MINIMA_BYTES + MAP_BYTES
 #: Buckets are compared in blocks of so many signatures, and spanning trees are grown inside a block.
 BLOCK = 1024
+#: A bucket of more rows is told in pairs of cells.
+CELL = 4 * BLOCK
 SLICE_BYTES = 1_500_000
 BLANK_BYTE = np.zeros(256, bool)
 BLANK_BYTE[[0x20, *range(0x09, 0x0E)]] = True
@@ -195,6 +199,47 @@ def runs(batches, trees: bool):
         yield pa.Table.from_batches(held)
 
 
+def hot_keys(rows: DataFrame, limit: int) -> DataFrame:
+    """(key, n) of the keys that more than `limit` rows of (key, id, place) have."""
+    return cut_lineage(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+
+
+def dealt_rows(rows: DataFrame, block: int) -> DataFrame:
+    """(key, id, place, side) of `rows`, larger buckets as several of about `block` rows, each under a key of its own."""
+    hot = hot_keys(rows, block)
+    cell = F.pmod(F.xxhash64("key", "id"), F.ceil(F.col("n") / F.lit(block)))
+    dealt = rows.join(hot, "key", "left").withColumn("key", F.when(F.col("n").isNotNull(), F.xxhash64("key", cell)).otherwise(F.col("key")))
+    return dealt.select("key", "id", "place", F.lit(False).alias("side"))
+
+
+def paired_rows(rows: DataFrame, labels: DataFrame, cell: int) -> DataFrame:
+    """(key, id, place, side) of `rows`, a larger bucket as one for each two of its cells, of about `cell` rows each, with `side` for the second.
+
+    A component that fills cells has them for itself; two such cells of one component are not paired. The others share mixed cells, which
+    are paired with all and themselves. A bucket of one component is left out.
+    """
+    hot = hot_keys(rows, cell)
+    cold = rows.join(hot.select("key"), "key", "left_anti").select("key", "id", "place", F.lit(False).alias("side"))
+    if hot.isEmpty():
+        return cold
+    labelled = cut_lineage(rows.join(hot.select("key"), "key").join(labels, "id", "left").select("key", "id", "place", F.coalesce("component", "id").alias("component")))
+    parts = cut_lineage(labelled.groupBy("key", "component").agg(F.count("*").alias("m")))
+    large = F.col("m") >= cell
+    mixed = F.ceil(F.sum(F.when(large, 0).otherwise(F.col("m"))) / F.lit(cell)).cast("long").alias("mixed")
+    owned = F.ceil(F.col("m") / F.lit(cell)).cast("long")
+    layout = parts.groupBy("key").agg(mixed, F.sum(F.when(large, owned).otherwise(0)).alias("more"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    before = Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    owners = parts.where(large).select("key", "component", owned.alias("cells"), F.coalesce(F.sum(owned).over(before), F.lit(0)).alias("ahead"))
+    placed = labelled.join(layout, "key").join(owners, ["key", "component"], "left")
+    first = F.col("mixed") + F.col("ahead")
+    placed = placed.withColumn("cell", F.when(F.col("cells").isNotNull(), first + F.pmod(F.xxhash64("id"), F.col("cells"))).otherwise(F.pmod(F.xxhash64("id"), F.col("mixed"))))
+    every = F.sequence(F.lit(0).cast("long"), F.col("mixed") + F.col("more") - 1)
+    others = F.filter(every, lambda y: F.col("cells").isNull() | (y < first) | (y >= first + F.col("cells")))
+    placed = placed.select("key", "id", "place", "cell", F.explode(others).alias("other"))
+    pair = F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other"))
+    return cold.unionByName(placed.select(pair.alias("key"), "id", "place", (F.col("cell") > F.col("other")).alias("side")))
+
+
 def shared_keys(indexed: DataFrame) -> DataFrame:
     """The rows of (key, id, place) whose key more than one row has; `indexed` is sorted by key inside partitions."""
 
@@ -258,9 +303,9 @@ def spanning_tree(rows: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def bucket_pairs(rows: DataFrame, most: int, percent: int, trees: bool) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of (key, id, component, place, size, signature) rows, sorted by key inside partitions.
+    """Distinct pairs (a, b), a < b, of (key, id, component, place, size, signature, side) rows, sorted by key inside partitions.
 
-    With `trees` the edges of the buckets' spanning trees; else all pairs of two components that may be linked.
+    With `trees` the edges of the buckets' spanning trees; else all pairs of two components, and two sides where a bucket has them, that may be linked.
     """
 
     def run(batches):
@@ -281,11 +326,16 @@ def bucket_pairs(rows: DataFrame, most: int, percent: int, trees: bool) -> DataF
                         held += len(made)
             else:
                 place = bucket.column("place")[0].as_py()
-                order = np.argsort(part, kind="stable")
+                side = bucket.column("side").to_numpy()
+                order = np.lexsort((part, side))
                 ids, part, size, code = ids[order], part[order], size[order], code[order]
-                for i in range(len(ids) - 1):
-                    rest = np.searchsorted(part, part[i], side="right")
-                    hit = rest + np.flatnonzero(distances(code[i], code[rest:]) <= most)
+                across = np.count_nonzero(~side) if side.any() else 0  # where the second side begins
+                for i in range(across or (0 if side.any() else len(ids) - 1)):
+                    if across:
+                        rest = across + np.flatnonzero(part[across:] != part[i])
+                    else:
+                        rest = np.arange(np.searchsorted(part, part[i], side="right"), len(ids))
+                    hit = rest[distances(code[i], code[rest]) <= most]
                     if len(hit):
                         both = most_shared(code[i], code[hit], size[i], size[hit])
                         hit = hit[100 * both >= percent * (size[i] + size[hit] - both)]
@@ -372,12 +422,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def bucketed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         full = rows.join(signed, "id")
         full = full.withColumn("component", F.col("id")) if labels is None else full.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        return full.select("key", "id", "component", "place", "size", "signature").repartition(parts, "key").sortWithinPartitions("key")
+        return full.select("key", "id", "component", "place", "size", "signature", "side").repartition(parts, "key").sortWithinPartitions("key")
 
     exact = shared.where(F.col("place") % PER_CHUNK == 0)  # one key of each chunk
-    first = cut_lineage(confirm(bucket_pairs(bucketed(exact, None), most, percent, True), sets, percent))
+    first = cut_lineage(confirm(bucket_pairs(bucketed(dealt_rows(exact, BLOCK), None), most, percent, True), sets, percent))
     labels = components(first)
-    second = cut_lineage(confirm(bucket_pairs(bucketed(shared, labels), most, percent, False), sets, percent))
+    second = cut_lineage(confirm(bucket_pairs(bucketed(paired_rows(shared, labels, CELL), labels), most, percent, False), sets, percent))
     linked = components(first.unionByName(second))
     named = nodes.join(linked, "id", "left").select("key_a", "key_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     named = named.groupBy("key_a", "key_b", "n_shingles").agg(F.min("component_id").alias("component_id"))

@@ -147,3 +147,39 @@ def test_long_texts_are_read_in_stretches(monkeypatch):
     monkeypatch.setattr(substrings, "SLICE_BYTES", 500)
     stretches = substrings.anchors([text])
     assert set(zip(stretches[1].tolist(), stretches[2].tolist())) >= set(zip(whole[1].tolist(), whole[2].tolist()))
+
+
+def test_large_buckets_are_dealt_and_lose_no_pair(spark):
+    draw = random.Random(5)
+    parts = {i: draw.choice([1, 1, 1, 2, 2, *range(3, 40)]) for i in range(300)}
+    rows = spark.createDataFrame([(7, i, 3) for i in parts] + [(8, i, 3) for i in range(5)], "key long, id long, place int")
+    labels = spark.createDataFrame(list(parts.items()), "id long, component long")
+    groups = {}
+    for r in neardup.paired_rows(rows, labels, 20).collect():
+        groups.setdefault(r.key, []).append((r.id, r.side))
+    assert max(map(len, groups.values())) <= 80
+    told = set()
+    for members in groups.values():
+        split = any(side for _, side in members)
+        told |= {tuple(sorted((a, b))) for a, s in members for b, z in members if a < b and (s != z or not split)}
+    assert {(a, b) for a in parts for b in parts if a < b and parts[a] != parts[b]} <= told
+    sizes = neardup.dealt_rows(rows, 20).groupBy("key").count().collect()
+    assert sum(r["count"] for r in sizes) == 305 and max(r["count"] for r in sizes) <= 60
+    alone = labels.withColumn("component", labels.component * 0)
+    assert neardup.paired_rows(rows, alone, 20).count() == 5
+
+
+def test_links_do_not_depend_on_the_cells(spark, monkeypatch):
+    draw = random.Random(6)
+    base = [f"word{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(draw.randrange(0, 9)):
+            words[draw.randrange(len(words))] = f"own{draw.random()}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(neardup.near_duplicates(docs, 3, 85).collect())
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "CELL", 16)
+    assert sorted(neardup.near_duplicates(docs, 3, 85).collect()) == plain and 1 < len({r.component_id for r in plain}) < 150
