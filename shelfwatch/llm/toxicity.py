@@ -41,21 +41,28 @@ UNSEEN = "­​‌‍⁠﻿"
 PREFIX_LENGTHS = range(5, 11)
 
 
-def fold_table() -> dict[int, str]:
-    """What each code point below U+2200, and of the fullwidth forms, is folded to."""
-    folded: dict[int, str] = {}
-    for point in (*range(0x2200), *range(0x3000, 0x3040), *range(0xFF01, 0xFF5F), 0xFEFF):
+class FoldTable(dict):
+    """What each code point is folded to; one outside the ranges made at the start is folded when a text first has it."""
+
+    def __missing__(self, point: int) -> str:
         c = chr(point)
-        base = unicodedata.normalize("NFKC", c.lower())
+        base = unicodedata.normalize("NFKC", c.lower()).lower()
         base = "".join(SUBSTITUTES.get(x, LOOKALIKES.get(x, x)) for x in base)
         base = "".join(x if x.isalnum() or x in "!|" else " " for x in base)
         base = base.replace("l", "i").replace("ß", "ss")
-        folded[point] = "" if c in UNSEEN or (unicodedata.combining(c) and not c.isalnum()) else base
+        self[point] = "" if c in UNSEEN or (unicodedata.combining(c) and not c.isalnum()) else base
+        return self[point]
+
+
+def fold_table() -> FoldTable:
+    folded = FoldTable()
+    for point in (*range(0x2200), *range(0x3000, 0x3040), *range(0xFF01, 0xFF5F), 0xFEFF):
+        folded[point]
     return folded
 
 
 def fold(text: str, table_: dict[int, str]) -> str:
-    """Folded text with a blank at either end; only letters, digits and blanks are left of the table's range."""
+    """Folded text with a blank at either end; only letters, digits and blanks are left."""
     made = text.translate(table_)
     if "!" in made or "|" in made:
         made = INNER_SIGNS.sub("i", made).replace("!", " ").replace("|", " ")

@@ -24,6 +24,13 @@ def test_folding():
     assert toxicity.fold("d1sgu$t1ng!", table) == " disgusting " and toxicity.fold("", table) == "  "
 
 
+def test_folding_beyond_the_first_planes():
+    table = toxicity.fold_table()
+    assert toxicity.fold("𝐋𝖔𝓼𝑒𝚛 🅻oser", table).split()[0] == "ioser"
+    assert toxicity.fold("😀scum😀 ∀scum→", table) == " scum scum "
+    assert toxicity.fold("日本", table) == " 日本 "
+
+
 def test_matches_and_exceptions():
     lexicon = toxicity.Lexicon({" trash ": 2.0, " scu": 1.0}, (" trash bin ",), 4.0, -3.0)
     matcher = toxicity.Matcher(lexicon)
