@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpus_pipeline import run
 from shelfwatch.llm.bpe import op8_bpe
 from shelfwatch.llm.fingerprints import op9_fingerprints
+from shelfwatch.llm.jaccard import op11_jaccard
 from shelfwatch.llm.licenses import op10_licenses
 from shelfwatch.llm.mixing import OP4_SQL, op4_mixing
 from shelfwatch.llm.neardup import op2_neardup
@@ -27,6 +28,7 @@ LLM_JOBS = {
     "op8_bpe": op8_bpe,
     "op9_fingerprints": op9_fingerprints,
     "op10_licenses": op10_licenses,
+    "op11_jaccard": op11_jaccard,
     "op12_whitening": op12_whitening,
     "op13_repair": op13_repair,
     "pipeline": run,
