@@ -222,6 +222,7 @@ def test_rendering(spark):
     price = lambda p: (None, None, Decimal(p), None, "g")
     rows = events(spark, [(0, 1, 7, "price_decrease", False, price("20.00"), price("15.00")), (1, 1, 7, "price_changed", False, None, price("15.00")),
                           (2, 1, 7, "new_product", False, None, (None, None, None, None, None)), (3, 1, 7, "price_increase", False, price("0.00"), price("1.00"))])
+    rows = rows.withColumn("detected_at", F.lit(NOW).cast("timestamp"))
     out = {r.event_id: r for r in notify.render_messages(notify.routed_events(rows, shops(spark, h1="x"), products(spark)), NOW).collect()}
     field = lambda i, name: next(f.value for f in out[i].fields if f.name == name)
     assert field(0, "Difference") == "€-5.00 (-25.0%)" and field(3, "Difference") == "€1.00 (+0.0%)"
@@ -234,14 +235,15 @@ def test_rendering(spark):
 def test_backlog_threshold(spark):
     rows = [(i, 1, 7, "new_product", False, None, None) for i in range(25)] + [(100 + i, 2, 7, "new_product", False, None, None) for i in range(26)]
     rows += [(200, 3, 7, "new_product", False, None, None), (300, 2, 7, "stock_in", False, None, None), (400, 3, 7, "new_product", True, None, None)]
-    pending = notify.pending_events(events(spark, rows))
+    pending = notify.pending_events(events(spark, rows).withColumn("detected_at", F.lit(NOW).cast("timestamp")))
     first = spark.createDataFrame([(3,)], "competitor_id long")
-    assert {r.competitor_id for r in notify.suppressed_events(pending, first).collect()} == {2, 3}
-    assert notify.suppressed_events(pending, first).count() == 27
-    out = notify.notification_outbox(pending, first, shops(spark), products(spark), NOW, "https://d")
+    assert {r.competitor_id for r in notify.suppressed_events(pending, first, backlog_limit=25).collect()} == {2, 3}
+    assert notify.suppressed_events(pending, first, backlog_limit=25).count() == 27
+    assert notify.suppressed_events(pending, first).count() == 1
+    out = notify.notification_outbox(pending, first, shops(spark), products(spark), NOW, "https://d", backlog_limit=25)
     assert sorted(r.send_after for r in out.collect()) == list(range(26))
     assert notify.notification_outbox(pending, first, shops(spark), products(spark), NOW, "https://d", enabled=False).count() == 0
-    done = notify.new_deliveries(pending, first, out, NOW)
+    done = notify.new_deliveries(pending, first, out, NOW, backlog_limit=25)
     store = f"{spark.conf.get('spark.sql.warehouse.dir')}/outbox-test"
     state.write_outbox(out, done, store, 0)
     assert spark.read.parquet(f"{store}/outbox").count() == 26
