@@ -25,19 +25,30 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates (five-word shingles, likeness 0.8) the document with the smallest doc_id stays.
 
-    Of rows that are repeated with their doc_id one stays.
+    Rows with one doc_id and different texts are documents of their own, in the order of a hash of their texts; of equal rows (doc_id and
+    text) one stays. Rows with a null doc_id and null or blank texts stay, once for each doc_id.
     """
-    dropped = near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    packed = left.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("h"))
-    numbered = packed.where("doc_id is not null").withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h")))
-    return numbered.where("n = 1").select("row.*").unionByName(left.where("doc_id is null"))
+    known = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        dropped = near_duplicates(docs, size=5, percent=80).where(~F.col("kept")).select("doc_id")
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    # every (doc_id, text) gets a number of its own, in the order of doc_id
+    ordered = known.distinct().sort("doc_id", "h").withColumn("n", F.monotonically_increasing_id())
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("h"))
+    numbers = cut_lineage(ordered).withColumnRenamed("doc_id", "id")
+    numbered = packed.where("id is not null").join(numbers, ["id", "h"]).withColumn("copy", F.row_number().over(Window.partitionBy("n").orderBy("h")))
+    single = cut_lineage(numbered.where("copy = 1").select("row", "n", "text"))
+    dropped = near_duplicates(single.select(F.col("n").alias("doc_id"), "text"), size=5, percent=80).where(~F.col("kept"))
+    left = single.join(dropped.select(F.col("doc_id").alias("n")), "n", "left_anti").select("row.*")
+    return left.unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 200 bytes and more that occur more than once are cut out; n_chars follows the text."""
+    """Passages of 200 bytes and more that occur more than once are cut out; n_chars follows the text.
+
+    A document of which a cut leaves only blanks goes; null, empty and blank texts that nothing is cut from stay. Equal rows repeat each other: where
+    their texts have 200 bytes, both go.
+    """
     others = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*others).alias("others"), "text", F.col("text").isNull().alias("missing"))
     cut = without_repeats(packed, ["others", "missing"])
@@ -49,13 +60,21 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in training order."""
+    """Documents as often as the mix takes them, in training order.
+
+    Null, empty and blank texts have no words, so the mix takes none of them; a null source is a source of its own. Rows with equal or null doc_id are
+    rows of their own, and ties of position are in the order of the md5 of doc_id.
+    """
     packed = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
     return training_order(plan_mix(packed), ["row"]).select("row.*")
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the digest of the text they decode to."""
+    """Token ids of every document, and the digest of the text they decode to.
+
+    One row for every row: doc_id, source and lang as they are, null or repeated; a null text is encoded as an empty one, without ids. Other columns are
+    left out.
+    """
     return encode_checked(docs.select("doc_id", "source", "lang", "text"), tokenizer_file("byte_bpe_50k.json"), ["doc_id", "source", "lang"])
 
 
