@@ -50,3 +50,30 @@ def test_odd_rows_pass_all_stages(spark, odd_docs, no_docs):
         assert docs.count() >= least
         for name, stage in corpus_pipeline.STAGES[3:]:
             docs = cut_lineage(stage(spark, docs, SMALL))
+
+
+def near_dedup(spark, rows):
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, n string")
+    out = dict(corpus_pipeline.STAGES)["minhash near-dedup"](spark, docs, SMALL)
+    assert out.columns == docs.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    assert near_dedup(spark, [(1, a), (5, a), (5, b)]) == [(1, a), (5, b)]
+    assert near_dedup(spark, [(1, a), (5, a + " more"), (7, b)]) == [(1, a), (7, b)]
+    assert near_dedup(spark, [(5, b), (1, b), (1, a), (1, a), (3, a + " end")] + [(9, "alone")] * 4) == [(1, a), (1, b), (9, "alone")]
+    odd = [(2, None), (2, ""), (2, None), (None, a), (None, a), (4, a)]
+    assert near_dedup(spark, odd) == sorted([(2, None), (2, ""), (None, a), (None, a), (4, a)], key=str)
+
+
+def test_last_stages_keep_odd_rows_as_said(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(1, None, "s"), (2, "  ", "s"), (3, "some words", None), (3, "some words", None), (None, "more words", "s"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, "en", "clash") for r in rows], "doc_id long, text string, source string, lang string, position string")
+    mixed = stages["mixing to target weights"](spark, docs, SMALL).collect()
+    assert {(r.doc_id, r.text) for r in mixed} == {(3, "some words"), (None, "more words")} and len(mixed) >= 3
+    encoded = stages["bpe encoding and decoding"](spark, docs, SMALL).collect()
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in encoded) == [("1", False), ("2", True), ("3", True), ("3", True), ("None", False), ("None", True)]
+    assert all(len(r.ids) == r.n_tokens for r in encoded)
