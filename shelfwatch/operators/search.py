@@ -30,11 +30,11 @@ def _variants(norm: str) -> list[str]:
     return sorted(v for v in found if len(v) >= 2)
 
 
-def search_candidates(products: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = True) -> DataFrame:
-    """Active products whose title contains any variant of a query word; all of them if no variant is long enough.
+def search_candidates(products: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = False) -> DataFrame:
+    """The active products, or with `blocked` those whose title contains any variant of a query word (all of them if no variant is long enough).
 
-    The variants are a blocking rule: a word misspelt in its first letters is not found by them. Without `blocked` every active
-    product is a candidate. The newest `candidate_limit` may be asked for; by default nothing is cut off.
+    The variants save scoring, but a word misspelt in its first letters is not found by them. The newest `candidate_limit` may be asked
+    for; by default nothing is cut off.
     """
     rows = products.where("active")
     variants = _variants(fold_title(q))
@@ -78,7 +78,7 @@ def exact_match_scores(df: DataFrame, query: Column, candidate: Column) -> DataF
     return df.withColumn("score", score).where("score is not null")
 
 
-def search_results(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = True) -> DataFrame:
+def search_results(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = False) -> DataFrame:
     """All products scoring at least the threshold, which is applied before rounding."""
     rows = with_match_score(search_candidates(products, q, candidate_limit, blocked), F.lit(fold_title(q)), F.col("normalized_title"))
     hits = rows.where(F.col("score") >= SEARCH_THRESHOLD).withColumn("match_score", F.round("score", 3)).drop("score")
@@ -87,7 +87,7 @@ def search_results(products: DataFrame, competitors: DataFrame, q: str, candidat
 
 def search_products(
     products: DataFrame, competitors: DataFrame, q: str, page: int = 1, page_size: int = 50, candidate_limit: int | None = None,
-    blocked: bool = True,
+    blocked: bool = False,
 ) -> DataFrame:
     """A page of results: best score first, then cheapest, prices missing last."""
     order = [F.desc("match_score"), F.col("current_price").asc_nulls_last(), F.asc("id")]
@@ -104,9 +104,9 @@ def with_base_hint(df: DataFrame, q: str) -> DataFrame:
     return rows.withColumn("base_hint", hint).drop("cleaned", "variant_part", "base_part")
 
 
-def suggestion_rows(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None) -> DataFrame:
+def suggestion_rows(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = False) -> DataFrame:
     """Candidates with market identity and score, the better of title and base."""
-    rows = with_base_hint(search_candidates(products, q, candidate_limit), q)
+    rows = with_base_hint(search_candidates(products, q, candidate_limit, blocked), q)
     rows = with_identity(rows, base_hint=F.col("base_hint")).drop("base_hint")
     rows = with_match_scores(rows, F.lit(fold_title(q)), {"title_score": F.col("normalized_title"), "base_score": F.col("base")})
     rows = rows.withColumn("match_score", F.greatest("title_score", "base_score")).where(F.col("match_score") >= SEARCH_THRESHOLD)
@@ -122,7 +122,7 @@ def identity_groups(rows: DataFrame) -> DataFrame:
     cheapest = F.struct(F.col("current_price").isNull(), F.col("current_price"), newest)
     groups = rows.groupBy("identity_key").agg(
         F.min_by(F.struct("display_title", "base", "mutation", "mutation_label", "category"), newest).alias("head"),
-        F.min_by(F.struct(F.col("id").alias("representative_product_id"), F.col("current_price").alias("best_price"), "currency"),
+        F.min_by(F.struct(F.col("id").alias("representative_product_id"), F.col("current_price").alias("best_price"), "currency", "image_url"),
                  cheapest).alias("offer"),
         F.max("match_score").alias("match_score"),
         F.count_distinct("competitor_name").alias("competitors_count"),
@@ -146,14 +146,16 @@ def group_competitors(rows: DataFrame) -> DataFrame:
     return rows.select("identity_key", "competitor_name").distinct()
 
 
-def search_suggestions(products: DataFrame, competitors: DataFrame, q: str, limit: int = 20, candidate_limit: int | None = None) -> DataFrame:
+def search_suggestions(
+    products: DataFrame, competitors: DataFrame, q: str, limit: int = 20, candidate_limit: int | None = None, blocked: bool = False
+) -> DataFrame:
     """The best groups with their first five title variants.
 
     The scored hits are checkpointed, because groups and variants both need them and scoring is the expensive part.
     """
-    rows = cut_lineage(suggestion_rows(products, competitors, q, candidate_limit).select(
+    rows = cut_lineage(suggestion_rows(products, competitors, q, candidate_limit, blocked).select(
         "identity_key", "display_title", "base", "mutation", "mutation_label", "category", "id", "title", "current_price", "currency",
-        "last_checked_at", "match_score", "competitor_name",
+        "image_url", "last_checked_at", "match_score", "competitor_name",
     ))
     groups = identity_groups(rows).withColumn("match_score", F.round("match_score", 3))
     order = [F.desc("match_score"), F.desc("competitors_count"), F.col("best_price").asc_nulls_last(), F.asc("identity_key")]

@@ -132,7 +132,7 @@ def oracle(body: str, *names: str, **extra: str) -> str:
     if not parts:
         return body
     ctes = ",\n".join(f"{n} AS ({_fill(sql, str)})" for n, sql in parts.items())
-    return f"WITH {ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
 
 
 def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ PLAIN = "blue bolt"
 
 
 def titles(s):
-    return s.market_titles.withColumn("active", F.lit(True)).withColumn("title", F.col("normalized_title"))
+    shown = {"active": F.lit(True), "title": F.col("normalized_title"), "image_url": F.concat(F.lit("https://cdn.example.com/"), F.col("id").cast("string"))}
+    return s.market_titles.withColumns(shown)
 
 
 def _in(tokens):
@@ -30,12 +31,48 @@ def query_tokens(s):
     return s.table("part").select(F.col("p_partkey").alias("id"), F.explode(search.token_variants(text)).alias("variant"))
 
 
+# The sequence ratio of (a, b): the longest common block, the first in a and then in b where several are as long, and the same again on
+# both sides of it.
+def _block(x, y):
+    return f"""list_filter(flatten(list_transform(range(least(len({x}), len({y})), 0, -1), lambda k: list_transform(range(1, len({x}) - k + 2), lambda i: {{'k': k, 'i': i}}))),
+               lambda c: contains({y}, substring({x}, c.i, c.k)))[1]"""
+
+
+RATIOS = {
+    "blocks": f"""
+    SELECT a, b, a AS x, b AS y, {_block('a', 'b')} AS m FROM pairs
+    UNION ALL
+    SELECT a, b, n.x, n.y, {_block('n.x', 'n.y')} FROM (
+      SELECT a, b, unnest([{{'x': substring(x, 1, m.i - 1), 'y': substring(y, 1, j - 1)}}, {{'x': substring(x, m.i + m.k), 'y': substring(y, j + m.k)}}]) AS n
+      FROM (SELECT *, strpos(y, substring(x, m.i, m.k)) AS j FROM blocks WHERE m IS NOT NULL) f) g
+    WHERE len(n.x) > 0 AND len(n.y) > 0""",
+    "ratios": "SELECT a, b, 2.0::DOUBLE * coalesce(sum(m.k), 0) / (len(a) + len(b)) AS ratio FROM blocks GROUP BY a, b",
+}
+
+
+def match_ctes(texts):
+    """The match score of the query and every text t of a SELECT, as `scored`."""
+    return {
+        "texts": texts,
+        "pairs": f"""
+    SELECT '{NORM}' AS a, t AS b FROM texts
+    UNION SELECT q, w FROM (SELECT DISTINCT unnest(string_split(t, ' ')) AS w FROM texts) x, (SELECT unnest(string_split('{NORM}', ' ')) AS q) y""", **RATIOS,
+        "best_words": "SELECT t, max(ratio) AS best FROM (SELECT DISTINCT t, unnest(string_split(t, ' ')) AS w FROM texts) x JOIN ratios ON b = w AND a <> '"
+                      + NORM + "' GROUP BY t",
+        "scored": f"""
+    SELECT x.t, CASE WHEN contains(x.t, '{NORM}') THEN 1.0::DOUBLE
+                     ELSE greatest(len(list_intersect(string_split('{NORM}', ' '), string_split(x.t, ' '))) / 3.0::DOUBLE * 0.9::DOUBLE, r.ratio * 0.8::DOUBLE,
+                                   best * 0.7::DOUBLE) END AS score
+    FROM texts x JOIN ratios r ON r.a = '{NORM}' AND r.b = x.t JOIN best_words w ON w.t = x.t""",
+    }
+
+
 CANDIDATE = " OR ".join(f"contains(normalized_title, '{v}')" for v in ("divine", "divi", "blue", "bolt"))
 
 
 @job("search_candidates", oracle(f"SELECT id, normalized_title FROM market_titles WHERE {CANDIDATE}", "market_titles"))
 def search_candidates(s):
-    return search.search_candidates(titles(s), QUERY).select("id", "normalized_title")
+    return search.search_candidates(titles(s), QUERY, blocked=True).select("id", "normalized_title")
 
 
 @job("match_scores_exact", oracle(f"""
@@ -46,24 +83,21 @@ def match_scores_exact(s):
     return search.exact_match_scores(titles(s), F.lit(NORM), F.col("normalized_title")).select("id", "score")
 
 
-@job("match_scores")
+TITLES = match_ctes("SELECT DISTINCT normalized_title AS t FROM market_titles")
+
+
+@job("match_scores", oracle("""
+    SELECT id, normalized_title, round(score, 9) AS score FROM market_titles JOIN scored ON t = normalized_title""", "market_titles", **TITLES))
 def match_scores(s):
     return search.with_match_score(titles(s), F.lit(NORM), F.col("normalized_title")).select("id", "normalized_title", F.round("score", 9).alias("score"))
 
 
-@job("search_products")
+@job("search_products", oracle("""
+    SELECT m.id, m.normalized_title, c.name AS competitor_name, m.current_price, round(score, 3) AS match_score
+    FROM market_titles m JOIN scored ON t = normalized_title JOIN competitors c ON c.id = m.competitor_id WHERE score >= 0.34
+    ORDER BY match_score DESC, m.current_price, m.id LIMIT 50""", "market_titles", "competitors", **TITLES))
 def search_products(s):
-    return search.search_products(titles(s), s.competitors, QUERY)
-
-
-@job("search_suggestions")
-def search_suggestions(s):
-    return search.search_suggestions(titles(s), s.competitors, QUERY).withColumn("variants", F.array_join("variants", "|"))
-
-
-@job("suggestion_competitors")
-def suggestion_competitors(s):
-    return search.group_competitors(search.suggestion_rows(titles(s), s.competitors, QUERY))
+    return search.search_products(titles(s), s.competitors, QUERY).select("id", "normalized_title", "competitor_name", "current_price", "match_score")
 
 
 # --- identity ----------------------------------------------------------------------------------------------
@@ -92,6 +126,36 @@ IDENTITY = f"""
                     lambda t: NOT regexp_matches(t, '[0-9]') AND t NOT IN {_in(STAT_TOKENS)}), ' ') AS cleaned FROM market_titles) a) b) c"""
 
 
+# The query has its variant phrase taken out: what is left of it is the base that a title must have to be split by the query.
+HINTED = """
+    SELECT *, concat(base, '::', mutation) AS identity_key FROM (
+      SELECT id, competitor_id, normalized_title, category, current_price, last_checked_at,
+             coalesce(CASE WHEN s THEN nullif(base_part, '') END, nullif(cleaned, ''), normalized_title) AS base,
+             CASE WHEN s AND len(found) > 0 THEN array_to_string(found, ' ') ELSE 'normal' END AS mutation
+      FROM (SELECT *, split OR (len(found) > 0 AND base_part = 'blue bolt') AS s FROM named) x) y"""
+SUGGESTED = match_ctes("SELECT normalized_title AS t FROM hinted UNION SELECT base FROM hinted") | {"hits": """
+    SELECT h.*, c.name AS competitor_name, greatest(a.score, b.score) AS score FROM hinted h JOIN scored a ON a.t = normalized_title JOIN scored b ON b.t = base
+    JOIN competitors c ON c.id = h.competitor_id WHERE greatest(a.score, b.score) >= 0.34"""}
+
+
+@job("search_suggestions", oracle("""
+    SELECT identity_key, round(max(score), 3) AS match_score, count(DISTINCT competitor_name) AS competitors_count, count(*) AS n_products,
+           min(current_price) AS best_price, arg_min(id, ROW(current_price, -epoch_us(last_checked_at), id)) AS representative_product_id,
+           concat('https://cdn.example.com/', CAST(arg_min(id, ROW(current_price, -epoch_us(last_checked_at), id)) AS VARCHAR)) AS image_url,
+           array_to_string(list_sort(list_distinct(list(normalized_title)))[1:5], '|') AS variants
+    FROM hits GROUP BY identity_key ORDER BY match_score DESC, competitors_count DESC, best_price, identity_key LIMIT 20""",
+    "market_titles", "competitors", named=IDENTITY, hinted=HINTED, **SUGGESTED))
+def search_suggestions(s):
+    rows = search.search_suggestions(titles(s), s.competitors, QUERY).withColumn("variants", F.array_join("variants", "|"))
+    return rows.select("identity_key", "match_score", "competitors_count", "n_products", "best_price", "representative_product_id", "image_url", "variants")
+
+
+@job("suggestion_competitors", oracle("SELECT DISTINCT identity_key, competitor_name FROM hits",
+                                      "market_titles", "competitors", named=IDENTITY, hinted=HINTED, **SUGGESTED))
+def suggestion_competitors(s):
+    return search.group_competitors(search.suggestion_rows(titles(s), s.competitors, QUERY))
+
+
 @job("market_identity", oracle("""
     SELECT id, identity_key, base, mutation, label AS mutation_label,
            CASE WHEN mutation = 'normal' THEN shown ELSE concat(label, ' ', shown) END AS display_title FROM named""",
@@ -125,16 +189,83 @@ def comparison_aliases(s):
     return s.market_titles.select("id", F.explode(identity.comparison_aliases(F.col("normalized_title"))).alias("alias"))
 
 
-@job("comparison_scores")
+# The comparison score of two texts, from their ratio.
+COMPARED = """
+    CASE WHEN a = b THEN 1.0::DOUBLE
+         WHEN len(string_split(a, ' ')) = 1 AND list_contains(string_split(b, ' '), a) THEN 0.72::DOUBLE
+         WHEN len(list_filter(string_split(a, ' '), lambda w: NOT list_contains(string_split(b, ' '), w))) = 0 THEN 0.9::DOUBLE ELSE ratio END"""
+
+
+@job("comparison_scores", oracle(f"""
+    SELECT id, normalized_title, round({COMPARED}, 9) AS score FROM market_titles JOIN ratios ON b = normalized_title""",
+    "market_titles", pairs=f"SELECT DISTINCT '{PLAIN}' AS a, normalized_title AS b FROM market_titles", **RATIOS))
 def comparison_scores(s):
     rows = compare.with_comparison_score(titles(s), [(F.lit(PLAIN), F.col("normalized_title"))])
     return rows.select("id", "normalized_title", F.round("score", 9).alias("score"))
 
 
-@job("compare_product")
+def _descriptors(base):
+    return f"nullif(array_to_string(list_filter(string_split({base}, ' '), lambda w: w NOT IN {_in(DESCRIPTOR_TOKENS)}), ' '), '')"
+
+
+# Every identity against every reading of every title; a reading by a hint is for targets of that base only, and bars the other one from them.
+FUZZY = {
+    "named": IDENTITY,
+    "readings": """
+    SELECT id, competitor_id, normalized_title, current_price, base, mutation, NULL AS hint,
+           CASE WHEN NOT split AND len(found) > 0 AND base_part <> '' THEN base_part END AS barred FROM named
+    UNION ALL SELECT id, competitor_id, normalized_title, current_price, base_part, array_to_string(found, ' '), base_part, base_part FROM named
+    WHERE NOT split AND len(found) > 0 AND base_part <> ''""",
+    "targets": "SELECT DISTINCT base, mutation FROM named",
+    "aliases": f"""
+    SELECT DISTINCT base, unnest(list_distinct(list_filter([base, {_descriptors('base')}], lambda x: x IS NOT NULL))) AS alias
+    FROM (SELECT base FROM targets UNION SELECT base FROM readings) x""",
+    "pairs": """
+    SELECT DISTINCT t.alias AS a, c.alias AS b FROM (SELECT DISTINCT alias FROM targets JOIN aliases USING (base)) t,
+           (SELECT DISTINCT alias FROM readings JOIN aliases USING (base)) c""",
+    **RATIOS,
+    "base_scores": f"""
+    SELECT t.base AS target, c.base AS base, max({COMPARED}) AS score FROM aliases t JOIN ratios ON a = t.alias JOIN aliases c ON b = c.alias GROUP BY t.base, c.base""",
+    "matches": """
+    SELECT t.base, t.mutation, r.competitor_id, s.score, r.id, r.normalized_title, r.current_price
+    FROM targets t JOIN base_scores s ON s.target = t.base JOIN readings r ON r.base = s.base AND r.mutation = t.mutation
+    WHERE s.score >= 0.86 AND CASE WHEN r.hint IS NOT NULL THEN r.hint = t.base ELSE r.barred IS DISTINCT FROM t.base END""",
+    "best": """
+    SELECT *, row_number() OVER (PARTITION BY base, mutation, competitor_id ORDER BY score DESC, current_price, id) AS pos FROM matches QUALIFY pos = 1""",
+}
+
+
+@job("compare_product", oracle(f"""
+    SELECT c.id AS competitor_id, c.name AS competitor_name, coalesce(round(b.score, 3), 0) AS match_score, b.id AS product_id, b.normalized_title, b.current_price
+    FROM competitors c LEFT JOIN (SELECT best.* FROM best JOIN target USING (base, mutation)) b ON b.competitor_id = c.id WHERE c.active""",
+    "market_titles", "competitors", **FUZZY, target=f"""
+    SELECT base, mutation FROM named JOIN ratios ON a = '{PLAIN}' AND b = normalized_title
+    ORDER BY {COMPARED} DESC, last_checked_at DESC, id LIMIT 1""".replace("JOIN ratios ON", "JOIN (SELECT * FROM target_ratios) q ON"))
+    .replace("target AS (", f"""target_blocks AS ({RATIOS['blocks'].replace('FROM pairs', f"FROM (SELECT DISTINCT '{PLAIN}' AS a, normalized_title AS b FROM market_titles) p").replace('FROM blocks', 'FROM target_blocks')}),
+    target_ratios AS ({RATIOS['ratios'].replace('FROM blocks', 'FROM target_blocks')}), target AS ("""))
 def compare_product(s):
     rows = titles(s)
-    return compare.compare_product(rows, s.competitors, compare.compare_target(rows, q=PLAIN))
+    return compare.compare_product(rows, s.competitors, compare.compare_target(rows, q=PLAIN)).drop("currency")
+
+
+@job("comparison_head", oracle(f"""
+    SELECT n.id AS target_id, identity_key, n.base, n.mutation, label AS mutation_label,
+           CASE WHEN n.mutation = 'normal' THEN shown ELSE concat(label, ' ', shown) END AS display_title,
+           array_to_string(list_sort(list_distinct(list_filter([n.base, {_descriptors('n.base')}], lambda x: x IS NOT NULL))), '|') AS aliases,
+           (SELECT count(*) FROM best b JOIN competitors c ON c.id = b.competitor_id WHERE c.active AND b.base = n.base AND b.mutation = n.mutation) AS total_matches
+    FROM named n ORDER BY n.id LIMIT 1""", "market_titles", "competitors", **FUZZY))
+def comparison_head(s):
+    rows = titles(s)
+    target = compare.compare_target(rows, product_id=rows.agg(F.min("id")).first()[0])
+    head = compare.comparison_head(target, compare.compare_product(rows, s.competitors, target))
+    return head.withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@job("market_comparison_fuzzy", oracle("""
+    SELECT base, mutation, competitor_id, round(score, 3) AS match_score, id AS product_id, normalized_title, current_price FROM best""",
+    "market_titles", **FUZZY))
+def market_comparison_fuzzy(s):
+    return compare.market_comparison_fuzzy(titles(s))
 
 
 @job("market_comparison", oracle("""
