@@ -10,9 +10,10 @@ document with fewer shared tokens in a prefix than that prefix must share is lin
 The order comes from counts of all shingles in `CELLS` cells, in powers of two above the usual cell, so its size is fixed; tokens of one class are in order
 of their hashes. Any order gives the same links; this one keeps very frequent tokens out of the prefixes of documents that have others.
 
-Documents with equal sets are one node. Links are found in rounds, so that a group of near copies does not give all its pairs: in the first rounds
-every node is compared with the one representative of a size band with which it shares the most prefix tokens; then all pairs of nodes that are in two
-components still are counted. A token's nodes beyond a few thousand are dealt to pairs of cells. No pair, bucket or candidate is dropped.
+Documents with equal sets are one node. Links are found in two rounds, so that a group of near copies does not give all its pairs: the first compares the
+edges of spanning trees, grown over small bitmaps of the sets in the buckets of each node's rarest shared tokens; then all pairs of nodes that are in two
+components still are counted. A pair whose bitmaps differ too much for a link is not counted. A token's nodes beyond a few thousand are dealt to pairs of cells. No
+other pair, bucket or candidate is dropped.
 
 Defined cases: null, blank and empty texts have empty sets, which are linked with nothing; so is a row with a null doc_id, whose component is null. Rows with
 equal doc_id are rows of their own, linked through their texts; repeated rows have equal sets. Extra columns are not looked at.
@@ -26,19 +27,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import slices, table
-from shelfwatch.llm.neardup import CELL, SLICE_BYTES, components, over_sets, paired_rows, runs, shingle_sets
+from shelfwatch.llm.neardup import BLOCK, CELL, SLICE_BYTES, components, dealt_rows, over_sets, paired_rows, runs, shingle_sets
 from shelfwatch.llm.fingerprints import mix
 from shelfwatch.session import cut_lineage
 
 #: Cells of the counts behind the token order, and how many of them travel as one row.
 CELLS, CELL_ROW = 1 << 20, 1 << 10
-#: The longest prefix a document may choose has to share so many tokens. A longer choice changes no result.
-MOST_MATCHES = 16
+#: A document's tokens are looked up as far as a prefix of so many matches, and a share of its size, needs. More or fewer change no result.
+MATCHES, MATCH_SHARE = 16, 10
 #: Comparing a pair costs as much as this share of the set's size in counted tokens.
 COMPARE_SHARE = 0.25
 #: Document counts are told up to here; they only feed the estimate.
 COUNTED = 1 << 16
-ROUNDS = 2
+#: Spanning trees are grown in the buckets of so many shared tokens of a document, its rarest.
+TREE_TOKENS = 8
+#: Bits of the map of a set, one for each remainder of a hash; they bound what two sets share.
+MAP_BITS = 1024
 
 
 # --- the order of tokens -----------------------------------------------------------------------------------
@@ -80,6 +84,10 @@ def least_shared(size, percent: int):
     return -(-percent * size // 100)
 
 
+def most_matches(size: int) -> int:
+    return MATCHES + size // MATCH_SHARE
+
+
 # --- nodes and prefixes ------------------------------------------------------------------------------------
 
 def set_keys(distinct: np.ndarray) -> list[int]:
@@ -88,18 +96,20 @@ def set_keys(distinct: np.ndarray) -> list[int]:
 
 
 def describe(docs: DataFrame, size: int, percent: int, heat) -> DataFrame:
-    """(doc_id, n_shingles, key_a, key_b, prefix): equal sets have equal keys; the prefix is the longest that may be chosen."""
+    """(doc_id, n_shingles, key_a, key_b, prefix, map): equal sets have equal keys; the prefix is the longest that may be chosen."""
 
     def build(hashes, counts, sets):
         cells, made = heat.value, []
         for s in sets:
             distinct = np.unique(s)
             n = len(distinct)
-            first = np.argsort(cells[(distinct & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")[: n - least_shared(n, percent) + MOST_MATCHES]
-            made.append((n, *set_keys(distinct), distinct[first].tobytes()))
+            first = np.argsort(cells[(distinct & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")[: n - least_shared(n, percent) + most_matches(n)]
+            bits = np.zeros(MAP_BITS, bool)
+            bits[(distinct >> np.uint64(40)).astype(np.int64) % MAP_BITS] = True
+            made.append((n, *set_keys(distinct), distinct[first].tobytes(), np.packbits(bits).tobytes()))
         return list(zip(*made))
 
-    return over_sets(docs, size, "n_shingles long, key_a long, key_b long, prefix binary", build)
+    return over_sets(docs, size, "n_shingles long, key_a long, key_b long, prefix binary, map binary", build)
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -170,7 +180,8 @@ def chosen_matches(size: int, places: np.ndarray, counts: np.ndarray, percent: i
     0 if some prefix has fewer shared tokens than it would share with a linked set.
     """
     least = least_shared(size, percent)
-    choices = np.arange(1, min(MOST_MATCHES, least) + 1)
+    # no more than the smallest linked set is looked up for
+    choices = np.arange(1, min(most_matches(least), least) + 1)
     inside = np.searchsorted(places, size - least + choices)  # shared tokens of each prefix
     if (inside < choices).any():
         return 0
@@ -180,7 +191,7 @@ def chosen_matches(size: int, places: np.ndarray, counts: np.ndarray, percent: i
 
 
 def adapted(shared: DataFrame, percent: int) -> DataFrame:
-    """(key, id, size, pos, matches): the prefix that each document chooses."""
+    """(key, id, size, pos, matches, nth): the prefix that each document chooses; nth is a token's place among its shared ones."""
 
     def run(batches):
         for batch in batches:
@@ -192,43 +203,70 @@ def adapted(shared: DataFrame, percent: int) -> DataFrame:
                     matches = chosen_matches(size, places, counts, percent)
                     if matches:
                         end = size - least_shared(size, percent) + matches
-                        made += [(t["key"], node, size, t["pos"], matches) for t in tokens if t["pos"] < end]
+                        made += [(t["key"], node, size, t["pos"], matches, i) for i, t in enumerate(tokens) if t["pos"] < end]
                 if made:
-                    names = ["key", "id", "size", "pos", "matches"]
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                    names = ["key", "id", "size", "pos", "matches", "nth"]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
 
     # a group is the prefix of one document
     whole = shared.groupBy("id", "size").agg(F.collect_list(F.struct("key", "pos", "df")).alias("tokens"))
-    return whole.mapInArrow(run, "key long, id long, size long, pos int, matches int")
+    return whole.mapInArrow(run, "key long, id long, size long, pos int, matches int, nth int")
 
 
 # --- pairs -------------------------------------------------------------------------------------------------
 
-def with_representatives(rows: DataFrame, labels: DataFrame | None, percent: int, turn: int) -> DataFrame:
-    """(a, b): every node with the representative, of another component, with which it shares the most prefix tokens.
+def tree_edges(bucketed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the edges of a spanning tree of every bucket's maps, shortest first, that may be links.
 
-    Each token has one representative for the nodes of a size band: the one whose id is least after a shuffle of ids that is another one in every
-    round. Bands are moved by half their width from round to round.
+    `bucketed` is (key, id, component, size, map), sorted by key inside partitions; a tree is grown over `BLOCK` rows at most.
     """
-    seed = F.lit(int(mix(np.array([turn + 11], np.uint64))[0].astype(np.int64)))
-    band = F.floor(F.log(F.col("size")) / (2 * np.log(100 / percent)) + F.lit(turn / 2)).alias("band")
-    rows = rows.select("key", band, "id")
-    first = rows.groupBy("key", "band").agg(F.min(F.col("id").bitwiseXOR(seed)).bitwiseXOR(seed).alias("head"))
-    met = rows.join(first, ["key", "band"]).where("id <> head").groupBy("id", "head").agg(F.count("*").alias("n"))
-    if labels is not None:
-        own = labels.select("id", F.col("component").alias("c"))
-        met = met.join(own, "id", "left").join(own.select(F.col("id").alias("head"), F.col("c").alias("hc")), "head", "left")
-        met = met.where(F.coalesce("c", "id") != F.coalesce("hc", "head"))
-    best = met.groupBy("id").agg(F.max_by("head", F.col("n")).alias("head"))
-    return best.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+
+    def tree(ids, size, maps):
+        n = len(ids)
+        near, via, out = np.full(n, MAP_BITS + 1), np.zeros(n, np.int64), np.ones(n, bool)
+        at, edges = 0, []
+        for _ in range(n - 1):
+            out[at] = False
+            left = np.flatnonzero(out)
+            apart = np.bitwise_count(maps[at] ^ maps[left]).sum(axis=1, dtype=np.int64)
+            closer = apart < near[left]
+            near[left[closer]], via[left[closer]] = apart[closer], at
+            at = left[np.argmin(near[left])]
+            edges.append((via[at], at))
+        one, other = np.array(edges).T
+        only_one, only_other = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (maps[one] & ~maps[other], maps[other] & ~maps[one]))
+        may = np.minimum(size[one] - only_one, size[other] - only_other) >= -(-percent * (size[one] + size[other]) // (100 + percent))
+        return np.sort(np.stack([ids[one[may]], ids[other[may]]], axis=1), axis=1)
+
+    def run(batches):
+        found, held = [], 0
+        for bucket in runs(batches, True):
+            if bucket.num_rows < 2:
+                continue
+            ids, size = (bucket.column(c).to_numpy() for c in ("id", "size"))
+            maps = np.frombuffer(b"".join(bucket.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
+            for start in range(0, len(ids) - 1, BLOCK):
+                found.append(tree(*(x[start : start + BLOCK] for x in (ids, size, maps))))
+                held += len(found[-1])
+            if held >= 50_000:
+                yield pack(found)
+                found, held = [], 0
+        if held:
+            yield pack(found)
+
+    def pack(found):
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return bucketed.mapInArrow(run, "a long, b long").distinct()
 
 
 def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of two components with as many shared prefix tokens as they need.
+    """(a, b) of two components with as many shared prefix tokens as they need, unless their maps rule a link out.
 
-    `bucketed` is (key, id, component, size, pos, matches, side), sorted by key inside partitions. A shared token counts if it lies in the prefixes that
-    the two sizes leave.
+    `bucketed` is (key, id, component, size, pos, matches, side, map), sorted by key inside partitions. A shared token counts if it lies in the prefixes that
+    the two sizes leave. A bit that only one map has stands for a token that only its set has.
     """
 
     def run(batches):
@@ -237,18 +275,24 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
             ids, part, size, pos, matches, side = (bucket.column(c).to_numpy() for c in ("id", "component", "size", "pos", "matches", "side"))
             if len(ids) < 2 or (part == part[0]).all():
                 continue
+            maps = np.frombuffer(b"".join(bucket.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
             order = np.argsort(size, kind="stable")
-            ids, part, size, pos, matches, side = (x[order] for x in (ids, part, size, pos, matches, side))
+            ids, part, size, pos, matches, side, maps = (x[order] for x in (ids, part, size, pos, matches, side, maps))
             two_sided = side.any()
             ends = np.searchsorted(size, size * 100 // percent, side="right")
             for i in range(len(ids) - 1):
                 others = slice(i + 1, ends[i])
                 need = np.minimum(matches[i], matches[others])
-                room = need - -(-percent * (size[i] + size[others]) // (100 + percent))
+                least = -(-percent * (size[i] + size[others]) // (100 + percent))
+                room = need - least
                 hit = (part[others] != part[i]) & (pos[i] < size[i] + room) & (pos[others] < size[others] + room)
                 if two_sided:
                     hit &= side[others] != side[i]
                 hit = np.flatnonzero(hit)
+                if len(hit):
+                    mine, theirs = maps[i], maps[others][hit]
+                    only_mine, only_theirs = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (mine & ~theirs, theirs & ~mine))
+                    hit = hit[np.minimum(size[i] - only_mine, size[others][hit] - only_theirs) >= least[hit]]
                 if len(hit):
                     other = ids[others][hit]
                     found.append(np.stack([np.minimum(ids[i], other), np.maximum(ids[i], other), need[hit]], axis=1))
@@ -307,22 +351,25 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     described = cut_lineage(describe(plain, size, percent, heat))
     usable = described.where("n_shingles > 0 and doc_id is not null")
     keys = ["key_a", "key_b", "n_shingles"]
-    nodes = usable.groupBy(*keys).agg(F.min(F.struct("doc_id", "prefix")).alias("first"))
+    nodes = usable.groupBy(*keys).agg(F.min(F.struct("doc_id", "prefix", "map")).alias("first"))
     nodes = cut_lineage(nodes.select(*keys, F.col("key_a").alias("id"), F.col("n_shingles").alias("size"), "first.*"))
     ordered = postings(nodes).repartition(parts, "key").sortWithinPartitions("key")
     chosen = cut_lineage(adapted(counted_postings(ordered), percent))
     involved = chosen.select("id").distinct()
     sets = cut_lineage(full_sets(plain, nodes.select("id", "doc_id").join(involved, "id", "left_semi"), size))
 
-    links = labels = None
-    for turn in range(ROUNDS):
-        found = cut_lineage(verified(with_representatives(chosen, labels, percent, turn), sets, percent))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+    def bucketed(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        return rows.join(facts, "id").repartition(parts, "key").sortWithinPartitions("key")
+
+    facts = cut_lineage(chosen.select("id", "size", "matches").distinct().join(nodes.select("id", "map"), "id"))
+    rarest = dealt_rows(chosen.where(F.col("nth") < TREE_TOKENS).select("key", "id", F.col("pos").alias("place")), BLOCK)
+    trees = bucketed(rarest.select("key", "id"), facts.select("id", "size", "map")).select("key", "id", F.col("id").alias("component"), "size", "map")
+    links = cut_lineage(verified(tree_edges(trees, percent), sets, percent))
+    labels = components(links)
     rows = paired_rows(chosen.select("key", "id", F.col("pos").alias("place")), labels, CELL).withColumnRenamed("place", "pos")
-    facts = chosen.select("id", "size", "matches").distinct().join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    bucketed = rows.join(facts, "id").select("key", "id", "component", "size", "pos", "matches", "side").repartition(parts, "key").sortWithinPartitions("key")
-    links = links.unionByName(cut_lineage(verified(counted_pairs(bucketed, percent), sets, percent)))
+    placed = facts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = bucketed(rows, placed).select("key", "id", "component", "size", "pos", "matches", "side", "map")
+    links = links.unionByName(cut_lineage(verified(counted_pairs(apart, percent), sets, percent)))
 
     linked = nodes.select(*keys, "id", "doc_id").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
