@@ -72,6 +72,7 @@ def first_of_each_product(loose: DataFrame) -> DataFrame:
             .where("external_id is null or item_ix = first_external")
             .select("competitor_id", "url", "external_id", "item_ix")
         )
+        found = cut_lineage(found)
         openers = found if openers is None else openers.unionByName(found)
         rest = pairs.join(found.select("competitor_id", "url"), ["competitor_id", "url"], "left_anti").join(
             found.where("external_id is not null").select("competitor_id", "external_id"),
@@ -326,18 +327,24 @@ def apply_scan(
     Items are expected to be deduplicated per competitor (`dedupe_catalog`), as every landing source does; repeated
     urls and external ids are still handled in order, but then one product's items form one sequence in one task.
 
+    Rows of shops without a scan record are neither matched nor ordered; they go over to the new state as they are.
+
     The matched items are checkpointed: the guard, the search for new products and the sequence all start from them, so
     the two joins of matching run once, and a lost executor does not bring them back.
     """
-    matched = cut_lineage(_matched(items.withColumn("url", F.coalesce("url", F.lit(""))), state))
+    shops = scans.select("competitor_id").distinct()
+    scanned = state.join(shops, "competitor_id", "left_semi")
+    # Items without url, or of a competitor without a scan record, do not belong to the batch.
+    matched = cut_lineage(_matched(items.withColumn("url", F.coalesce("url", F.lit(""))), scanned))
     judged = split_scans(scans, matched, errors)
     accepted = judged.where("accepted").select("competitor_id")
-    # Items without url, or of a competitor without a scan record, do not belong to the batch.
     batch = matched.where("url <> ''").join(accepted, "competitor_id", "left_semi")
-    sequence = change_sequence(state, batch, accepted, now)
+    sequence = change_sequence(scanned, batch, accepted, now)
     if keep_sequence:
         sequence = cut_lineage(sequence)
-    return ScanResult(sequence, next_state(sequence, now), scan_snapshots(sequence, now), scan_events(sequence, now), judged)
+    untouched = state.join(shops, "competitor_id", "left_anti").select(*STATE_COLUMNS)
+    after = next_state(sequence, now).unionByName(untouched)
+    return ScanResult(sequence, after, scan_snapshots(sequence, now), scan_events(sequence, now), judged)
 
 
 def scan_summary(sequence: DataFrame) -> DataFrame:

@@ -168,8 +168,10 @@ def failure_messages(failures: DataFrame, competitors: DataFrame, now, default_w
     )
 
 
-def paced(messages: DataFrame, ranges: int | None = None) -> DataFrame:
-    """Messages with `send_after`: their second in the queue of their webhook, oldest event first, one message per second.
+def paced(messages: DataFrame, ranges: int | None = None, clock: DataFrame | None = None, now=None) -> DataFrame:
+    """Messages with `send_after`: their second, counted from now, in the queue of their webhook, oldest event first, one message per second.
+
+    `clock` (webhook_url, free_at) tells when the queues of earlier batches end; a queue that ends after `now` is joined at its end.
 
     One default webhook may receive nearly everything, so no window runs over a whole webhook: messages are dealt to ranges
     of (detected_at, event_id) between sampled splitters, numbered inside their range, and shifted by the sizes of the
@@ -182,20 +184,33 @@ def paced(messages: DataFrame, ranges: int | None = None) -> DataFrame:
     sizes = rows.groupBy("webhook_url", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("webhook_url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("webhook_url", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if clock is not None:
+        ahead = F.unix_seconds("free_at") - F.unix_seconds(F.lit(str(now)).cast("timestamp"))
+        queued = clock.select("webhook_url", F.greatest(ahead, F.lit(0)).alias("queued"))
+        starts = starts.join(queued, "webhook_url", "left").withColumn("start", F.col("start") + F.coalesce("queued", F.lit(0))).drop("queued")
     inside = Window.partitionBy("webhook_url", "range").orderBy(*order)
     numbered = rows.withColumn("rn", F.row_number().over(inside))
     return numbered.join(starts, ["webhook_url", "range"]).withColumn("send_after", F.col("start") + F.col("rn") - 1).drop("range", "rn", "start")
 
 
+def queue_clock(outbox: DataFrame, now, clock: DataFrame | None = None) -> DataFrame:
+    """(webhook_url, free_at): when the queue of every webhook ends after this outbox; one row per webhook."""
+    end = F.timestamp_seconds(F.unix_seconds(F.lit(str(now)).cast("timestamp")) + F.max("send_after") + 1)
+    ends = outbox.groupBy("webhook_url").agg(end.alias("free_at"))
+    if clock is not None:
+        ends = ends.unionByName(clock).groupBy("webhook_url").agg(F.max("free_at").alias("free_at"))
+    return ends
+
+
 def notification_outbox(
     pending: DataFrame, initial: DataFrame, competitors: DataFrame, products: DataFrame, now,
-    default_webhook: str | None = None, enabled: bool = True, backlog_limit: int | None = None,
+    default_webhook: str | None = None, enabled: bool = True, backlog_limit: int | None = None, clock: DataFrame | None = None,
 ) -> DataFrame:
     """Rendered and paced messages of all deliverable events. Switched off, it is empty and no event counts as sent."""
     events = deliverable_events(pending, initial, backlog_limit)
     if not enabled:
         events = events.limit(0)
-    return paced(render_messages(routed_events(events, competitors, products, default_webhook), now))
+    return paced(render_messages(routed_events(events, competitors, products, default_webhook), now), clock=clock, now=now)
 
 
 def new_deliveries(pending: DataFrame, initial: DataFrame, outbox: DataFrame, now, backlog_limit: int | None = None) -> DataFrame:

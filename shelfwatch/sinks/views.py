@@ -17,13 +17,13 @@ def read_products(spark: SparkSession, folder: str) -> DataFrame:
     return read_state(spark, folder).withColumnRenamed("product_id", "id").withColumnRenamed("price", "current_price")
 
 
-def read_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Product events and failed scans of all committed batches, with `id` and `notification_sent`.
+def read_events(spark: SparkSession, folder: str, after: int | None = None) -> DataFrame:
+    """Product events and failed scans of all committed batches, or of those above `after`, with `id` and `notification_sent`.
 
     What was sent is known from the deliveries, so the flag is false here.
     """
-    changes = read_log(spark, folder, "events")
-    failures = read_log(spark, folder, "failures")
+    changes = read_log(spark, folder, "events", after)
+    failures = read_log(spark, folder, "failures", after)
     for column in ("product_id", "item_ix", "old_value", "new_value"):
         failures = failures.withColumn(column, F.lit(None).cast(changes.schema[column].dataType))
     rows = changes.unionByName(failures.select(*changes.columns))
