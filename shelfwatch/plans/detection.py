@@ -175,35 +175,32 @@ def scan_summary(s):
     return detect.scan_summary(scan(s).sequence)
 
 
-# Suppliers as scanned competitors: a scan delivers the lines shipped since the given day.
-RECENT = "SELECT l_suppkey AS competitor_id, l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-20'"
-
-
-@job("rejected_scans", f"""
-    SELECT s_suppkey AS competitor_id FROM supplier
-    WHERE s_suppkey % 10 <> 7 AND s_suppkey NOT IN (SELECT competitor_id FROM ({RECENT}) r)""")
+# Customers as scanned shops: a scan delivers their finished orders, and those without any delivered nothing.
+@job("rejected_scans", """
+    SELECT c_custkey AS competitor_id FROM customer
+    WHERE c_custkey % 10 <> 7 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""")
 def rejected_scans(s):
-    items = s.table("lineitem").where("l_shipdate >= timestamp_ntz '2001-10-20'").select(F.col("l_suppkey").alias("competitor_id"))
-    scans = s.table("supplier").select(F.col("s_suppkey").alias("competitor_id"), (F.col("s_suppkey") % 10 == 7).alias("allow_empty"))
+    items = s.table("orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("competitor_id"))
+    scans = s.table("customer").select(F.col("c_custkey").alias("competitor_id"), (F.col("c_custkey") % 10 == 7).alias("allow_empty"))
     return detect.rejected_scans(scans, items)
 
 
 def _runs(s):
     result = scan(s)
-    errors = s.table("region").where("r_name = 'ASIA'").select(
+    errors = s.table("region").where("r_regionkey % 2 = 0").select(
         F.col("r_regionkey").cast("long").alias("competitor_id"), F.repeat(F.lit("timeout "), 200).alias("error")
     )
     return detect.scan_runs(result.scans, detect.scan_summary(result.sequence), errors, NOW)
 
 
 @job("scan_runs", scan_oracle("""
-    SELECT r.r_regionkey::BIGINT AS competitor_id, CASE WHEN r.r_name = 'ASIA' THEN 'failed' ELSE 'success' END AS status,
-           CASE WHEN r.r_name = 'ASIA' THEN 0 ELSE (SELECT count(*) FROM batch b WHERE b.competitor_id = r.r_regionkey) END AS products_found,
-           CASE WHEN r.r_name = 'ASIA' THEN 0 ELSE (SELECT count(*) FROM seq q WHERE q.competitor_id = r.r_regionkey AND rn = 1
+    SELECT r.r_regionkey::BIGINT AS competitor_id, CASE WHEN r.r_regionkey % 2 = 0 THEN 'failed' ELSE 'success' END AS status,
+           CASE WHEN r.r_regionkey % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM batch b WHERE b.competitor_id = r.r_regionkey) END AS products_found,
+           CASE WHEN r.r_regionkey % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM seq q WHERE q.competitor_id = r.r_regionkey AND rn = 1
                 AND item_ix >= 0) END AS new_products_count,
-           CASE WHEN r.r_name = 'ASIA' THEN 0 ELSE (SELECT count(*) FROM seq q WHERE q.competitor_id = r.r_regionkey AND rn > 1
+           CASE WHEN r.r_regionkey % 2 = 0 THEN 0 ELSE (SELECT count(*) FROM seq q WHERE q.competitor_id = r.r_regionkey AND rn > 1
                 AND price <> old_price) END AS price_changes_count,
-           CASE WHEN r.r_name = 'ASIA' THEN repeat('timeout ', 200) END AS error_message
+           CASE WHEN r.r_regionkey % 2 = 0 THEN repeat('timeout ', 200) END AS error_message
     FROM region r"""))
 def scan_runs(s):
     return _runs(s).drop("finished_at")
@@ -211,7 +208,7 @@ def scan_runs(s):
 
 @job("failure_events", """
     SELECT r_regionkey::BIGINT AS competitor_id, 'scrape_failed' AS event_type,
-           repeat('timeout ', 200) AS event_message FROM region WHERE r_name = 'ASIA'""")
+           repeat('timeout ', 200) AS event_message FROM region WHERE r_regionkey % 2 = 0""")
 def failure_events(s):
     return detect.failure_events(_runs(s)).drop("detected_at")
 

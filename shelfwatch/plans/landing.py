@@ -357,11 +357,13 @@ def source_fallback(s):
 @job("category_ids", """
     SELECT s_suppkey AS competitor_id, CAST(s_suppkey AS VARCHAR) AS category_id FROM supplier WHERE s_suppkey % 6 = 2
     UNION ALL SELECT s_suppkey, unnest(['7', '8']) FROM supplier WHERE s_suppkey % 6 = 5
-    UNION ALL SELECT s_suppkey, unnest(['12', '34']) FROM supplier WHERE s_suppkey % 6 NOT IN (2, 5)""")
+    UNION ALL SELECT DISTINCT l_suppkey, unnest([CAST(l_linenumber AS VARCHAR), CAST(l_partkey + 10 AS VARCHAR)]) FROM lineitem WHERE l_suppkey % 6 NOT IN (2, 5)""")
 def category_ids(s):
-    landed = s.table("supplier").select(
-        F.col("s_suppkey").alias("competitor_id"), F.lit(0).cast("long").alias("page_ix"),
-        F.lit("<a href='/x/c34'></a><salla-products-list id=\"1\" source-value=\"12\"></salla-products-list>").alias("html"),
+    # every line is a listing page of its supplier, with one list element and one link
+    landed = s.table("lineitem").select(
+        F.col("l_suppkey").alias("competitor_id"), F.col("l_orderkey").cast("long").alias("page_ix"),
+        F.format_string("<a href='/x/c%d'></a><salla-products-list id=\"1\" source-value=\"%d\"></salla-products-list>",
+                        F.col("l_partkey") + 10, F.col("l_linenumber")).alias("html"),
     )
     return targets.category_ids(_shops(s), landed).select("competitor_id", "category_id")
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from shelfwatch.operators import notify
 from shelfwatch.operators.dashboard import daily_summary
+from shelfwatch.plans.detection import EVENTS, scan, scan_oracle
+from shelfwatch.plans.detection import NOW as SCAN_NOW
 from shelfwatch.plans.fixtures import NOW, oracle
 from shelfwatch.plans.landing import CATALOG_PAGES, _CATALOG_EXTRA, _CATALOG_MAIN
 from shelfwatch.plans.registry import job
@@ -57,14 +59,14 @@ def payload_events(s):
 
 
 def initial(s):
-    """Competitors on their first scan."""
-    return s.competitors.where("category in ('INDIA', 'KENYA')").select(F.col("id").alias("competitor_id"))
+    """Competitors on their first scan: those whose number is divisible by three, so that some of them have new products to announce."""
+    return s.competitors.where("id % 3 = 0").select(F.col("id").alias("competitor_id"))
 
 
 _VIEWS = ("competitors", "market_events", "market_products")
 SETS = {
     "pending": "SELECT * FROM market_events WHERE NOT notification_sent",
-    "first_scans": "SELECT id AS competitor_id FROM competitors WHERE category IN ('INDIA', 'KENYA')",
+    "first_scans": "SELECT id AS competitor_id FROM competitors WHERE id % 3 = 0",
     "quiet": "SELECT competitor_id FROM first_scans",
     "deliverable": "SELECT * FROM pending WHERE event_type <> 'new_product' OR competitor_id NOT IN (SELECT competitor_id FROM quiet)",
     "routed": f"""
@@ -95,6 +97,69 @@ def notification_outbox(s):
     return out.select("event_id", "competitor_id", "event_type", "webhook_url", "send_after")
 
 
+# Events before the day are sent by one batch, the others by a second one a minute later.
+SPLIT, LATER = "2024-01-16 00:00:00", "2024-01-31 00:01:00"
+
+
+@job("outbox_two_batches", oracle(f"""
+    SELECT event_id, webhook_url, 1 AS batch, CAST(place AS BIGINT) AS send_second FROM first
+    UNION ALL
+    SELECT r.id, target, 2, CAST(60 + greatest(coalesce(n, 0) - 60, 0) + row_number() OVER (PARTITION BY target ORDER BY detected_at, id) - 1 AS BIGINT)
+    FROM routed r LEFT JOIN (SELECT webhook_url, count(*) AS n FROM first GROUP BY webhook_url) q ON q.webhook_url = r.target
+    WHERE detected_at >= TIMESTAMP '{SPLIT}'""", *_VIEWS, **SETS, first=f"""
+    SELECT id AS event_id, target AS webhook_url, row_number() OVER (PARTITION BY target ORDER BY detected_at, id) - 1 AS place
+    FROM routed WHERE detected_at < TIMESTAMP '{SPLIT}'"""))
+def outbox_two_batches(s):
+    pending, start = notify.pending_events(payload_events(s)), F.unix_seconds(F.lit(NOW).cast("timestamp"))
+    out, clock = [], None
+    for number, (part, now) in enumerate(((F.col("detected_at") < F.lit(SPLIT).cast("timestamp_ntz"), NOW), (F.col("detected_at") >= F.lit(SPLIT).cast("timestamp_ntz"), LATER)), 1):
+        batch = notify.notification_outbox(pending.where(part), initial(s), s.competitors, s.market_products, now, DEFAULT_HOOK, clock=clock)
+        clock = notify.queue_clock(batch, now, clock)
+        second = (F.unix_seconds(F.lit(now).cast("timestamp")) - start + F.col("send_after")).cast("long")
+        out.append(batch.select("event_id", "webhook_url", F.lit(number).alias("batch"), second.alias("send_second")))
+    return out[0].unionByName(out[1])
+
+
+# A scan batch straight to its messages: regions are the shops, and every third one has a webhook of its own.
+SCAN_SHOPS = """
+    SELECT CAST(r_regionkey AS BIGINT) AS id, r_name AS name, CASE WHEN r_regionkey % 3 = 0 THEN concat('https://hooks.example.com/', r_name) END AS webhook_url
+    FROM {region}"""
+
+
+@job("scan_to_outbox", scan_oracle(f"""
+    SELECT event_id, competitor_id, event_type, webhook_url, CAST(row_number() OVER (PARTITION BY webhook_url ORDER BY event_id) - 1 AS BIGINT) AS send_after FROM (
+      SELECT concat_ws('-', CAST(e.competitor_id AS VARCHAR), product_id, CAST(item_ix AS VARCHAR), event_type) AS event_id, e.competitor_id, event_type,
+             CASE WHEN r_regionkey % 3 = 0 THEN concat('https://hooks.example.com/', r_name) ELSE '{DEFAULT_HOOK}' END AS webhook_url
+      FROM ({EVENTS}) e JOIN region r ON r.r_regionkey = e.competitor_id) x"""))
+def scan_to_outbox(s):
+    result = scan(s)
+    key = F.concat_ws("-", F.col("competitor_id").cast("string"), "product_id", F.col("item_ix").cast("string"), "event_type")
+    pending = notify.pending_events(result.events.withColumn("id", key))
+    none = s.competitors.limit(0).select(F.col("id").alias("competitor_id"))
+    products = result.state.withColumnRenamed("product_id", "id").withColumnRenamed("price", "current_price")
+    out = notify.notification_outbox(pending, none, s.sql(SCAN_SHOPS), products, SCAN_NOW, DEFAULT_HOOK)
+    return out.select("event_id", "competitor_id", "event_type", "webhook_url", F.col("send_after").cast("long").alias("send_after"))
+
+
+@job("scan_to_dashboard", scan_oracle(f"""
+    SELECT r.r_regionkey::BIGINT AS competitor_id, count(e.event_type) FILTER (WHERE event_type = 'new_product') AS new_products,
+           count(e.event_type) FILTER (WHERE event_type LIKE 'price%') AS price_changes, count(DISTINCT CASE WHEN event_type = 'stock_out' THEN product_id END) AS sold_products,
+           count(DISTINCT CASE WHEN event_type = 'product_removed' THEN product_id END) AS removed_products,
+           (SELECT count(*) FROM seq q WHERE q.competitor_id = r.r_regionkey AND is_last AND (item_ix >= 0 OR active AND consecutive_misses + 1 < 3)) AS active_products
+    FROM region r LEFT JOIN ({EVENTS}) e ON e.competitor_id = r.r_regionkey GROUP BY r.r_regionkey"""))
+def scan_to_dashboard(s):
+    result = scan(s)
+    kind = F.col("event_type")
+    counts = result.events.groupBy("competitor_id").agg(
+        F.count_if(kind == "new_product").alias("new_products"), F.count_if(kind.startswith("price")).alias("price_changes"),
+        F.count_distinct(F.when(kind == "stock_out", F.col("product_id"))).alias("sold_products"),
+        F.count_distinct(F.when(kind == "product_removed", F.col("product_id"))).alias("removed_products"),
+    )
+    held = result.state.groupBy("competitor_id").agg(F.count_if("active").alias("active_products"))
+    shops = s.table("region").select(F.col("r_regionkey").cast("long").alias("competitor_id"))
+    return shops.join(counts, "competitor_id", "left").join(held, "competitor_id", "left").fillna(0)
+
+
 MONEY = "concat('$', format('{{:,.2f}}', CAST({} AS DOUBLE)))"
 
 
