@@ -94,6 +94,51 @@ def search_products(
     return first_page(search_results(products, competitors, q, candidate_limit, blocked), order, page, page_size)
 
 
+def title_index(titles: DataFrame, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """(gram, title) of distinct titles (title): every substring of the given lengths, an inverted index to join queries to."""
+    def grams(n):
+        every = F.transform(F.sequence(F.lit(1), F.length("title") - n + 1), lambda i: F.substring("title", i, n))
+        return F.when(F.length("title") >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return titles.select("title", F.explode(F.flatten(F.array(*map(grams, sizes)))).alias("gram"))
+
+
+def candidates_of_many(queries: DataFrame, titles: DataFrame, cell: int = 20_000) -> DataFrame:
+    """(query, title), distinct: the titles (title) that contain a variant of a word of a query (query), all normalised.
+
+    A variant is looked up in the index by the rarest of its grams and then checked as a whole. Variants and titles are distinct texts, so what many
+    queries ask is looked up once; a gram of very many titles is dealt to cells of about `cell`. A query without a variant of two letters
+    finds nothing here; `search_candidates` takes it.
+    """
+    index = title_index(titles.where("title is not null").select("title").distinct())
+    frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
+    asked = queries.where("query is not null").select("query").distinct()
+    asked = asked.select("query", F.explode(token_variants(F.col("query"))).alias("variant")).where(F.length("variant") >= 2)
+    width = F.least(F.length("variant"), F.lit(4))
+    grams = F.transform(F.sequence(F.lit(1), F.length("variant") - width + 1), lambda i: F.substring(F.col("variant"), i, width))
+    # a gram that no title has rules the variant out
+    rarest = asked.select("variant").distinct().select("variant", F.explode(grams).alias("gram")).join(frequency, "gram", "left").groupBy("variant").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).select("variant", "r.*").where("n > 0")
+    cells = F.ceil(F.col("n") / F.lit(cell)).cast("int")
+    looked_up = rarest.select("variant", "gram", F.explode(F.sequence(F.lit(0), cells - 1)).alias("cell"))
+    dealt = index.join(frequency, "gram").select("gram", "title", F.pmod(F.xxhash64("title"), cells).cast("int").alias("cell"))
+    found = looked_up.join(dealt, ["gram", "cell"]).where(F.contains("title", F.col("variant"))).select("variant", "title")
+    return asked.join(found, "variant").select("query", "title").distinct()
+
+
+def search_many(queries: DataFrame, titles: DataFrame, limit: int | None = None) -> DataFrame:
+    """(query, title, match_score) of every hit of many queries at once; with `limit` the best ones of each query, ties by title.
+
+    Both sides are distinct normalised texts; products are joined to their titles afterwards. The threshold counts before rounding.
+    """
+    scored = with_match_score(candidates_of_many(queries, titles), F.col("query"), F.col("title"))
+    hits = scored.where(F.col("score") >= SEARCH_THRESHOLD)
+    if limit is not None:
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "title")
+        hits = hits.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= limit).drop("pos")
+    return hits.withColumn("match_score", F.round("score", 3)).drop("score")
+
+
 def with_base_hint(df: DataFrame, q: str) -> DataFrame:
     """`df` with `base_hint`: the query's words that are left after its variant phrases, or all of them.
 

@@ -126,6 +126,30 @@ IDENTITY = f"""
                     lambda t: NOT regexp_matches(t, '[0-9]') AND t NOT IN {_in(STAT_TOKENS)}), ' ') AS cleaned FROM market_titles) a) b) c"""
 
 
+# Every title as a query, against every title.
+MANY = {
+    "texts": "SELECT DISTINCT normalized_title AS t FROM market_titles",
+    "words": "SELECT DISTINCT t, unnest(string_split(t, ' ')) AS w FROM texts",
+    "variants": "SELECT DISTINCT t, unnest([w, CASE WHEN len(w) > 4 THEN w[:4] END, CASE WHEN len(w) > 6 THEN w[:6] END]) AS v FROM words",
+    "found": "SELECT DISTINCT q.t AS q, x.t FROM (SELECT t, v FROM variants WHERE len(v) >= 2) q JOIN texts x ON contains(x.t, q.v)",
+    "pairs": "SELECT q AS a, t AS b FROM found UNION SELECT a.w, b.w FROM (SELECT DISTINCT w FROM words) a, (SELECT DISTINCT w FROM words) b",
+    **RATIOS,
+    "best_words": """
+    SELECT f.q, f.t, max(ratio) AS best FROM found f JOIN words a ON a.t = f.q JOIN words b ON b.t = f.t JOIN ratios r ON r.a = a.w AND r.b = b.w GROUP BY f.q, f.t""",
+    "hits": """
+    SELECT f.q, f.t, CASE WHEN contains(f.t, f.q) THEN 1.0::DOUBLE
+        ELSE greatest(len(list_intersect(string_split(f.q, ' '), string_split(f.t, ' '))) / len(list_distinct(string_split(f.q, ' ')))::DOUBLE * 0.9::DOUBLE,
+                      r.ratio * 0.8::DOUBLE, best * 0.7::DOUBLE) END AS score
+    FROM found f JOIN ratios r ON r.a = f.q AND r.b = f.t JOIN best_words w ON w.q = f.q AND w.t = f.t""",
+}
+
+
+@job("search_many", oracle("SELECT q AS query, t AS title, round(score, 3) AS match_score FROM hits WHERE score >= 0.34", "market_titles", **MANY))
+def search_many(s):
+    rows = titles(s)
+    return search.search_many(rows.select(F.col("normalized_title").alias("query")), rows.select("title"))
+
+
 # The query has its variant phrase taken out: what is left of it is the base that a title must have to be split by the query.
 HINTED = """
     SELECT *, concat(base, '::', mutation) AS identity_key FROM (

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwatch.operators import compare, fuzzy_join
+from shelfwatch.operators import compare, fuzzy_join, search
 from shelfwatch.operators.identity import with_identity
 
 
@@ -83,3 +83,29 @@ def test_all_targets_at_once_equal_one_by_one(spark, products):
 def test_plan_compares_no_cartesian_product(products):
     plan = compare.market_comparison_fuzzy(products)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("cell", [20_000, 3])
+def test_many_queries_find_what_each_finds(spark, cell):
+    queries, titles = misspelt(9, 60, 4) + ["x y", "skyblue bell"], misspelt(10, 100, 4)
+    rows = spark.createDataFrame([(i, t, True, 0) for i, t in enumerate(titles)], "id long, normalized_title string, active boolean, last_checked_at int")
+    found = {(r.query, r.title) for r in search.candidates_of_many(
+        spark.createDataFrame([(q,) for q in [*queries, *queries, None, ""]], "query string"), spark.createDataFrame([(t,) for t in [*titles, None]], "title string"), cell).collect()}
+    want = set()
+    for q in queries:
+        variants = {v for w in q.split() for v in (w, *([w[:4]] if len(w) > 4 else []), *([w[:6]] if len(w) > 6 else [])) if len(v) >= 2}
+        want |= {(q, t) for t in titles if any(v in t for v in variants)}
+    assert found == want and len(want) > 100
+    one = queries[0]
+    assert {t for q, t in found if q == one} == {r.normalized_title for r in search.search_candidates(rows, one, blocked=True).collect()}
+
+
+def test_the_best_hits_of_many_queries(spark):
+    texts = misspelt(11, 30)
+    frame_of = lambda name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+    every = search.search_many(frame_of("query"), frame_of("title")).collect()
+    best = search.search_many(frame_of("query"), frame_of("title"), limit=2).collect()
+    assert all(r.match_score == 1.0 for r in every if r.query == r.title) and len(best) <= 60
+    for q in {r.query for r in every}:
+        scores = sorted((r.match_score for r in every if r.query == q), reverse=True)[:2]
+        assert sorted((r.match_score for r in best if r.query == q), reverse=True) == scores
