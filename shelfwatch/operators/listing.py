@@ -72,6 +72,25 @@ def product_page(rows: DataFrame, sort: str = "last_checked_at", page: int = 1,
     return first_page(rows, sort_columns(sort), page, page_size)
 
 
+def product_page_after(rows: DataFrame, after, sort: str = "last_checked_at", page_size: int = 50) -> DataFrame:
+    """The page that follows the row `after` (a mapping with the sort's column and `id`) in the named order.
+
+    Everything up to that row is filtered out, so a page deep in the list costs what the first one costs: every task keeps `page_size` rows.
+    """
+    name, direction, _, nulls = PRODUCT_SORTS.get(sort, PRODUCT_SORTS["last_checked_at"]).split()
+    column, later_id = F.col(name), F.col("id") > after["id"]
+    if after[name] is None:
+        behind = column.isNull() & later_id
+        if nulls == "first":
+            behind |= column.isNotNull()
+    else:
+        value = F.lit(after[name])
+        behind = (column > value if direction == "asc" else column < value) | ((column == value) & later_id)
+        if nulls == "last":
+            behind |= column.isNull()
+    return rows.where(behind).orderBy(*sort_columns(sort)).limit(page_size)
+
+
 def product_lookup(products: DataFrame, competitors: DataFrame, ids: DataFrame | list) -> DataFrame:
     """Products by id with the competitor's name; `ids` is a short list or a frame with column `id`."""
     if isinstance(ids, DataFrame):

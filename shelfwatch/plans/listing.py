@@ -85,6 +85,14 @@ def product_page(s):
     return q.product_page(q.product_list(s.products, s.competitors).select(*PRODUCT_COLUMNS), "price_asc", page=3)
 
 
+@job("product_page_after", oracle(f"""
+    SELECT {PRODUCT} FROM {JOINED} QUALIFY row_number() OVER (ORDER BY p.current_price ASC NULLS LAST, p.id) BETWEEN 101 AND 150""", "products", "competitors"))
+def product_page_after(s):
+    rows = q.product_list(s.products, s.competitors).select(*PRODUCT_COLUMNS)
+    last = q.product_page(rows, "price_asc", page=2).orderBy(F.desc("pos")).first().asDict()
+    return q.product_page_after(rows, last, "price_asc")
+
+
 @job("product_total", oracle(f"SELECT count(*) AS total FROM {JOINED}", "products", "competitors"))
 def product_total(s):
     return q.total(q.product_list(s.products, s.competitors))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from shelfwatch.operators import dashboard as d
 from shelfwatch.plans.fixtures import NOW, oracle
 from shelfwatch.plans.registry import job
+from shelfwatch.streaming import scans as streams
 
 TS = f"TIMESTAMP '{NOW}'"
 # The counters look at the calendar day of `now`; the busiest hour of the test data lies on its last full day.
@@ -145,3 +146,10 @@ def events_by_window(s):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@job("windowed_sales", oracle("""
+    SELECT date_trunc('day', detected_at)::TIMESTAMP AS window_start, competitor_id, count(*) AS inferred_sold_count, count(DISTINCT product_id) AS unique_products_count,
+           max(detected_at) AS last_signal_at
+    FROM market_events WHERE event_type = 'stock_out' GROUP BY 1, 2""", "market_events"))
+def windowed_sales(s):
+    out = streams.windowed_sales(s.market_events)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "last_signal_at")})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from shelfwatch.operators.dashboard import SOLD
 from shelfwatch.schemas import ITEM_SCHEMA
 from shelfwatch.session import cut_lineage
 from shelfwatch.sinks.state import shop_bucket, write_scan
@@ -283,3 +284,18 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", lateness: str = "2
     )
 
 
+
+
+def windowed_sales(events: DataFrame, width: str = "1 day", lateness: str = "2 hours") -> DataFrame:
+    """Sale signals per window and competitor over a stream or a table: how many, of how many distinct products, and the last one.
+
+    Signals are counted per product first, so a competitor with most of the events is spread over its products and no set of products is held
+    as one value; the state is one row per (window, competitor, product) until the window closes.
+    """
+    stamped = events.where(F.col("event_type") == SOLD).withColumn("detected_at", F.col("detected_at").cast("timestamp"))
+    # signals without a product count as signals
+    products = stamped.withWatermark("detected_at", lateness).groupBy(F.window("detected_at", width).alias("w"), "competitor_id", "product_id").agg(
+        F.count("*").alias("n"), F.max("detected_at").alias("last"))
+    shops = products.groupBy(F.window(F.window_time("w"), width).alias("w"), "competitor_id").agg(
+        F.sum("n").alias("inferred_sold_count"), F.count("product_id").alias("unique_products_count"), F.max("last").alias("last_signal_at"))
+    return shops.select(F.col("w.start").alias("window_start"), "competitor_id", "inferred_sold_count", "unique_products_count", "last_signal_at")
