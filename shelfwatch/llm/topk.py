@@ -3,7 +3,9 @@
 Vectors are dealt to shards by a hash of their id. In a shard a tree is built by median splits along the widest side of the
 points' own bounding box; every node keeps that tight box. For a query q, no point of a box scores above the sum of
 max(q_i * low_i, q_i * high_i), so nodes are visited best bound first and a search ends when the best bound is below the k-th
-score. A first pass searches one shard per query; its k-th score is passed on to all other shards as their starting bound.
+score. A first pass searches one shard per query; then the shards are searched in rounds, each with twice as many as the one before, and the k-th score of
+all rounds so far is the starting bound of the next. A round with as many shards as were searched before finds about k better points for a query, so the hits of
+a query grow with the logarithm of the number of shards.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; a score is defined between vectors of
 equal length only, shards hold one length each; rows with a null id take no part; rows with equal id are candidates of each
@@ -159,20 +161,24 @@ def best_hits(hits: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, column: str, is_query: Column, k: int = 5, scale: int = 256, per_shard: int = 8192, leaf_size: int = 128, block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other vectors of every query.
 
-    The queries meet every shard of their length in blocks of at most `block`; a task holds one shard's tree and one block at a time. The
-    result has at most k rows per query and shard before the last ranking.
+    The queries meet every shard of their length in blocks of at most `block`; a task holds one shard's tree and one block at a time.
     """
     dealt = cut_lineage(deal(quantise(vectors, column, scale), per_shard))
     trees = cut_lineage(grow_trees(dealt, leaf_size))
     lowest = F.lit(-(2**63)).cast("long")
     queries = dealt.where(is_query).dropDuplicates(["vec_id", "point"]).select(F.col("vec_id").alias("query_id"), "point", "length", "shards", F.col("shard").alias("home"))
-    home = cut_lineage(search_shards(trees, in_blocks(queries, ["home"], block).withColumns({"shard": F.col("home"), "bound": lowest}), k))
-    bounds = best_hits(home, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
-    asked = in_blocks(queries, ["length"], block).join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", lowest))
-    asked = asked.select("query_id", "point", "bound", "home", "block", (F.col("length").cast("long") * F.lit(1 << 32)).alias("base"), others.alias("part"))
-    asked = asked.withColumn("shard", F.col("base") + F.col("part")).where("shard <> home")
-    return best_hits(home.unionByName(search_shards(trees, asked, k)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = cut_lineage(search_shards(trees, in_blocks(queries, ["home"], block).withColumns({"shard": F.col("home"), "bound": lowest}), k))
+    blocked = cut_lineage(in_blocks(queries, ["length"], block).withColumn("base", F.col("length").cast("long") * F.lit(1 << 32)))
+    most = dealt.agg(F.max("shards")).first()[0] or 0
+    first, width = 0, 1
+    while first < most:
+        bounds = best_hits(best, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+        parts = F.sequence(F.lit(first).cast("long"), F.least(F.lit(first + width).cast("long"), F.col("shards")) - 1)
+        asked = blocked.where(F.col("shards") > first).withColumn("part", F.explode(parts)).withColumn("shard", F.col("base") + F.col("part")).where("shard <> home")
+        asked = asked.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", lowest))
+        best = cut_lineage(best_hits(best.unionByName(search_shards(trees, asked, k)), k).drop("rank"))
+        first, width = first + width, 2 * width
+    return best_hits(best, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:

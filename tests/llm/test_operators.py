@@ -195,6 +195,22 @@ def test_a_task_searches_one_tree_with_one_block(spark, monkeypatch, tmp_path):
     assert few == sorted(topk.top_k(frame, "embedding", F.lit(True), k=3, per_shard=1000, block=100_000).collect())
 
 
+def test_rounds_pass_the_bound_on(spark, monkeypatch):
+    """Hits of a query grow with the number of rounds, not of shards."""
+    hits, plain = [], topk.search_shards
+    monkeypatch.setattr(topk, "search_shards", lambda *a: hits.append(plain(*a)) or hits[-1])
+    draw = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in draw.normal(size=32)]) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk.top_k(frame, "embedding", F.col("vec_id") % 50 == 0, k=5, per_shard=100).collect()
+    points = np.array([np.floor(256 * np.array(v)).astype(int) for _, v in rows])
+    for q in range(0, 3000, 50):
+        scores = points @ points[q]
+        scores[q] = -(2**40)
+        assert [r.score for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == sorted(scores.tolist(), reverse=True)[:5]
+    assert len(hits) == 6 and sum(h.count() for h in hits) <= 60 * 5 * 10  # of 60 * 5 * 30 without bounds
+
+
 def test_large_components_are_exact():
     a, b = np.array([[2**40, 3]]), np.array([[2**20, 5], [-(2**20), 1]])
     assert topk.exact_dot(a, b).tolist() == [[2**60 + 15, -(2**60) + 3]]
