@@ -99,12 +99,16 @@ def sales_trends(
     events: DataFrame, competitors: DataFrame, now, period: str = "day", competitor_id: int | None = None
 ) -> DataFrame:
     """Every active competitor with its signals, zero where it was silent; most sales first, then by name."""
+    return trends_of(competitor_signals(events, period_start(now, period), competitor_id), competitors, competitor_id)
+
+
+def trends_of(signals: DataFrame, competitors: DataFrame, competitor_id: int | None = None) -> DataFrame:
+    """`sales_trends` from the signals of a period, however they were counted."""
     active = competitors.where("active").select(
         F.col("id").alias("competitor_id"), F.col("name").alias("competitor_name")
     )
     if competitor_id is not None:
         active = active.where(F.col("competitor_id") == competitor_id)
-    signals = competitor_signals(events, period_start(now, period), competitor_id)
     counts = ("inferred_sold_count", "removed_count", "unique_products_count")
     return (
         active.join(signals, "competitor_id", "left")
@@ -117,6 +121,40 @@ def sales_trends(
     )
 
 
+def daily_rollup(events: DataFrame) -> DataFrame:
+    """(day, competitor_id, bucket, sold, removed, last_signal_at, products): what the sales views of any period need of the events of a day.
+
+    `products` is an exact bitmap of the numbers of the products sold, of one bucket of 32,768 numbers; signals without a product have a row without
+    bucket. Rollups of finished days are written once and merged for any period, so periods read no events again.
+    """
+    sold = F.col("event_type") == SOLD
+    number = F.when(sold, F.col("product_id").cast("long"))
+    rows = events.where(_is(SOLD, "product_removed")).select(
+        F.to_date("detected_at").alias("day"), "competitor_id", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit"),
+        sold.alias("is_sale"), "detected_at",
+    )
+    return rows.groupBy("day", "competitor_id", "bucket").agg(
+        F.count_if("is_sale").alias("sold"), F.count_if(~F.col("is_sale")).alias("removed"),
+        F.max(F.when(F.col("is_sale"), F.col("detected_at"))).alias("last_signal_at"), F.bitmap_construct_agg("bit").alias("products"),
+    )
+
+
+def rolled_signals(rollups: DataFrame, events: DataFrame, start) -> DataFrame:
+    """`competitor_signals` from rollups of whole days; `events` are asked only for the rest of a first day that the period cuts."""
+    start = as_datetime(start)
+    first = start.date() if start == midnight(start) else (start + timedelta(days=1)).date()
+    rows = rollups.where(F.col("day") >= F.lit(first))
+    if start != midnight(start):
+        rest = since(events, "detected_at", start).where(F.col("detected_at") < at(events, "detected_at", datetime(first.year, first.month, first.day)))
+        rows = rows.unionByName(daily_rollup(rest))
+    merged = rows.groupBy("competitor_id", "bucket").agg(
+        F.sum("sold").alias("sold"), F.sum("removed").alias("removed"), F.max("last_signal_at").alias("last_signal_at"), F.bitmap_or_agg("products").alias("products"))
+    return merged.groupBy("competitor_id").agg(
+        F.sum("sold").alias("inferred_sold_count"), F.sum("removed").alias("removed_count"),
+        F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("products")).otherwise(0)).alias("unique_products_count"), F.max("last_signal_at").alias("last_signal_at"),
+    )
+
+
 def top_stockout_products(
     events: DataFrame, products: DataFrame, competitors: DataFrame, now, period: str = "day",
     competitor_id: int | None = None, limit: int = 25,

@@ -39,6 +39,12 @@ def sales_trends(s):
     return d.sales_trends(s.market_events, s.competitors, NOW, "week")
 
 
+@job("sales_trends_rolled", oracle(TRENDS, "competitors", "market_events"))
+def sales_trends_rolled(s):
+    signals = d.rolled_signals(d.daily_rollup(s.market_events), s.market_events, d.period_start(NOW, "week"))
+    return d.trends_of(signals, s.competitors)
+
+
 @job("dashboard_counters", oracle(f"""
     SELECT count(*) FILTER (WHERE event_type = 'new_product') AS new_products_today,
            count(*) FILTER (WHERE event_type IN ('price_increase', 'price_decrease', 'price_changed')) AS price_changes_today,

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwatch.operators import listing
-from shelfwatch.operators.dashboard import sales_by_competitor
+from shelfwatch.operators.dashboard import competitor_signals, daily_rollup, rolled_signals, sales_by_competitor
 from shelfwatch.streaming import scans as streams
 
 START = datetime(2024, 1, 1)
@@ -45,3 +45,14 @@ def test_pages_by_seek_equal_pages_by_offset(spark, sort):
     for i in (0, 7, 19, 33, 39):
         page = listing.product_page_after(products, whole[i], sort, page_size=6)
         assert [r.id for r in page.collect()] == [r["id"] for r in whole[i + 1 : i + 7]]
+
+
+@pytest.mark.parametrize("start", [START, START + timedelta(days=2), START + timedelta(days=1, hours=5, minutes=3), START + timedelta(days=9)])
+def test_rollups_equal_the_events_of_any_period(spark, start):
+    draw = random.Random(3)
+    rows = [(draw.randrange(4), draw.choice([None, 1, 2, 32768, 32769, 10**12]), draw.choice(["stock_out", "product_removed", "stock_in"]),
+             START + timedelta(minutes=draw.randrange(5 * 1440))) for _ in range(600)]
+    events = spark.createDataFrame(rows, "competitor_id long, product_id long, event_type string, detected_at timestamp")
+    want, found = (sorted(f.select("competitor_id", "inferred_sold_count", "removed_count", "unique_products_count", "last_signal_at").collect())
+                   for f in (competitor_signals(events, start), rolled_signals(daily_rollup(events), events, start)))
+    assert found == want and (len(want) == 4 or start > START + timedelta(days=5))
