@@ -117,22 +117,23 @@ def test_search_ranks_all_scored_candidates(market, q):
     starts = {v for t in norm.split() for v in (t, t[:4], t[:6]) if len(v) >= 2}
     hits = [p for p in products if any(v in p["normalized_title"] for v in starts) and score[p["id"]] >= 0.34]
     hits.sort(key=lambda p: (-round(score[p["id"]], 3), p["current_price"] is None, p["current_price"], p["id"]))
-    got = search.search_products(rows, shops, q, page=1, page_size=40).orderBy("pos").collect()
+    got = search.search_products(rows, shops, q, page=1, page_size=40, blocked=True).orderBy("pos").collect()
     assert [(r.match_score, r.id, r.competitor_name) for r in got] == [(round(score[p["id"]], 3), p["id"], names[p["competitor_id"]]["name"]) for p in hits[:40]]
-    assert search.search_results(rows, shops, q).count() == len(hits)
+    assert search.search_results(rows, shops, q, blocked=True).count() == len(hits)
+    assert search.search_results(rows, shops, q).count() == sum(x >= 0.34 for x in score.values())
 
 
 def test_unblocked_search_finds_misspelt_beginnings(market):
     rows, shops, products, _ = market
     score = scores_of(rows, "xlue bolt")
-    got = {r.id for r in search.search_results(rows, shops, "xlue bolt", blocked=False).collect()}
+    got = {r.id for r in search.search_results(rows, shops, "xlue bolt").collect()}
     assert got == {p["id"] for p in products if score[p["id"]] >= 0.34}
-    assert {r.id for r in search.search_results(rows, shops, "xlue bolt").collect()} <= got
+    assert {r.id for r in search.search_results(rows, shops, "xlue bolt", blocked=True).collect()} <= got
 
 
 def test_candidate_limit(market):
     rows, _, products, _ = market
-    got = {r.id for r in search.search_candidates(rows, "blue", 10).collect()}
+    got = {r.id for r in search.search_candidates(rows, "blue", 10, blocked=True).collect()}
     newest = sorted((p for p in products if "blue" in p["normalized_title"]), key=lambda p: (-p["last_checked_at"].timestamp(), p["id"]))
     assert got == {p["id"] for p in newest[:10]}
 
@@ -154,7 +155,7 @@ def test_suggestions_group_the_scored_candidates(market):
         facts[key] = (round(max(score[p["id"]] for p in members), 3), len({names[p["competitor_id"]]["name"] for p in members}), cheapest["current_price"],
                       min(members, key=newest)["category"], cheapest["id"], sorted({p["title"] for p in members})[:5])
     order = sorted(facts, key=lambda k: (-facts[k][0], -facts[k][1], facts[k][2], k))
-    got = search.search_suggestions(rows, shops, "blue bolt").orderBy("pos").collect()
+    got = search.search_suggestions(rows, shops, "blue bolt", blocked=True).orderBy("pos").collect()
     assert [r.identity_key for r in got] == order[:20]
     for r in got:
         assert (r.match_score, r.competitors_count, r.best_price, r.category, r.representative_product_id, list(r.variants)) == facts[r.identity_key]
