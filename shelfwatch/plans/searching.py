@@ -210,7 +210,8 @@ def group_variants(s):
     SELECT DISTINCT id, unnest([normalized_title, nullif(array_to_string(list_filter(string_split(normalized_title, ' '),
            lambda t: t NOT IN {_in(DESCRIPTOR_TOKENS)}), ' '), '')]) AS alias FROM market_titles""", "market_titles"))
 def comparison_aliases(s):
-    return s.market_titles.select("id", F.explode(identity.comparison_aliases(F.col("normalized_title"))).alias("alias"))
+    # part numbers above a million reach into the next supplier's ids, so an id may have several titles and aliases may repeat
+    return s.market_titles.select("id", F.explode(identity.comparison_aliases(F.col("normalized_title"))).alias("alias")).distinct()
 
 
 # The comparison score of two texts, from their ratio.

@@ -34,3 +34,8 @@ def copied(tmp_path_factory):
 
 def test_exported_items_are_not_broadcast(spark):
     assert "SortMergeJoin [competitor_id" in plan_of(JOBS["export_rows"](spark, FOLDER))
+
+
+def test_aliases_of_repeated_ids(spark, copied):
+    problem, n = compare(spark, connect(copied), copied, "comparison_aliases", JOBS["comparison_aliases"], ORACLE["comparison_aliases"])
+    assert not problem and n > 0, problem
