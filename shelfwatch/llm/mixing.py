@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfwatch.llm.common import table, word_count
+from shelfwatch.session import cut_lineage
 
 #: Weights of the sources in order, repeating, and for each weight the schedule's knots (training time, relative weight).
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -62,7 +63,7 @@ def invert_schedule(share: Column, knots) -> Column:
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """`docs` with size, source_size, target, passes (how often the document is trained on), taken and positions.
+    """`docs` with size, source_size, target, start (words of its source before it), passes (how often it is trained on), taken and positions.
 
     A source is passed over in the fixed order of the md5 of doc_id, whole passes first; in the last one it stops at the
     document whose middle passes the target, so that the words taken miss it by half a document at most. A running sum over a
@@ -101,7 +102,7 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, share: float
         return chosen
 
     planned = planned.withColumn("positions", F.transform(repeats, position))
-    return planned.drop("mix_key", "cell", "cell_start", "tier", "start", "full", "rest")
+    return planned.drop("mix_key", "cell", "cell_start", "tier", "full", "rest")
 
 
 def training_order(planned: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,10 +114,26 @@ def training_order(planned: DataFrame, columns: list[str]) -> DataFrame:
     return rows.sort("position", "order_key")
 
 
+def trained(planned: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, passes, first_position) of every document, read off the training order.
+
+    The order is written as it is sorted, and its rows are counted back per document; a document that takes words is the only one of its
+    source that starts where it does. Documents that the order does not hold take nothing.
+    """
+    facts = ["doc_id", "source", "size", "source_size", "target", "start"]
+    planned = cut_lineage(planned.select(*facts, "order_key", "passes", "positions"))
+    order = cut_lineage(training_order(planned, facts))
+    counted = order.groupBy("source", "start").agg(
+        F.first(F.struct("doc_id", "size", "source_size", "target")).alias("d"), F.sum("size").alias("taken"), F.count("*").cast("int").alias("passes"),
+        F.min("position").alias("first_position"),
+    ).select("d.*", "taken", "passes", "first_position")
+    idle = planned.where("passes = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), "passes",
+                                              F.lit(None).cast("double").alias("first_position"))
+    return counted.unionByName(idle)
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    planned = plan_mix(docs)
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "passes", F.get("positions", F.lit(0)).alias("first_position"))
+    return trained(plan_mix(table(spark, folder, "documents").select("doc_id", "source", "text")))
 
 
 OP4_SQL = r"""

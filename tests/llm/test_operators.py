@@ -103,6 +103,15 @@ def test_mix_of_odd_rows(odd_docs, no_docs):
     assert mixing.plan_mix(no_docs).count() == 0
 
 
+def test_mix_is_read_off_the_training_order(spark, odd_docs, monkeypatch):
+    whole = mixing.trained(mixing.plan_mix(odd_docs.drop("size"))).collect()
+    assert len(whole) == odd_docs.count()
+    sort = mixing.training_order
+    monkeypatch.setattr(mixing, "training_order", lambda *a: sort(*a).where("position < 0.5"))
+    half = mixing.op4_mixing(spark, "/root/testdata/sf0.001")
+    assert half.agg(F.max("first_position")).first()[0] < 0.5
+
+
 # archives
 
 def members(n, seed=1):
