@@ -12,9 +12,11 @@ from shelfwatch.functions.prices import money
 from shelfwatch.functions.text import blank_to_null, first_filled
 from shelfwatch.operators.dashboard import as_datetime
 from shelfwatch.operators.listing import product_key
-from shelfwatch.session import at, cut_lineage
+from shelfwatch.session import at, cut_lineage, tasks_for
 
 STOCK_EVENT_TYPES = ("stock_in", "stock_out")
+#: Messages that one task sorts.
+ROWS_PER_RANGE = 100_000
 # Lengths of product texts, urls, errors and drop titles in rendered messages; the stored values stay whole.
 SHOWN_TITLE, SHOWN_URL, SHOWN_ERROR, SHOWN_DROP = 100, 500, 500, 50
 
@@ -99,8 +101,8 @@ def _field(name: str, value: Column, inline: bool = True) -> Column:
     return F.struct(F.lit(name).alias("name"), value.alias("value"), F.lit(inline).alias("inline"))
 
 
-def render_messages(routed: DataFrame, now) -> DataFrame:
-    """One message per event: content line, title, color and fields (name, value, inline)."""
+def render_messages(routed: DataFrame, now, *keep: str) -> DataFrame:
+    """One message per event: content line, title, color and fields (name, value, inline), and the columns of `routed` to keep."""
     c = F.col
     old, new = c("old_value"), c("new_value")
     unnamed = F.lit("Uncategorized")
@@ -152,7 +154,7 @@ def render_messages(routed: DataFrame, now) -> DataFrame:
     return rows.select(
         c("id").alias("event_id"), "detected_at", "competitor_id", "event_type", c("target").alias("webhook_url"),
         F.concat(F.lit("**"), shop, F.lit("**\n**Category:** "), "shown_category", F.lit("\n**Change:** "), wording).alias("content"),
-        title.alias("title"), color.alias("color"), fields.alias("fields"),
+        title.alias("title"), color.alias("color"), fields.alias("fields"), *keep,
     )
 
 
@@ -179,7 +181,9 @@ def paced(messages: DataFrame, ranges: int | None = None, clock: DataFrame | Non
     sizes must see the same ranges.
     """
     order = ["detected_at", "event_id"]
-    parts = ranges or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Splitters are drawn from all rows, so these are computed once before; a range is as many rows as a task sorts.
+    messages = cut_lineage(messages)
+    parts = ranges or tasks_for(messages, ROWS_PER_RANGE)
     rows = cut_lineage(messages.repartitionByRange(parts, *order).withColumn("range", F.spark_partition_id()))
     sizes = rows.groupBy("webhook_url", "range").agg(F.count("*").alias("n"))
     before = Window.partitionBy("webhook_url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -206,11 +210,16 @@ def notification_outbox(
     pending: DataFrame, initial: DataFrame, competitors: DataFrame, products: DataFrame, now,
     default_webhook: str | None = None, enabled: bool = True, backlog_limit: int | None = None, clock: DataFrame | None = None,
 ) -> DataFrame:
-    """Rendered and paced messages of all deliverable events. Switched off, it is empty and no event counts as sent."""
+    """Paced and rendered messages of all deliverable events. Switched off, it is empty and no event counts as sent.
+
+    Events are sorted and numbered before they are rendered, because a message is several times as large.
+    """
     events = deliverable_events(pending, initial, backlog_limit)
     if not enabled:
         events = events.limit(0)
-    return paced(render_messages(routed_events(events, competitors, products, default_webhook), now), clock=clock, now=now)
+    routed = routed_events(events, competitors, products, default_webhook)
+    keyed = routed.select("*", F.col("id").alias("event_id"), F.col("target").alias("webhook_url")).drop("event_message")
+    return render_messages(paced(keyed, clock=clock, now=now), now, "send_after")
 
 
 def new_deliveries(pending: DataFrame, initial: DataFrame, outbox: DataFrame, now, backlog_limit: int | None = None) -> DataFrame:

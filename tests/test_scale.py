@@ -5,6 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from shelfwatch.operators import detect, notify
+from shelfwatch.plans import detection
+from shelfwatch.plans.registry import Source
 from tools.check_oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,3 +42,23 @@ def test_exported_items_are_not_broadcast(spark):
 def test_aliases_of_repeated_ids(spark, copied):
     problem, n = compare(spark, connect(copied), copied, "comparison_aliases", JOBS["comparison_aliases"], ORACLE["comparison_aliases"])
     assert not problem and n > 0, problem
+
+
+@pytest.mark.parametrize("name", ["apply_scan_state", "new_products", "scan_to_outbox"])
+def test_scan_tasks_follow_the_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(detection, "LINES_PER_TASK", 300)
+    monkeypatch.setattr(detect, "ROWS_PER_TASK", 200)
+    monkeypatch.setattr(notify, "ROWS_PER_RANGE", 300)
+    source = Source(spark, FOLDER)
+    assert detection.scan_lines(source).rdd.getNumPartitions() == -(-source.table("lineitem").count() // 300)
+    sequence = detection.scan(source).sequence
+    assert sequence.rdd.getNumPartitions() == -(-sequence.count() // 200)
+    problem, _ = compare(spark, connect(FOLDER), FOLDER, name, JOBS[name], ORACLE[name])
+    assert not problem, problem
+
+
+def test_messages_are_numbered_before_they_are_rendered(spark, monkeypatch):
+    seen, pace = [], notify.paced
+    monkeypatch.setattr(notify, "paced", lambda rows, **options: seen.append(rows.columns) or pace(rows, **options))
+    assert "send_after" in JOBS["notification_outbox"](spark, FOLDER).columns
+    assert seen and "fields" not in seen[0] and "content" not in seen[0]
