@@ -46,12 +46,12 @@ _CATALOG_EXTRA = f"""
 
 @job("extract_catalog_json", f"{_CATALOG_MAIN} UNION ALL {_CATALOG_COPY} UNION ALL {_CATALOG_EXTRA}")
 def extract_catalog_json(s):
-    return catalogs.extract_catalog_json(s.sql(CATALOG_PAGES)).select(*ITEM)
+    return catalogs.extract_catalog_json(s.pages(CATALOG_PAGES)).select(*ITEM)
 
 
 @job("dedupe_catalog", f"{_CATALOG_MAIN} UNION ALL {_CATALOG_EXTRA}")
 def dedupe_catalog(s):
-    return catalogs.dedupe_catalog(catalogs.extract_catalog_json(s.sql(CATALOG_PAGES))).select(*ITEM)
+    return catalogs.dedupe_catalog(catalogs.extract_catalog_json(s.pages(CATALOG_PAGES))).select(*ITEM)
 
 
 @job("dedupe_catalog_by_id", """
@@ -103,7 +103,7 @@ _NAMED = f"arg_min({_FIRST}, p_partkey) OVER (PARTITION BY p_partkey % 10, p_bra
     SELECT {_SHOP}, {_BASE}/s', CAST(p_partkey AS STRING)), NULL, 'Status only', NULL,
            'USD', 'in_stock', NULL, NULL, {_NAMED} FROM part""")
 def extract_category_api_json(s):
-    return catalogs.extract_category_api_json(s.sql(CATEGORY_PAGES)).select(*ITEM)
+    return catalogs.extract_category_api_json(s.pages(CATEGORY_PAGES)).select(*ITEM)
 
 
 # --- GraphQL JSON ------------------------------------------------------------------------------------------
@@ -138,7 +138,7 @@ _TITLED = """coalesce(last_value(CASE WHEN p_partkey % 4 = 0 THEN p_brand END IG
     SELECT {_SHOP}, {_BASE}/product/bare-', CAST(p_partkey AS STRING)), 'bare', 'bare', NULL, 'USD', 'out_of_stock', NULL, NULL,
            {_TITLED} FROM part""")
 def extract_graphql_json(s):
-    return catalogs.extract_graphql_json(s.sql(GRAPHQL_PAGES)).select(*ITEM)
+    return catalogs.extract_graphql_json(s.pages(GRAPHQL_PAGES)).select(*ITEM)
 
 
 # --- product and listing HTML ------------------------------------------------------------------------------
@@ -172,13 +172,13 @@ PRODUCT_PAGES = """
            CASE WHEN p_size % 5 <> 4 THEN concat('https://cdn.example.com/', CAST(p_partkey AS STRING), '.png') END AS image_url,
            CASE WHEN p_size % 5 = 4 THEN 'State & type' ELSE p_brand END AS category FROM part""")
 def extract_html_products(s):
-    return product_html.extract_html_products(s.sql(PRODUCT_PAGES)).select(*ITEM)
+    return product_html.extract_html_products(s.pages(PRODUCT_PAGES)).select(*ITEM)
 
 
 @job("jsonld_products", """
     SELECT p_partkey AS page_id, concat(p_name, ' & co') AS name_text FROM part WHERE p_size % 5 <> 4""")
 def jsonld_products(s):
-    found = product_html.with_jsonld_product(s.sql(PRODUCT_PAGES).select("page_id", "html")).where("product is not null")
+    found = product_html.with_jsonld_product(s.pages(PRODUCT_PAGES).select("page_id", "html")).where("product is not null")
     name = F.try_variant_get("product", "$.name", "string")
     return found.select("page_id", F.replace(name, F.lit("&amp;"), F.lit("&")).alias("name_text"))
 
@@ -203,7 +203,7 @@ LISTING_PAGES = """
            'unknown', NULL, 'Big Deals' FROM part""")
 def extract_listing_cards(s):
     selectors = {"product_card": ".grid div.card", "title": ".name", "price": "span.price", "stock": ".stock"}
-    pages = s.sql(LISTING_PAGES).withColumn("selectors", F.create_map(*[F.lit(x) for kv in selectors.items() for x in kv]))
+    pages = s.pages(LISTING_PAGES).withColumn("selectors", F.create_map(*[F.lit(x) for kv in selectors.items() for x in kv]))
     return listing_html.extract_listing_cards(pages).select(
         "competitor_id", "url", "title", "price", "currency", "stock_status", "image_url", "category"
     )

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from shelfwatch.operators import detect, notify
-from shelfwatch.plans import detection
+from shelfwatch.plans import detection, fixtures
 from shelfwatch.plans.registry import Source
 from tools.check_oracle import compare, connect
 
@@ -62,3 +62,15 @@ def test_messages_are_numbered_before_they_are_rendered(spark, monkeypatch):
     monkeypatch.setattr(notify, "paced", lambda rows, **options: seen.append(rows.columns) or pace(rows, **options))
     assert "send_after" in JOBS["notification_outbox"](spark, FOLDER).columns
     assert seen and "fields" not in seen[0] and "content" not in seen[0]
+
+
+@pytest.mark.parametrize("name", ["extract_listing_cards", "extract_category_api_json", "dedupe_catalog", "jsonld_products", "extract_html_products", "extract_graphql_json"])
+def test_pages_are_dealt_before_they_are_parsed(spark, monkeypatch, name):
+    monkeypatch.setattr(fixtures, "PAGES_PER_TASK", 10)
+    frame = JOBS[name](spark, FOLDER)
+    if name == "extract_category_api_json":  # its records are written by the tasks that parse them
+        assert len(frame.inputFiles()) == 20
+    else:
+        assert "REPARTITION_BY_NUM" in plan_of(frame)
+    problem, _ = compare(spark, connect(FOLDER), FOLDER, name, JOBS[name], ORACLE[name])
+    assert not problem, problem
