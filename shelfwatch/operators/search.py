@@ -13,7 +13,7 @@ from shelfwatch.functions.similarity import fuzzy_part
 from shelfwatch.functions.text import fold_title, words
 from shelfwatch.operators.identity import with_extraction, with_identity
 from shelfwatch.operators.listing import first_page
-from shelfwatch.session import cut_lineage
+from shelfwatch.session import cut_lineage, with_distinct
 from shelfwatch.sources.tables import with_competitor
 
 
@@ -41,7 +41,8 @@ def search_candidates(products: DataFrame, q: str, candidate_limit: int | None =
     if blocked and variants:
         rows = rows.where(reduce(or_, [F.contains("normalized_title", F.lit(v)) for v in variants]))
     if candidate_limit is not None:
-        rows = rows.orderBy(F.col("last_checked_at").desc_nulls_first(), F.col("id").asc()).limit(candidate_limit)
+        # written once, so that all readers see the same rows where the order leaves ties open
+        rows = cut_lineage(rows.orderBy(F.col("last_checked_at").desc_nulls_first(), F.col("id").asc()).limit(candidate_limit))
     return rows
 
 
@@ -79,10 +80,12 @@ def exact_match_scores(df: DataFrame, query: Column, candidate: Column) -> DataF
 
 
 def search_results(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = False) -> DataFrame:
-    """All products scoring at least the threshold, which is applied before rounding."""
-    rows = with_match_score(search_candidates(products, q, candidate_limit, blocked), F.lit(fold_title(q)), F.col("normalized_title"))
-    hits = rows.where(F.col("score") >= SEARCH_THRESHOLD).withColumn("match_score", F.round("score", 3)).drop("score")
-    return with_competitor(hits, competitors)
+    """All products scoring at least the threshold, which is applied before rounding. Titles are scored once each."""
+    def scored(titles):
+        rows = with_match_score(titles, F.lit(fold_title(q)), F.col("normalized_title"))
+        return rows.where(F.col("score") >= SEARCH_THRESHOLD).withColumn("match_score", F.round("score", 3)).drop("score")
+
+    return with_competitor(with_distinct(search_candidates(products, q, candidate_limit, blocked), ["normalized_title"], scored), competitors)
 
 
 def search_products(
@@ -150,11 +153,13 @@ def with_base_hint(df: DataFrame, q: str) -> DataFrame:
 
 
 def suggestion_rows(products: DataFrame, competitors: DataFrame, q: str, candidate_limit: int | None = None, blocked: bool = False) -> DataFrame:
-    """Candidates with market identity and score, the better of title and base."""
-    rows = with_base_hint(search_candidates(products, q, candidate_limit, blocked), q)
-    rows = with_identity(rows, base_hint=F.col("base_hint")).drop("base_hint")
-    rows = with_match_scores(rows, F.lit(fold_title(q)), {"title_score": F.col("normalized_title"), "base_score": F.col("base")})
-    rows = rows.withColumn("match_score", F.greatest("title_score", "base_score")).where(F.col("match_score") >= SEARCH_THRESHOLD)
+    """Candidates with market identity and score, the better of title and base; both are told once per title and category."""
+    def scored(titles):
+        rows = with_identity(with_base_hint(titles, q), base_hint=F.col("base_hint")).drop("base_hint")
+        rows = with_match_scores(rows, F.lit(fold_title(q)), {"title_score": F.col("normalized_title"), "base_score": F.col("base")})
+        return rows.withColumn("match_score", F.greatest("title_score", "base_score")).where(F.col("match_score") >= SEARCH_THRESHOLD)
+
+    rows = with_distinct(search_candidates(products, q, candidate_limit, blocked), ["normalized_title", "category"], scored)
     return with_competitor(rows, competitors)
 
 
