@@ -11,6 +11,7 @@ from shelfwatch.functions.text import fold_title, words
 from shelfwatch.operators.fuzzy_join import contained_texts, least_matched, shared_letters, similar_texts
 from shelfwatch.operators.identity import comparison_aliases, splits_by_itself, with_extraction, with_identity
 from shelfwatch.operators.search import search_candidates
+from shelfwatch.session import cut_lineage, with_distinct, with_values
 
 
 def exact_comparison(query: Column, candidate: Column) -> Column:
@@ -55,7 +56,8 @@ def compare_target(
     named = products.where(F.col("id") == product_id).limit(1) if product_id is not None else None
     if q is None:
         return products.limit(0) if named is None else named
-    rows = with_comparison_score(search_candidates(products, q, candidate_limit, blocked), [(F.lit(fold_title(q)), F.col("normalized_title"))])
+    rows = with_distinct(search_candidates(products, q, candidate_limit, blocked), ["normalized_title"],
+                         lambda t: with_comparison_score(t, [(F.lit(fold_title(q)), F.col("normalized_title"))]))
     order = [F.desc("score"), F.col("last_checked_at").desc_nulls_first(), F.asc("id")]
     found = rows.orderBy(*order).limit(1).select(products.columns)
     if named is None:
@@ -64,13 +66,13 @@ def compare_target(
     return named.withColumn("_rank", F.lit(0)).unionByName(found.withColumn("_rank", F.lit(1))).orderBy("_rank").limit(1).drop("_rank")
 
 
-def candidate_readings(products: DataFrame) -> DataFrame:
-    """Active products with each way their title may be read: (base, mutation), and `hint`, the base a target must have for a reading by it.
+def title_readings(titles: DataFrame) -> DataFrame:
+    """Titles (normalized_title, category) with each way they may be read: (base, mutation), and `hint`, the base a target must have for a reading by it.
 
     A title whose words apart from its variant phrases are exactly the target's base counts under that variant (the reading with that
     `hint`), and then not as it stands; `base_part` and `hinted` tell which targets its own reading is not for.
     """
-    rows = with_extraction(products.where("active"), F.col("normalized_title"))
+    rows = with_extraction(titles, F.col("normalized_title"))
     rows = rows.withColumn("own_split", splits_by_itself(F.col("normalized_title"), F.col("category")))
     hinted = ~F.col("own_split") & (F.col("variant_part") != "") & (F.col("base_part") != "")
     own_mutation = F.when(F.col("own_split") & (F.col("variant_part") != ""), F.col("variant_part")).otherwise("normal")
@@ -83,25 +85,30 @@ def candidate_readings(products: DataFrame) -> DataFrame:
         F.when(hinted, F.struct(F.col("variant_part").alias("mutation"), F.col("base_part").alias("base"), F.col("base_part").alias("hint"))),
     ))
     rows = rows.withColumn("barred", F.when(hinted, F.col("base_part")))
-    return rows.select("id", "competitor_id", "normalized_title", "current_price", "currency", "barred", F.explode(readings).alias("r")).select("*", "r.*").drop("r")
+    return rows.select("normalized_title", "category", "barred", F.explode(readings).alias("r")).select("*", "r.*").drop("r")
 
 
 def compare_product(products: DataFrame, competitors: DataFrame, target: DataFrame) -> DataFrame:
     """Best matching active product of every active competitor for one target, nulls where there is none.
 
-    The target is one row, so it is broadcast. It meets the readings of the catalog in an equi-join on the variant.
+    The target is one row, so it is broadcast. It meets the readings of the catalog's distinct titles in an equi-join on the variant; products
+    are joined to the titles that match.
     """
     wanted = with_identity(target).select(
         F.col("base").alias("target_base"), "mutation", comparison_aliases(F.col("base")).alias("target_aliases"),
     )
-    met = candidate_readings(products).join(F.broadcast(wanted), "mutation").where(_applies(F.col("target_base")))
-    aliases = comparison_aliases(F.col("base"))
-    met = met.withColumns({
-        "t0": F.get("target_aliases", F.lit(0)), "t1": F.get("target_aliases", F.lit(1)),
-        "c0": F.get(aliases, F.lit(0)), "c1": F.get(aliases, F.lit(1)),
-    })
-    scored = with_comparison_score(met, [(F.col(t), F.col(c)) for t in ("t0", "t1") for c in ("c0", "c1")], least=COMPARE_THRESHOLD)
-    best = scored.where(F.col("score") >= COMPARE_THRESHOLD).groupBy("competitor_id").agg(
+
+    def matching(titles):
+        met = title_readings(titles).join(F.broadcast(wanted), "mutation").where(_applies(F.col("target_base")))
+        aliases = comparison_aliases(F.col("base"))
+        met = met.withColumns({
+            "t0": F.get("target_aliases", F.lit(0)), "t1": F.get("target_aliases", F.lit(1)),
+            "c0": F.get(aliases, F.lit(0)), "c1": F.get(aliases, F.lit(1)),
+        })
+        scored = with_comparison_score(met, [(F.col(t), F.col(c)) for t in ("t0", "t1") for c in ("c0", "c1")], least=COMPARE_THRESHOLD)
+        return scored.where(F.col("score") >= COMPARE_THRESHOLD).select("normalized_title", "category", "score")
+
+    best = with_distinct(products.where("active"), ["normalized_title", "category"], matching).groupBy("competitor_id").agg(
         F.min_by(F.struct(F.round("score", 3).alias("match_score"), F.col("id").alias("product_id"), "normalized_title",
                           "current_price", "currency"), _best_first()).alias("b")
     )
@@ -156,14 +163,17 @@ def base_scores(targets: DataFrame, candidates: DataFrame) -> DataFrame:
 def market_comparison_fuzzy(products: DataFrame) -> DataFrame:
     """For every identity and every competitor with a match, the best matching active product: `compare_product` for all targets at once.
 
-    Offers are reduced to the best per reading and competitor first, because all products of a reading have the same score. Texts are compared once
-    per pair of different bases, in a similarity join that compares no pair that cannot reach the threshold.
+    Titles are read once each. Offers are reduced to the best per reading and competitor first, because all products of a reading have the same
+    score. Texts are compared once per pair of different bases, in a similarity join that compares no pair that cannot reach the threshold.
     """
-    targets = with_identity(products).select(F.col("base").alias("target_base"), "mutation").distinct()
+    key = ["normalized_title", "category"]
+    titles = cut_lineage(products.groupBy(*key).agg(F.max(F.coalesce("active", F.lit(False))).alias("active")))
+    targets = cut_lineage(with_identity(titles).select(F.col("base").alias("target_base"), "mutation").distinct())
+    readings = cut_lineage(title_readings(titles.where("active").select(*key)))
     cheapest = F.struct(F.col("current_price").isNull(), F.col("current_price"), F.col("id"))
-    offers = candidate_readings(products).groupBy("mutation", "base", "hint", "barred", "competitor_id").agg(
+    offers = with_values(products.where("active"), key, readings).groupBy("mutation", "base", "hint", "barred", "competitor_id").agg(
         F.min_by(F.struct("id", "normalized_title", "current_price"), cheapest).alias("o")).select("mutation", "base", "hint", "barred", "competitor_id", "o.*")
-    scores = base_scores(targets.select(F.col("target_base").alias("base")), offers.select("base"))
+    scores = base_scores(targets.select(F.col("target_base").alias("base")), readings.select("base"))
     met = targets.join(scores, "target_base").join(offers, ["mutation", "base"]).where(_applies(F.col("target_base")))
     best = met.groupBy("target_base", "mutation", "competitor_id").agg(
         F.min_by(F.struct(F.round("score", 3).alias("match_score"), F.col("id").alias("product_id"), "normalized_title", "current_price"), _best_first()).alias("b"))
@@ -173,11 +183,11 @@ def market_comparison_fuzzy(products: DataFrame) -> DataFrame:
 def market_comparison(products: DataFrame) -> DataFrame:
     """All identities at once: the best offer per competitor next to the market's cheapest offer and spread.
 
-    Two aggregations on the identity, the first per competitor; both combine on the map side. The join back has one row
+    Identities are told once per title. Two aggregations on the identity, the first per competitor; both combine on the map side. The join back has one row
     per identity on one side and one per seller on the other, whatever the number of products. Both sides use the same
     columns of the offers, so their shuffle is done once and reused.
     """
-    rows = with_identity(products)
+    rows = with_distinct(products, ["normalized_title", "category"], lambda t: with_identity(t).select("normalized_title", "category", "base", "mutation"))
     key = ["base", "mutation"]
     offers = rows.groupBy(*key, "competitor_id").agg(
         F.min_by(F.struct(F.col("current_price").alias("price"), F.col("id").alias("product_id")),

@@ -5,9 +5,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from shelfwatch.operators import detect, notify
+from shelfwatch.operators import compare as comparing
+from shelfwatch.operators import detect, notify, search
 from shelfwatch.plans import detection, fixtures
 from shelfwatch.plans.registry import Source
+from shelfwatch.session import with_distinct
 from tools.check_oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -74,3 +76,34 @@ def test_pages_are_dealt_before_they_are_parsed(spark, monkeypatch, name):
         assert "REPARTITION_BY_NUM" in plan_of(frame)
     problem, _ = compare(spark, connect(FOLDER), FOLDER, name, JOBS[name], ORACLE[name])
     assert not problem, problem
+
+
+@pytest.mark.parametrize("name, module, step", [
+    ("search_suggestions", search, "with_match_scores"), ("suggestion_competitors", search, "with_match_scores"), ("search_products", search, "with_match_scores"),
+    ("compare_product", comparing, "with_comparison_score"), ("comparison_head", comparing, "with_comparison_score"),
+    ("market_comparison", comparing, "with_identity"), ("market_comparison_fuzzy", comparing, "with_extraction"),
+])
+def test_titles_are_told_once_each(spark, monkeypatch, name, module, step):
+    seen, told = [], getattr(module, step)
+    monkeypatch.setattr(module, step, lambda rows, *args, **options: seen.append(rows) or told(rows, *args, **options))
+    JOBS[name](spark, FOLDER)
+    assert seen and all("id" not in rows.columns and rows.count() == rows.distinct().count() for rows in seen)
+
+
+def test_distinct_values_with_nulls(spark):
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, "x"), (4, "b", "x"), (5, None, None)], "id int, k string, l string")
+    told = with_distinct(rows, ["k", "l"], lambda d: d.where("k is null or k <> 'b'").selectExpr("*", "concat_ws('-', k, l) AS n"))
+    assert told.columns == ["id", "k", "l", "n"]
+    assert sorted((r.id, r.n) for r in told.collect()) == [(1, "a"), (2, "a"), (3, "x"), (5, "")]
+
+
+def test_lookup_leaves_lines_out_before_they_are_products(spark, copied):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = JOBS["product_lookup"](spark, copied)._jdf.queryExecution().optimizedPlan().toString()
+        problem, n = compare(spark, connect(copied), copied, "product_lookup", JOBS["product_lookup"], ORACLE["product_lookup"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.rindex("LeftSemi") > plan.index("Aggregate [l_suppkey")
+    assert not problem and n > 0, problem
