@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from shelfwatch.operators import compare as comparing
@@ -59,6 +60,28 @@ def test_scan_tasks_follow_the_rows(spark, monkeypatch, name):
     assert not problem, problem
 
 
+@pytest.mark.parametrize("name", ["apply_scan", "apply_scan_snapshots", "scan_to_dashboard"])
+def test_matching_tasks_follow_the_rows(spark, monkeypatch, name):
+    monkeypatch.setattr(detect, "ROWS_PER_TASK", 500)
+    dealt, tasks_for = [], detect.tasks_for
+    monkeypatch.setattr(detect, "tasks_for", lambda *args: dealt.append(tasks_for(*args)) or dealt[-1])
+    frame = JOBS[name](spark, FOLDER)
+    problem, _ = compare(spark, connect(FOLDER), FOLDER, name, lambda *_: frame, ORACLE[name])
+    assert not problem, problem
+    assert len(dealt) >= 5 and dealt[0] > 8  # matching, new products in rounds, their items, the sequence
+    assert name == "apply_scan_snapshots" or "REPARTITION_BY_NUM" in plan_of(frame)
+
+
+def test_items_without_url_spread(spark, monkeypatch):
+    monkeypatch.setattr(detect, "ROWS_PER_TASK", 100)
+    items = spark.range(2000).selectExpr("1L AS competitor_id", "id AS item_ix", "if(id % 100 = 0, 'u' || id, '') AS url", "cast(null as string) AS external_id")
+    state = spark.range(0, 2000, 200).selectExpr("1L AS competitor_id", "'p' || id AS product_id", "'u' || id AS url", "'' AS external_id")
+    matched = detect._matched(items, state)
+    sizes = [r["count"] for r in matched.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 300 and sum(sizes) == 2000
+    assert {(r.url, r.by_url) for r in matched.where("by_url is not null").collect()} == {(f"u{i}", f"p{i}") for i in range(0, 2000, 200)}
+
+
 def test_messages_are_numbered_before_they_are_rendered(spark, monkeypatch):
     seen, pace = [], notify.paced
     monkeypatch.setattr(notify, "paced", lambda rows, **options: seen.append(rows.columns) or pace(rows, **options))
