@@ -12,7 +12,8 @@ of their hashes. Any order gives the same links; this one keeps very frequent to
 
 Documents with equal sets are one node. Links are found in two rounds, so that a group of near copies does not give all its pairs: the first compares the
 edges of spanning trees, grown over small bitmaps of the sets in the buckets of each node's rarest shared tokens; then all pairs of nodes that are in two
-components still are counted. A pair whose bitmaps differ too much for a link is not counted. A token's nodes beyond a few thousand are dealt to pairs of cells. No
+components still are counted. A pair whose bitmaps differ too much for a link is not counted; a map grows with its set,
+so that those of long texts do not fill up and tell texts apart that share a few phrases only. A token's nodes beyond a few thousand are dealt to pairs of cells. No
 other pair, bucket or candidate is dropped.
 
 Defined cases: null, blank and empty texts have empty sets, which are linked with nothing; so is a row with a null doc_id, whose component is null. Rows with
@@ -41,8 +42,10 @@ COMPARE_SHARE = 0.25
 COUNTED = 1 << 16
 #: Spanning trees are grown in the buckets of so many shared tokens of a document, its rarest.
 TREE_TOKENS = 8
-#: Bits of the map of a set, one for each remainder of a hash; they bound what two sets share.
+#: The least number of bits of the map of a set; maps bound what two sets share. A map has the first bits of an eighth more than tokens, at least, and a fourth of them, at least.
 MAP_BITS = 1024
+#: The largest sets of the levels of maps; the next level has twice as many bits.
+MAP_SIZES = (MAP_BITS * 7 // 8) << np.arange(14)
 
 
 # --- the order of tokens -----------------------------------------------------------------------------------
@@ -88,6 +91,36 @@ def most_matches(size: int) -> int:
     return MATCHES + size // MATCH_SHARE
 
 
+# --- maps of sets ------------------------------------------------------------------------------------------
+
+def map_level(size):
+    return np.searchsorted(MAP_SIZES, size)
+
+
+def set_map(distinct: np.ndarray) -> bytes:
+    """Which of the first ranges of hashes the set has tokens in: of `MAP_BITS` ranges all, of twice as many half, of more a fourth."""
+    level = int(map_level(len(distinct)))
+    bits = np.zeros(MAP_BITS << max(level - 2, 0), bool)
+    at = ((distinct >> np.uint64(32)) & np.uint64((1 << 24) - 1)).astype(np.int64) // ((1 << 24) // (MAP_BITS << level))
+    bits[at[at < len(bits)]] = True
+    return np.packbits(bits).tobytes()
+
+
+def stacked(maps: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
+
+
+def halved(maps: np.ndarray) -> np.ndarray:
+    """Maps of a level as those of the level below, as far as they reach."""
+    bits = np.unpackbits(maps.view(np.uint8), axis=1).reshape(len(maps), -1, 2).any(axis=2)
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def only_in(maps: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The number of tokens, at least, that the sets of `maps` have and those of `other` have not."""
+    return np.bitwise_count(maps & ~other).sum(axis=1, dtype=np.int64)
+
+
 # --- nodes and prefixes ------------------------------------------------------------------------------------
 
 def set_keys(distinct: np.ndarray) -> list[int]:
@@ -104,9 +137,7 @@ def describe(docs: DataFrame, size: int, percent: int, heat) -> DataFrame:
             distinct = np.unique(s)
             n = len(distinct)
             first = np.argsort(cells[(distinct & np.uint64(CELLS - 1)).astype(np.int64)], kind="stable")[: n - least_shared(n, percent) + most_matches(n)]
-            bits = np.zeros(MAP_BITS, bool)
-            bits[(distinct >> np.uint64(40)).astype(np.int64) % MAP_BITS] = True
-            made.append((n, *set_keys(distinct), distinct[first].tobytes(), np.packbits(bits).tobytes()))
+            made.append((n, *set_keys(distinct), distinct[first].tobytes(), set_map(distinct)))
         return list(zip(*made))
 
     return over_sets(docs, size, "n_shingles long, key_a long, key_b long, prefix binary, map binary", build)
@@ -219,12 +250,25 @@ def adapted(shared: DataFrame, percent: int) -> DataFrame:
 def tree_edges(bucketed: DataFrame, percent: int) -> DataFrame:
     """(a, b): the edges of a spanning tree of every bucket's maps, shortest first, that may be links.
 
-    `bucketed` is (key, id, component, size, map), sorted by key inside partitions; a tree is grown over `BLOCK` rows at most.
+    `bucketed` is (key, id, component, size, map), sorted by key inside partitions; a tree is grown over `BLOCK` rows at most, and over maps of one level
+    and those of the next that may be linked with them.
     """
 
+    def trees(ids, size, maps):
+        level = map_level(size)
+        for k in np.unique(level):
+            here, above = np.flatnonzero(level == k), np.flatnonzero((level == k + 1) & (size * percent <= 100 * MAP_SIZES[min(k, len(MAP_SIZES) - 1)]))
+            forms = stacked([maps[i] for i in here])
+            if len(above):
+                lower = halved(stacked([maps[i] for i in above]))
+                words = min(forms.shape[1], lower.shape[1])
+                forms, here = np.concatenate([forms[:, :words], lower[:, :words]]), np.r_[here, above]
+            if len(here) > 1:
+                yield tree(ids[here], size[here], forms)
+
     def tree(ids, size, maps):
         n = len(ids)
-        near, via, out = np.full(n, MAP_BITS + 1), np.zeros(n, np.int64), np.ones(n, bool)
+        near, via, out = np.full(n, 64 * maps.shape[1] + 1), np.zeros(n, np.int64), np.ones(n, bool)
         at, edges = 0, []
         for _ in range(n - 1):
             out[at] = False
@@ -235,7 +279,7 @@ def tree_edges(bucketed: DataFrame, percent: int) -> DataFrame:
             at = left[np.argmin(near[left])]
             edges.append((via[at], at))
         one, other = np.array(edges).T
-        only_one, only_other = (np.bitwise_count(m).sum(axis=1, dtype=np.int64) for m in (maps[one] & ~maps[other], maps[other] & ~maps[one]))
+        only_one, only_other = only_in(maps[one], maps[other]), only_in(maps[other], maps[one])
         may = np.minimum(size[one] - only_one, size[other] - only_other) >= -(-percent * (size[one] + size[other]) // (100 + percent))
         return np.sort(np.stack([ids[one[may]], ids[other[may]]], axis=1), axis=1)
 
@@ -245,10 +289,11 @@ def tree_edges(bucketed: DataFrame, percent: int) -> DataFrame:
             if bucket.num_rows < 2:
                 continue
             ids, size = (bucket.column(c).to_numpy() for c in ("id", "size"))
-            maps = np.frombuffer(b"".join(bucket.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
+            maps = bucket.column("map").to_pylist()
             for start in range(0, len(ids) - 1, BLOCK):
-                found.append(tree(*(x[start : start + BLOCK] for x in (ids, size, maps))))
-                held += len(found[-1])
+                for edges in trees(*(x[start : start + BLOCK] for x in (ids, size, maps))):
+                    found.append(edges)
+                    held += len(edges)
             if held >= 50_000:
                 yield pack(found)
                 found, held = [], 0
@@ -269,15 +314,39 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
     the two sizes leave. A bit that only one map has stands for a token that only its set has.
     """
 
+    def by_level(maps, size):
+        """Per level the place of every row in its level, its maps, and what of them and of the next level's can be compared."""
+        level, place, forms, lower = map_level(size), np.zeros(len(size), np.int64), {}, {}
+        for k in np.unique(level):
+            rows = np.flatnonzero(level == k)
+            place[rows], forms[k] = np.arange(len(rows)), stacked([maps[i] for i in rows])
+        for k in forms:
+            if k + 1 in forms:
+                above = halved(forms[k + 1])
+                words = min(forms[k].shape[1], above.shape[1])
+                lower[k] = forms[k][:, :words], above[:, :words]
+        return level, place, forms, lower
+
+    def may_link(i, others, least, size, level, place, forms, lower):
+        """Which of `others`, none smaller than i, may share as many tokens with i as `least` says."""
+        only_mine, only_theirs = np.zeros(len(others), np.int64), np.zeros(len(others), np.int64)
+        for above in (0, 1):
+            rows = np.flatnonzero(level[others] == level[i] + above)
+            if len(rows):
+                mine, theirs = lower[level[i]] if above else (forms[level[i]],) * 2
+                mine, theirs = mine[place[i]], theirs[place[others[rows]]]
+                only_mine[rows], only_theirs[rows] = only_in(mine, theirs), only_in(theirs, mine)
+        return np.minimum(size[i] - only_mine, size[others] - only_theirs) >= least
+
     def run(batches):
         found, held = [], 0
         for bucket in runs(batches, False):
             ids, part, size, pos, matches, side = (bucket.column(c).to_numpy() for c in ("id", "component", "size", "pos", "matches", "side"))
             if len(ids) < 2 or (part == part[0]).all():
                 continue
-            maps = np.frombuffer(b"".join(bucket.column("map").to_pylist()), np.uint64).reshape(len(ids), -1)
             order = np.argsort(size, kind="stable")
-            ids, part, size, pos, matches, side, maps = (x[order] for x in (ids, part, size, pos, matches, side, maps))
+            ids, part, size, pos, matches, side = (x[order] for x in (ids, part, size, pos, matches, side))
+            leveled = None
             two_sided = side.any()
             ends = np.searchsorted(size, size * 100 // percent, side="right")
             for i in range(len(ids) - 1):
@@ -290,9 +359,8 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
                     hit &= side[others] != side[i]
                 hit = np.flatnonzero(hit)
                 if len(hit):
-                    mine, theirs = maps[i], maps[others][hit]
-                    only_mine, only_theirs = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (mine & ~theirs, theirs & ~mine))
-                    hit = hit[np.minimum(size[i] - only_mine, size[others][hit] - only_theirs) >= least[hit]]
+                    leveled = leveled or by_level(bucket.column("map").take(order).to_pylist(), size)
+                    hit = hit[may_link(i, hit + i + 1, least[hit], size, *leveled)]
                 if len(hit):
                     other = ids[others][hit]
                     found.append(np.stack([np.minimum(ids[i], other), np.maximum(ids[i], other), need[hit]], axis=1))

@@ -116,3 +116,55 @@ def test_counts_of_keys_over_many_batches(spark, monkeypatch, most):
     want = [(k, i, keys.count(k)) for i, k in enumerate(keys) if keys.count(k) > 1]
     assert sorted((r.key, r.id) for r in found) == [w[:2] for w in want]
     assert all(r.df == keys.count(r.key) or r.df >= most for r in found)
+
+
+def tokens(draw, n):
+    return np.unique(draw.integers(0, 1 << 64, n, dtype=np.uint64))
+
+
+@pytest.mark.parametrize("n", [20, 850, 940, 1700, 1850, 3550, 3700, 7000, 7300, 20_000])
+def test_maps_of_sets(n):
+    """Maps of one level and of neighbours never tell of more tokens than a set has alone, and tell strangers of any size apart."""
+    draw = np.random.default_rng(n)
+    x = tokens(draw, n)
+    for kept in (n, n - n // 40, n - n // 10, n // 2, n // 10):
+        y = np.unique(np.r_[x[draw.permutation(n)[:kept]], tokens(draw, n + n // 20 - kept)])
+        levels = [int(jaccard.map_level(len(s))) for s in (x, y)]
+        first, other = (jaccard.stacked([jaccard.set_map(s)]) for s in (x, y))
+        if levels[1] > levels[0]:
+            other = jaccard.halved(other)
+        words = min(first.shape[1], other.shape[1])
+        first, other = first[:, :words], other[:, :words]
+        only_x, only_y = jaccard.only_in(first, other)[0], jaccard.only_in(other, first)[0]
+        shared = len(np.intersect1d(x, y))
+        assert 0 <= only_x <= len(x) - shared and 0 <= only_y <= len(y) - shared
+        if n > 100 and kept <= n // 10:  # likeness far below 0.9
+            assert min(len(x) - only_x, len(y) - only_y) < -(-90 * (len(x) + len(y)) // 190)
+
+
+def test_long_texts_with_a_few_phrases_in_common(spark, monkeypatch):
+    """No pair of theirs is counted, though all share tokens of their prefixes."""
+    draw = random.Random(8)
+    phrases = [" ".join(f"p{i}x{j}" for j in range(12)) for i in range(30)]
+    texts = {}
+    for i in range(24):
+        own = [f"w{draw.random()}" for _ in range(4000 if i % 2 else 6000)]
+        texts[i] = " ".join([*own[:2000], *draw.sample(phrases, 20), *own[2000:]])
+    texts[24] = texts[0].replace("p3x4", "other")
+    seen, counted = [], jaccard.counted_pairs
+    monkeypatch.setattr(jaccard, "counted_pairs", lambda rows, percent: counted(Watched(rows, seen), percent))
+    found = classes(jaccard.jaccard_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 90))
+    assert seen == [0]
+    assert {i: c for i, (_, c) in found.items()} == {i: 0 if i == 24 else i for i in texts}
+
+
+class Watched:
+    """Rows whose `mapInArrow` tells how many rows it makes."""
+
+    def __init__(self, rows, made):
+        self.rows, self.made = rows, made
+
+    def mapInArrow(self, run, schema):
+        out = self.rows.mapInArrow(run, schema)
+        self.made.append(out.count())
+        return out
