@@ -12,9 +12,10 @@ of their hashes. Any order gives the same links; this one keeps very frequent to
 
 Documents with equal sets are one node. Links are found in two rounds, so that a group of near copies does not give all its pairs: the first compares the
 edges of spanning trees, grown over small bitmaps of the sets in the buckets of each node's rarest shared tokens; then all pairs of nodes that are in two
-components still are counted. A pair whose bitmaps differ too much for a link is not counted; a map grows with its set,
-so that those of long texts do not fill up and tell texts apart that share a few phrases only. A token's nodes beyond a few thousand are dealt to pairs of cells. No
-other pair, bucket or candidate is dropped.
+components still are told, and what their prefixes share is counted. A pair whose bitmaps differ too much for a link is not told; a map grows with its set,
+so that those of long texts do not fill up and tell texts apart that share a few phrases only. A pair shares tens or hundreds of tokens of its prefixes; it is told at
+the first one, which a bucket knows from the first tokens of its nodes, so that a pair is a row and not a row per token. A token's nodes beyond a few thousand are
+dealt to pairs of cells. No other pair, bucket or candidate is dropped.
 
 Defined cases: null, blank and empty texts have empty sets, which are linked with nothing; so is a row with a null doc_id, whose component is null. Rows with
 equal doc_id are rows of their own, linked through their texts; repeated rows have equal sets. Extra columns are not looked at.
@@ -42,6 +43,10 @@ COMPARE_SHARE = 0.25
 COUNTED = 1 << 16
 #: Spanning trees are grown in the buckets of so many shared tokens of a document, its rarest.
 TREE_TOKENS = 8
+#: Every row of a bucket has so many first shared tokens of its document; a pair that shares one of them before the bucket's is told there.
+FIRST = 8
+#: So many pairs of a bucket's rows are looked at at once, and so many bytes of their maps.
+LOOKED_AT, LOOKED_AT_BYTES = 1 << 17, 1 << 24
 #: The least number of bits of the map of a set; maps bound what two sets share. A map has the first bits of an eighth more than tokens, at least, and a fourth of them, at least.
 MAP_BITS = 1024
 #: The largest sets of the levels of maps; the next level has twice as many bits.
@@ -222,7 +227,10 @@ def chosen_matches(size: int, places: np.ndarray, counts: np.ndarray, percent: i
 
 
 def adapted(shared: DataFrame, percent: int) -> DataFrame:
-    """(key, id, size, pos, matches, nth): the prefix that each document chooses; nth is a token's place among its shared ones."""
+    """(key, id, size, pos, matches, nth, first): the prefix that each document chooses; nth is a token's place among its shared ones.
+
+    The row of place 0 has the first `FIRST` shared tokens.
+    """
 
     def run(batches):
         for batch in batches:
@@ -234,15 +242,17 @@ def adapted(shared: DataFrame, percent: int) -> DataFrame:
                     matches = chosen_matches(size, places, counts, percent)
                     if matches:
                         end = size - least_shared(size, percent) + matches
-                        made += [(t["key"], node, size, t["pos"], matches, i) for i, t in enumerate(tokens) if t["pos"] < end]
+                        first = np.zeros(FIRST, np.int64)
+                        first[: len(tokens)] = [t["key"] for t in tokens[:FIRST]]
+                        made += [(t["key"], node, size, t["pos"], matches, i, None if i else first.tobytes()) for i, t in enumerate(tokens) if t["pos"] < end]
                 if made:
-                    names = ["key", "id", "size", "pos", "matches", "nth"]
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                    names = ["key", "id", "size", "pos", "matches", "nth", "first"]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
 
     # a group is the prefix of one document
     whole = shared.groupBy("id", "size").agg(F.collect_list(F.struct("key", "pos", "df")).alias("tokens"))
-    return whole.mapInArrow(run, "key long, id long, size long, pos int, matches int, nth int")
+    return whole.mapInArrow(run, "key long, id long, size long, pos int, matches int, nth int, first binary")
 
 
 # --- pairs -------------------------------------------------------------------------------------------------
@@ -307,11 +317,32 @@ def tree_edges(bucketed: DataFrame, percent: int) -> DataFrame:
     return bucketed.mapInArrow(run, "a long, b long").distinct()
 
 
+def whole_buckets(batches):
+    """Tables of whole buckets, rows with equal `key`; buckets of one component are left out where a batch shows it."""
+    held: list = []  # the bucket that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, part = batch.column("key").to_numpy(), batch.column("component").to_numpy()
+        start = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+        if len(start) == 1 and held and held[0].column("key")[0].as_py() == key[0]:
+            held.append(batch)
+            continue
+        useful = np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start)
+        useful[0] = True  # it may have begun before
+        useful[-1] = False
+        yield pa.Table.from_batches([*held, batch.filter(pa.array(np.repeat(useful, np.diff(np.r_[start, len(key)]))))])
+        held = [batch.slice(int(start[-1]))]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of two components with as many shared prefix tokens as they need, unless their maps rule a link out.
+    """(a, b, need) of two components that share a token of their prefixes, unless their maps rule a link out; need is what the prefixes must share.
 
-    `bucketed` is (key, id, component, size, pos, matches, side, map), sorted by key inside partitions. A shared token counts if it lies in the prefixes that
-    the two sizes leave. A bit that only one map has stands for a token that only its set has.
+    `bucketed` is (key, id, component, size, pos, matches, nth, side, map, first), sorted by key inside partitions. A shared token counts if it lies in the
+    prefixes that the two sizes leave. A bit that only one map has stands for a token that only its set has. A pair is told at the first token it shares, and again at
+    later ones only if that is none of the `first` of both.
     """
 
     def by_level(maps, size):
@@ -327,44 +358,72 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
                 lower[k] = forms[k][:, :words], above[:, :words]
         return level, place, forms, lower
 
-    def may_link(i, others, least, size, level, place, forms, lower):
-        """Which of `others`, none smaller than i, may share as many tokens with i as `least` says."""
-        only_mine, only_theirs = np.zeros(len(others), np.int64), np.zeros(len(others), np.int64)
-        for above in (0, 1):
-            rows = np.flatnonzero(level[others] == level[i] + above)
-            if len(rows):
-                mine, theirs = lower[level[i]] if above else (forms[level[i]],) * 2
-                mine, theirs = mine[place[i]], theirs[place[others[rows]]]
-                only_mine[rows], only_theirs[rows] = only_in(mine, theirs), only_in(theirs, mine)
-        return np.minimum(size[i] - only_mine, size[others] - only_theirs) >= least
+    def may_link(one, other, least, size, level, place, forms, lower):
+        """Which pairs of rows, the first of each no larger than the other, may share as many tokens as `least` says."""
+        only_one, only_other = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        for k in np.unique(level[one]):
+            for above in (0, 1):
+                pairs = np.flatnonzero((level[one] == k) & (level[other] == k + above))
+                if len(pairs):
+                    mine, theirs = lower[k] if above else (forms[k],) * 2
+                    most = max(LOOKED_AT_BYTES // (8 * mine.shape[1]), 1)
+                    for some in np.split(pairs, range(most, len(pairs), most)):
+                        x, y = mine[place[one[some]]], theirs[place[other[some]]]
+                        only_one[some], only_other[some] = only_in(x, y), only_in(y, x)
+        return np.minimum(size[one] - only_one, size[other] - only_other) >= least
+
+    def told_before(one, other, nth, first):
+        """Which pairs of rows share one of the `first` tokens before the bucket's."""
+        before = np.arange(FIRST) < nth[:, None]
+        same = (first[one][:, :, None] == first[other][:, None, :]) & before[one][:, :, None] & before[other][:, None, :]
+        return same.any(axis=(1, 2))
+
+    def row_pairs(key, size):
+        """Arrays of pairs of rows of one bucket, the first no larger than the other and both of sizes that may be linked."""
+        bucket, row = np.cumsum(np.r_[False, key[1:] != key[:-1]]), np.arange(len(key))
+        span = size.max() + 1
+        end = np.searchsorted(bucket * span + size, bucket * span + np.minimum(size * 100 // percent, span - 1), side="right")
+        others = end - row - 1
+        total = np.cumsum(others)
+        at = 0
+        while at < len(key):
+            until = max(int(np.searchsorted(total, total[at] - others[at] + LOOKED_AT, side="right")), at + 1)
+            one = np.repeat(row[at:until], others[at:until])
+            if len(one):
+                yield one, one + 1 + np.arange(len(one)) - np.repeat(total[at:until] - others[at:until] - (total[at] - others[at]), others[at:until])
+            at = until
 
     def run(batches):
         found, held = [], 0
-        for bucket in runs(batches, False):
-            ids, part, size, pos, matches, side = (bucket.column(c).to_numpy() for c in ("id", "component", "size", "pos", "matches", "side"))
-            if len(ids) < 2 or (part == part[0]).all():
+        for rows in whole_buckets(batches):
+            if rows.num_rows < 2:
                 continue
-            order = np.argsort(size, kind="stable")
-            ids, part, size, pos, matches, side = (x[order] for x in (ids, part, size, pos, matches, side))
-            leveled = None
-            two_sided = side.any()
-            ends = np.searchsorted(size, size * 100 // percent, side="right")
-            for i in range(len(ids) - 1):
-                others = slice(i + 1, ends[i])
-                need = np.minimum(matches[i], matches[others])
-                least = -(-percent * (size[i] + size[others]) // (100 + percent))
+            key, size = (rows.column(c).to_numpy() for c in ("key", "size"))
+            order = np.lexsort((size, key))
+            key, size = key[order], size[order]
+            ids, part, pos, matches, nth, side = (rows.column(c).to_numpy()[order] for c in ("id", "component", "pos", "matches", "nth", "side"))
+            start = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
+            two_sided = np.repeat(np.logical_or.reduceat(side, start), np.diff(np.r_[start, len(key)]))
+            leveled = first = None
+            for one, other in row_pairs(key, size):
+                apart = (part[one] != part[other]) & (~two_sided[one] | (side[one] != side[other]))
+                one, other = one[apart], other[apart]
+                need = np.minimum(matches[one], matches[other])
+                least = -(-percent * (size[one] + size[other]) // (100 + percent))
                 room = need - least
-                hit = (part[others] != part[i]) & (pos[i] < size[i] + room) & (pos[others] < size[others] + room)
-                if two_sided:
-                    hit &= side[others] != side[i]
-                hit = np.flatnonzero(hit)
-                if len(hit):
-                    leveled = leveled or by_level(bucket.column("map").take(order).to_pylist(), size)
-                    hit = hit[may_link(i, hit + i + 1, least[hit], size, *leveled)]
-                if len(hit):
-                    other = ids[others][hit]
-                    found.append(np.stack([np.minimum(ids[i], other), np.maximum(ids[i], other), need[hit]], axis=1))
-                    held += len(hit)
+                inside = (pos[one] < size[one] + room) & (pos[other] < size[other] + room)
+                one, other, need, least = (x[inside] for x in (one, other, need, least))
+                if not len(one):
+                    continue
+                if leveled is None:
+                    leveled = by_level(rows.column("map").take(pa.array(order)).to_pylist(), size)
+                    first = np.frombuffer(b"".join(rows.column("first").take(pa.array(order)).to_pylist()), np.int64).reshape(-1, FIRST)
+                new = np.flatnonzero(~told_before(one, other, nth, first))
+                new = new[may_link(one[new], other[new], least[new], size, *leveled)]
+                if len(new):
+                    a, b = ids[one[new]], ids[other[new]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b), need[new]], axis=1))
+                    held += len(new)
                 if held >= 200_000:
                     yield pack(found)
                     found, held = [], 0
@@ -372,11 +431,28 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
             yield pack(found)
 
     def pack(found):
-        pairs, counts = np.unique(np.concatenate(found), axis=0, return_counts=True)
-        return pa.RecordBatch.from_arrays([*(pa.array(pairs[:, c]) for c in range(3)), pa.array(counts)], names=["a", "b", "need", "n"])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, c]) for c in range(3)], names=["a", "b", "need"])
+
+    return bucketed.mapInArrow(run, "a long, b long, need long").distinct()
+
+
+def matched(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, need) whose prefixes share as many tokens as they need, of those that the two sizes leave; `prefixes` is (id, size, prefix)."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for need, size_x, x, size_y, y in zip(*(batch.column(c).to_pylist() for c in ("need", "size_x", "x", "size_y", "y"))):
+                room = need - -(-percent * (size_x + size_y) // (100 + percent))
+                x, y = np.frombuffer(x, np.uint64)[: size_x + room], np.frombuffer(y, np.uint64)[: size_y + room]
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) >= need)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def side(name, column):
+        return prefixes.select(F.col("id").alias(name), F.col("size").alias(f"size_{column}"), F.col("prefix").alias(column))
 
-    pairs = bucketed.mapInArrow(run, "a long, b long, need long, n long")
-    return pairs.groupBy("a", "b", "need").agg(F.sum("n").alias("n")).where("n >= need").select("a", "b")
+    return pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "need", "size_x", "x", "size_y", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -423,21 +499,22 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     nodes = cut_lineage(nodes.select(*keys, F.col("key_a").alias("id"), F.col("n_shingles").alias("size"), "first.*"))
     ordered = postings(nodes).repartition(parts, "key").sortWithinPartitions("key")
     chosen = cut_lineage(adapted(counted_postings(ordered), percent))
-    involved = chosen.select("id").distinct()
+    involved = chosen.where("nth = 0").select("id")
     sets = cut_lineage(full_sets(plain, nodes.select("id", "doc_id").join(involved, "id", "left_semi"), size))
 
     def bucketed(rows: DataFrame, facts: DataFrame) -> DataFrame:
         return rows.join(facts, "id").repartition(parts, "key").sortWithinPartitions("key")
 
-    facts = cut_lineage(chosen.select("id", "size", "matches").distinct().join(nodes.select("id", "map"), "id"))
+    facts = cut_lineage(chosen.where("nth = 0").select("id", "size", "matches", "first").join(nodes.select("id", "map", "prefix"), "id"))
     rarest = dealt_rows(chosen.where(F.col("nth") < TREE_TOKENS).select("key", "id", F.col("pos").alias("place")), BLOCK)
     trees = bucketed(rarest.select("key", "id"), facts.select("id", "size", "map")).select("key", "id", F.col("id").alias("component"), "size", "map")
     links = cut_lineage(verified(tree_edges(trees, percent), sets, percent))
     labels = components(links)
-    rows = paired_rows(chosen.select("key", "id", F.col("pos").alias("place")), labels, CELL).withColumnRenamed("place", "pos")
-    placed = facts.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = bucketed(rows, placed).select("key", "id", "component", "size", "pos", "matches", "side", "map")
-    links = links.unionByName(cut_lineage(verified(counted_pairs(apart, percent), sets, percent)))
+    rows = paired_rows(chosen.select("key", "id", F.struct("pos", "nth").alias("place")), labels, CELL).select("key", "id", "place.*", "side")
+    placed = facts.drop("prefix").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = bucketed(rows, placed).select("key", "id", "component", "size", "pos", "matches", "nth", "side", "map", "first")
+    pairs = matched(counted_pairs(apart, percent), facts.select("id", "size", "prefix"), percent)
+    links = links.unionByName(cut_lineage(verified(pairs, sets, percent)))
 
     linked = nodes.select(*keys, "id", "doc_id").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))

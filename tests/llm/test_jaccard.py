@@ -158,6 +158,29 @@ def test_long_texts_with_a_few_phrases_in_common(spark, monkeypatch):
     assert {i: c for i, (_, c) in found.items()} == {i: 0 if i == 24 else i for i in texts}
 
 
+@pytest.mark.parametrize("looked_at, batch", [(jaccard.LOOKED_AT, 10_000), (50, 7)])
+def test_a_pair_is_told_once_and_not_per_token(spark, monkeypatch, looked_at, batch):
+    """Near copies below the threshold share most tokens, which lie in all partitions."""
+    monkeypatch.setattr(jaccard, "LOOKED_AT", looked_at)
+    draw = random.Random(11)
+    base = [f"word{i}" for i in range(800)]
+    texts = {}
+    for i in range(30):
+        some = list(base)
+        for place in draw.sample(range(800), 3 if i < 4 else 12):
+            some[place] = f"own{draw.random()}"
+        texts[i] = " ".join(some)
+    seen, counted = [], jaccard.counted_pairs
+    monkeypatch.setattr(jaccard, "counted_pairs", lambda rows, percent: counted(Watched(rows, seen), percent))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = classes(jaccard.jaccard_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 90))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == expected_components(texts, 3, 90) and len({c for _, c in found.values()}) > 10
+    assert 100 < seen[0] <= 30 * 29 // 2
+
+
 class Watched:
     """Rows whose `mapInArrow` tells how many rows it makes."""
 
