@@ -14,7 +14,7 @@ Documents with equal sets are one node. Links are found in two rounds, so that a
 edges of spanning trees, grown over small bitmaps of the sets in the buckets of each node's rarest shared tokens; then all pairs of nodes that are in two
 components still are told, and what their prefixes share is counted. A pair whose bitmaps differ too much for a link is not told; a map grows with its set,
 so that those of long texts do not fill up and tell texts apart that share a few phrases only. A pair shares tens or hundreds of tokens of its prefixes; it is told at
-the first one, which a bucket knows from the first tokens of its nodes, so that a pair is a row and not a row per token. A token's nodes beyond a few thousand are
+the most frequent one, which a bucket knows from the most frequent tokens of its nodes, so that a pair is a row and not a row per token. A token's nodes beyond a few thousand are
 dealt to pairs of cells. No other pair, bucket or candidate is dropped.
 
 Defined cases: null, blank and empty texts have empty sets, which are linked with nothing; so is a row with a null doc_id, whose component is null. Rows with
@@ -43,8 +43,11 @@ COMPARE_SHARE = 0.25
 COUNTED = 1 << 16
 #: Spanning trees are grown in the buckets of so many shared tokens of a document, its rarest.
 TREE_TOKENS = 8
-#: Every row of a bucket has so many first shared tokens of its document; a pair that shares one of them before the bucket's is told there.
-FIRST = 8
+#: Every row of a bucket has the most frequent tokens of its document's prefix, so many; a pair that shares one of them above the bucket's is told there.
+#: Rare ones would not do: they are what near copies do not share.
+FIRST = 4
+#: A token and its place in the prefix.
+FIRST_ROW = np.dtype([("key", np.int64), ("pos", np.int32)])
 #: So many pairs of a bucket's rows are looked at at once, and so many bytes of their maps.
 LOOKED_AT, LOOKED_AT_BYTES = 1 << 17, 1 << 24
 #: The least number of bits of the map of a set; maps bound what two sets share. A map has the first bits of an eighth more than tokens, at least, and a fourth of them, at least.
@@ -227,9 +230,9 @@ def chosen_matches(size: int, places: np.ndarray, counts: np.ndarray, percent: i
 
 
 def adapted(shared: DataFrame, percent: int) -> DataFrame:
-    """(key, id, size, pos, matches, nth, first): the prefix that each document chooses; nth is a token's place among its shared ones.
+    """(key, id, size, pos, matches, nth, rank, first): the prefix that each document chooses; nth is a token's place among its shared ones.
 
-    The row of place 0 has the first `FIRST` shared tokens.
+    rank is its place by falling document count; the row of nth 0 has the `FIRST` tokens of least rank.
     """
 
     def run(batches):
@@ -242,17 +245,19 @@ def adapted(shared: DataFrame, percent: int) -> DataFrame:
                     matches = chosen_matches(size, places, counts, percent)
                     if matches:
                         end = size - least_shared(size, percent) + matches
-                        first = np.zeros(FIRST, np.int64)
-                        first[: len(tokens)] = [t["key"] for t in tokens[:FIRST]]
-                        made += [(t["key"], node, size, t["pos"], matches, i, None if i else first.tobytes()) for i, t in enumerate(tokens) if t["pos"] < end]
+                        chosen = [t for t in tokens if t["pos"] < end]
+                        ranked = sorted(range(len(chosen)), key=lambda i: (-chosen[i]["df"], chosen[i]["key"]))
+                        rank, first = np.argsort(ranked).tolist(), np.zeros(FIRST, FIRST_ROW)
+                        first[: len(chosen)] = [(chosen[i]["key"], chosen[i]["pos"]) for i in ranked[:FIRST]]
+                        made += [(t["key"], node, size, t["pos"], matches, i, rank[i], None if i else first.tobytes()) for i, t in enumerate(chosen)]
                 if made:
-                    names = ["key", "id", "size", "pos", "matches", "nth", "first"]
-                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                    names = ["key", "id", "size", "pos", "matches", "nth", "rank", "first"]
+                    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made), kinds)], names=names)
 
     # a group is the prefix of one document
     whole = shared.groupBy("id", "size").agg(F.collect_list(F.struct("key", "pos", "df")).alias("tokens"))
-    return whole.mapInArrow(run, "key long, id long, size long, pos int, matches int, nth int, first binary")
+    return whole.mapInArrow(run, "key long, id long, size long, pos int, matches int, nth int, rank int, first binary")
 
 
 # --- pairs -------------------------------------------------------------------------------------------------
@@ -340,9 +345,9 @@ def whole_buckets(batches):
 def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
     """(a, b, need) of two components that share a token of their prefixes, unless their maps rule a link out; need is what the prefixes must share.
 
-    `bucketed` is (key, id, component, size, pos, matches, nth, side, map, first), sorted by key inside partitions. A shared token counts if it lies in the
-    prefixes that the two sizes leave. A bit that only one map has stands for a token that only its set has. A pair is told at the first token it shares, and again at
-    later ones only if that is none of the `first` of both.
+    `bucketed` is (key, id, component, size, pos, matches, rank, side, map, first), sorted by key inside partitions. A shared token counts if it lies in the
+    prefixes that the two sizes leave. A bit that only one map has stands for a token that only its set has. A pair is told at the token of least rank it shares, and again at
+    others only if that is none of the `first` of both.
     """
 
     def by_level(maps, size):
@@ -372,10 +377,10 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
                         only_one[some], only_other[some] = only_in(x, y), only_in(y, x)
         return np.minimum(size[one] - only_one, size[other] - only_other) >= least
 
-    def told_before(one, other, nth, first):
-        """Which pairs of rows share one of the `first` tokens before the bucket's."""
-        before = np.arange(FIRST) < nth[:, None]
-        same = (first[one][:, :, None] == first[other][:, None, :]) & before[one][:, :, None] & before[other][:, None, :]
+    def told_before(one, other, room, size, rank, first):
+        """Which pairs of rows share one of the `first` tokens above the bucket's, in the prefixes that their sizes leave."""
+        inside = [(np.arange(FIRST) < rank[x][:, None]) & (first["pos"][x] < (size[x] + room)[:, None]) for x in (one, other)]
+        same = (first["key"][one][:, :, None] == first["key"][other][:, None, :]) & inside[0][:, :, None] & inside[1][:, None, :]
         return same.any(axis=(1, 2))
 
     def row_pairs(key, size):
@@ -401,7 +406,7 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
             key, size = (rows.column(c).to_numpy() for c in ("key", "size"))
             order = np.lexsort((size, key))
             key, size = key[order], size[order]
-            ids, part, pos, matches, nth, side = (rows.column(c).to_numpy()[order] for c in ("id", "component", "pos", "matches", "nth", "side"))
+            ids, part, pos, matches, rank, side = (rows.column(c).to_numpy()[order] for c in ("id", "component", "pos", "matches", "rank", "side"))
             start = np.r_[0, np.flatnonzero(key[1:] != key[:-1]) + 1]
             two_sided = np.repeat(np.logical_or.reduceat(side, start), np.diff(np.r_[start, len(key)]))
             leveled = first = None
@@ -412,13 +417,13 @@ def counted_pairs(bucketed: DataFrame, percent: int) -> DataFrame:
                 least = -(-percent * (size[one] + size[other]) // (100 + percent))
                 room = need - least
                 inside = (pos[one] < size[one] + room) & (pos[other] < size[other] + room)
-                one, other, need, least = (x[inside] for x in (one, other, need, least))
+                one, other, need, least, room = (x[inside] for x in (one, other, need, least, room))
                 if not len(one):
                     continue
                 if leveled is None:
                     leveled = by_level(rows.column("map").take(pa.array(order)).to_pylist(), size)
-                    first = np.frombuffer(b"".join(rows.column("first").take(pa.array(order)).to_pylist()), np.int64).reshape(-1, FIRST)
-                new = np.flatnonzero(~told_before(one, other, nth, first))
+                    first = np.frombuffer(b"".join(rows.column("first").take(pa.array(order)).to_pylist()), FIRST_ROW).reshape(-1, FIRST)
+                new = np.flatnonzero(~told_before(one, other, room, size, rank, first))
                 new = new[may_link(one[new], other[new], least[new], size, *leveled)]
                 if len(new):
                     a, b = ids[one[new]], ids[other[new]]
@@ -510,9 +515,9 @@ def jaccard_classes(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFr
     trees = bucketed(rarest.select("key", "id"), facts.select("id", "size", "map")).select("key", "id", F.col("id").alias("component"), "size", "map")
     links = cut_lineage(verified(tree_edges(trees, percent), sets, percent))
     labels = components(links)
-    rows = paired_rows(chosen.select("key", "id", F.struct("pos", "nth").alias("place")), labels, CELL).select("key", "id", "place.*", "side")
+    rows = paired_rows(chosen.select("key", "id", F.struct("pos", "rank").alias("place")), labels, CELL).select("key", "id", "place.*", "side")
     placed = facts.drop("prefix").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = bucketed(rows, placed).select("key", "id", "component", "size", "pos", "matches", "nth", "side", "map", "first")
+    apart = bucketed(rows, placed).select("key", "id", "component", "size", "pos", "matches", "rank", "side", "map", "first")
     pairs = matched(counted_pairs(apart, percent), facts.select("id", "size", "prefix"), percent)
     links = links.unionByName(cut_lineage(verified(pairs, sets, percent)))
 
