@@ -1,5 +1,6 @@
 """Queries on tables that the test folders are too small or too regular for, and the plans that large tables need."""
 
+import hashlib
 import os
 
 import pytest
@@ -10,6 +11,7 @@ from shelfwatch.operators import compare as comparing
 from shelfwatch.operators import detect, notify, search
 from shelfwatch.plans import detection, fixtures
 from shelfwatch.plans.registry import Source
+from shelfwatch.schemas import ITEM_SCHEMA
 from shelfwatch.session import with_distinct
 from tools.check_oracle import compare, connect
 
@@ -82,6 +84,49 @@ def test_items_without_url_spread(spark, monkeypatch):
     assert {(r.url, r.by_url) for r in matched.where("by_url is not null").collect()} == {(f"u{i}", f"p{i}") for i in range(0, 2000, 200)}
 
 
+def test_dashboard_keeps_what_it_counts(spark, monkeypatch):
+    kept, cut = [], detect.cut_lineage
+    monkeypatch.setattr(detect, "cut_lineage", lambda rows: kept.append(rows) or cut(rows))
+    JOBS["scan_to_dashboard"](spark, FOLDER)
+    assert {"price_changed", "is_removed", "is_last", "active"} <= set(kept[-1].columns) and "title" not in kept[-1].columns
+    plan = plan_of(kept[-1])
+    assert "item_ix" in plan and not any(name in plan for name in ("title#", "category#", "currency#", "first_seen_at#"))
+
+
+def test_pairs_are_looked_up_once(spark, monkeypatch):
+    looked, look_up = [], detect._with_largest
+    monkeypatch.setattr(detect, "_with_largest", lambda rows, *args: looked.append(rows.count()) or look_up(rows, *args))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("title", "currency", "stock_status", "sku", "image_url", "category")]
+    rows = spark.range(2000).selectExpr("1L AS competitor_id", "id AS item_ix", "'u' || id % 20 AS url", "if(id % 40 < 20, '', null) AS external_id", "1.00 AS price")
+    items = rows.select("*", *empty)
+    state = spark.range(0, 20, 4).selectExpr("1L AS competitor_id", "'p' || id AS product_id", "'u' || id AS url", "'' AS external_id")
+    found = detect.assign_products(items, state, "2024-01-01 00:00:00").groupBy("url").agg(F.count("*").alias("n"), F.collect_set("product_id").alias("ids")).collect()
+    assert looked == [20, 15]
+    assert len(found) == 20 and all(r.n == 100 and len(r.ids) == 1 for r in found)
+    assert {r.url: r.ids[0] for r in found if r.ids[0].startswith("p")} == {f"u{i}": f"p{i}" for i in range(0, 20, 4)}
+
+
+def test_a_product_is_found_from_its_opener_on(spark):
+    rows = [(1, "a", "X"), (1, "a", "X"), (2, "b", "X"), (3, "b", None), (4, "b", "X"), (5, "c", "S"), (6, "c", ""), (7, "c", "S"), (8, "s", "X"), (9, "d", "Y"), (9, "d", "Y")]
+    items = spark.createDataFrame([(1, ix, url, external, "t", None, None, None, None, None, None) for ix, url, external in rows], ITEM_SCHEMA)
+    state = spark.createDataFrame([(1, "p1", "s", "S"), (1, "p2", "s", "S")], "competitor_id long, product_id string, url string, external_id string")
+    found = detect.assign_products(items, state, "2024-01-01 00:00:00").collect()
+    opened = {u: hashlib.md5(f"1|{u}|2024-01-01 00:00:00".encode()).hexdigest() for u in "abcd"}
+    expected = [(1, "a"), (1, "a"), (2, "a"), (3, "b"), (4, "b"), (5, "p2"), (6, "c"), (7, "c"), (8, "p2"), (9, "d"), (9, "d")]
+    assert sorted((r.item_ix, r.product_id) for r in found) == sorted((ix, opened.get(name, name)) for ix, name in expected)
+
+
+def test_lines_are_dealt_once_their_region_is_known(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(detection.scan_lines(Source(spark, FOLDER)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(l_partkey" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0]
+
+
 def test_messages_are_numbered_before_they_are_rendered(spark, monkeypatch):
     seen, pace = [], notify.paced
     monkeypatch.setattr(notify, "paced", lambda rows, **options: seen.append(rows.columns) or pace(rows, **options))
